@@ -14,7 +14,11 @@ SPACE = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\u
 HIDDEN = (
     r"(?is)<!--.*?(?:-->|\z)|<(script|style|noscript|head)\b[^>]*>.*?(?:</\1\s*>|\z)|<title\b[^>]*>.*?</title\s*>"
 )
-TAG = r"(?s)</?[A-Za-z][^>]*>|<![^>]*>"
+# a tag cut off by the end of the page is dropped too
+TAG = r"(?s)</?[A-Za-z][^>]*(?:>|\z)|<![^>]*(?:>|\z)"
+EDGES = r"^\s+|\s+$"
+# fixed values: printable ASCII that stays as it is in a written-out address
+_ADDRESS_CHARACTERS = "!#$%&'()*+,/:;=?@[]|~\\"
 _ATTRIBUTE_REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;)")
 
 
@@ -49,8 +53,9 @@ def attribute(tag: Column, name: str) -> Column:
     return F.regexp_replace(quoted, r"""^["']|["']$""", "")
 
 
-def _without_dots(url: Column) -> Column:
+def without_dots(url: Column) -> Column:
     """Resolve ``.`` and ``..`` in the path of an absolute URL."""
+    dotted = url.rlike(r"^[^?#]*/\.{1,2}(?:[/?#]|$)")
     origin = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
     rest = F.regexp_extract(url, r"^[^?#]*([?#].*)?$", 1)
@@ -59,17 +64,26 @@ def _without_dots(url: Column) -> Column:
         lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1))))
         .when(s == ".", acc).otherwise(F.array_append(acc, s)))
     slash = F.when(path.rlike(r"/\.{1,2}$"), F.lit("/")).otherwise(F.lit(""))
-    return F.concat(origin, F.array_join(kept, "/"), slash, rest)
+    return F.when(dotted, F.concat(origin, F.array_join(kept, "/"), slash, rest)).otherwise(url)
+
+
+def percent_encode(url: Column) -> Column:
+    """Spaces and non-ASCII characters of an address written as ``%XX``, all else unchanged."""
+    out = F.replace(F.url_encode(url), F.lit("+"), F.lit("%20"))
+    for c in _ADDRESS_CHARACTERS:
+        if c not in "%*":
+            out = F.replace(out, F.lit(f"%{ord(c):02X}"), F.lit(c))
+    out = F.replace(out, F.lit("%25"), F.lit("%"))
+    return F.when(url.rlike(r"[^\x21-\x7e]"), out).otherwise(url)
 
 
 def absolute(base: Column, href: Column) -> Column:
-    """A link of a page as an absolute URL."""
-    href = F.trim(href)
+    """A link of a page as an absolute URL, before :func:`without_dots` and :func:`percent_encode`."""
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1)
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     document = F.regexp_extract(base, r"^([^?#]*)", 1)
     folder = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/(?:[^?#]*/)?)", 1)
-    url = (
+    return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, href))
         .when(href.startswith("/"), F.concat(origin, href))
@@ -78,4 +92,3 @@ def absolute(base: Column, href: Column) -> Column:
         .when(href.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), href))
         .otherwise(F.concat(F.when(folder == "", F.concat(origin, F.lit("/"))).otherwise(folder), href))
     )
-    return F.when(url.rlike(r"^[^?#]*/\.{1,2}(?:[/?#]|$)"), _without_dots(url)).otherwise(url)

@@ -7,8 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from labelspark import constants as C
-from labelspark.functions.markup import absolute, attribute, decode_attribute, decode_references, strip_tags
+from labelspark.functions.markup import (
+    EDGES, absolute, attribute, decode_attribute, decode_references, percent_encode, strip_tags, without_dots,
+)
 from labelspark.functions.names import brand_words, contains_any
+from labelspark.functions.plan import settle
 from labelspark.functions.urls import decode_redirect, hostname, path_and_query
 from labelspark.operators.latest import best_candidate, best_per_key
 
@@ -23,27 +26,29 @@ def page_links(pages: DataFrame, key: str = "page_id", url: str = "url", markup:
     images = F.regexp_extract_all(body, F.lit(r"(?is)(<img\b[^>]*>)"), F.lit(1))
     found = pages.select(
         key, F.col(url).alias("_base"), F.posexplode(F.concat(pieces, images)).alias("position", "_piece"))
-    is_anchor = F.lower(F.substring("_piece", 1, 3)) != "<im"
-    tag = F.regexp_extract("_piece", r"(?s)^(<[^>]*>)", 1)
+    found = settle(found, {"_tag": F.regexp_extract("_piece", r"(?s)^(<[^>]*>)", 1)})
+    tag, is_anchor = F.col("_tag"), F.lower(F.substring("_piece", 1, 3)) != "<im"
     label = F.regexp_extract("_piece", r"(?is)^<a[^>]*>(.*?)(?:</a\b|\z)", 1)
     raw = found.select(
         key, "position", "_base",
         F.when(is_anchor, "a").otherwise("img").alias("kind"),
-        F.when(is_anchor, attribute(tag, "href")).otherwise(F.nullif(attribute(tag, "src"), F.lit(""))).alias("_href"),
+        F.trim(F.when(is_anchor, attribute(tag, "href")).otherwise(F.nullif(attribute(tag, "src"), F.lit("")))).alias("_href"),
         F.when(is_anchor, strip_tags(label)).otherwise("").alias("_text"),
         *[F.coalesce(attribute(tag, a), F.lit("")).alias(n) for a, n in
           (("title", "_title"), ("aria-label", "_aria"))],
         F.when(is_anchor, "").otherwise(F.coalesce(attribute(tag, "alt"), F.lit(""))).alias("_alt"),
     ).filter(F.col("_href").isNotNull())
     links = raw.select(
-        key, "position", "kind",
-        absolute(F.col("_base"), decode_attribute("_href")).alias("href"),
-        F.trim(F.lower(decode_references("_text"))).alias("text"),
+        key, "position", "kind", "_base", decode_attribute("_href").alias("_href"),
+        F.regexp_replace(F.lower(decode_references("_text")), EDGES, "").alias("text"),
         F.lower(decode_attribute("_title")).alias("title"),
         F.lower(decode_attribute("_aria")).alias("aria_label"),
         F.lower(decode_attribute("_alt")).alias("alt"),
     )
-    return links.filter(F.col("href").startswith("http"))
+    links = settle(links, {"href": absolute(F.col("_base"), F.col("_href"))}).filter(F.col("href").startswith("http"))
+    links = settle(links, {"href": without_dots(F.col("href"))})
+    return settle(links, {"href": percent_encode(F.col("href"))}).select(
+        key, "position", "kind", "href", "text", "title", "aria_label", "alt")
 
 
 def document_link_score(href: Column, text: Column, title: Column, aria: Column, alt: Column) -> tuple[Column, Column]:
@@ -70,8 +75,9 @@ def score_document_links(links: DataFrame, key: str = "page_id") -> DataFrame:
     """Label documents per page: each address once with its highest score."""
     blank = {c: F.coalesce(F.col(c), F.lit("")) for c in ("text", "title", "aria_label", "alt")}
     kind, score = document_link_score(F.col("href"), blank["text"], blank["title"], blank["aria_label"], blank["alt"])
-    scored = links.select(key, F.col("href").alias("url"), kind.alias("type"), score.alias("score"), "position")
-    return best_per_key(scored.filter(F.col("score").isNotNull()), [key, "url", "type"])
+    scored = settle(links.select(key, "href", "position", *[c.alias(n) for n, c in blank.items()]), {"type": kind, "score": score})
+    scored = scored.filter(F.col("score").isNotNull()).withColumnRenamed("href", "url")
+    return best_per_key(scored, [key, "url", "type"])
 
 
 def rank_search_results(results: DataFrame) -> DataFrame:
@@ -80,15 +86,15 @@ def rank_search_results(results: DataFrame) -> DataFrame:
     Blacklisted hosts go.  When the query has usable words, only addresses that mention one in host or
     path stay: a foreign document is worse than none.
     """
-    rows = results.withColumns({"url": decode_redirect(F.col("url")), "_words": brand_words(F.col("query"))})
-    address = F.lower("url")
-    host, path = hostname(F.col("url")), F.lower(path_and_query(F.col("url")))
+    rows = settle(results, {"url": decode_redirect(F.col("url")), "_words": brand_words(F.col("query"))})
+    rows = settle(rows, {"_address": F.lower("url"), "_host": hostname(F.col("url")), "_path": F.lower(path_and_query(F.col("url")))})
+    address, host, path = F.col("_address"), F.col("_host"), F.col("_path")
 
     def any_word_in(text: Column) -> Column:
         return F.coalesce(F.exists("_words", lambda w: text.contains(w)), F.lit(False))
 
-    in_host = any_word_in(host) & host.isNotNull()
-    in_path = any_word_in(path) & host.isNotNull() & ~in_host
+    rows = settle(rows, {"_in_host": any_word_in(host) & host.isNotNull(), "_in_path": any_word_in(path) & host.isNotNull()})
+    in_host, in_path = F.col("_in_host"), F.col("_in_path") & ~F.col("_in_host")
     points = C.SEARCH_SCORES
     terms = [
         (address.rlike(r"\.pdf(?:$|[?#/])"), "pdf"), (in_host, "host"), (in_path, "path"),
@@ -97,7 +103,7 @@ def rank_search_results(results: DataFrame) -> DataFrame:
     ]
     score = reduce(lambda a, b: a + b, [F.when(c, points[n]).otherwise(0) for c, n in terms])
     accepted = ~contains_any(address, C.BLACKLISTED_DOMAINS) & ((F.size("_words") == 0) | in_host | in_path)
-    return rows.filter(accepted).withColumn("score", score).drop("_words")
+    return rows.filter(accepted).withColumn("score", score).drop("_words", "_address", "_host", "_path", "_in_host", "_in_path")
 
 
 def choose_source(results: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from labelspark import constants as C
+from labelspark.functions.plan import settle
 from labelspark.functions.urls import domain, source_matches
 from labelspark.operators.filters import changed, garbage_name
 from labelspark.operators.joins import near_documents
@@ -186,7 +187,7 @@ def foreign_document_plan(documents: DataFrame, providers: DataFrame, mixes: Dat
         .select(F.col("document_id").alias("id")).distinct().withColumn("_manual", F.lit(True))
     )
     rows = documents.filter((F.col("file_type") != "manual") & F.col("source_url").isNotNull()).join(names, "provider_id")
-    rows = rows.join(manual, "id", "left").withColumn("_m", source_matches(F.col("source_url"), F.col("provider_name")))
+    rows = settle(rows.join(manual, "id", "left"), {"_m": source_matches(F.col("source_url"), F.col("provider_name"))})
     kept = F.col("id").isin(keep) if keep else F.lit(False)
     action = (
         F.when(kept, "keep")

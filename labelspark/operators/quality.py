@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from labelspark import constants as C
 from labelspark.functions.numbers import round_half_up, zero_if_null
+from labelspark.functions.plan import settle
 from labelspark.functions.urls import source_matches
 from labelspark.operators.aggregates import part_sum
 from labelspark.operators.joins import trusted_flag, with_national_mix
@@ -211,11 +212,8 @@ def guard_sources(rows: DataFrame, trusted: DataFrame) -> DataFrame:
     ``provider_id`` and ``provider_name``."""
     flagged = trusted_flag(rows, trusted)
     foreign = F.coalesce(~source_matches(F.col("source_url"), F.col("provider_name")), F.lit(False))
-    unverified = foreign & ~F.col("trusted")
-    return flagged.withColumns({
-        "source_unverified": unverified,
-        "source_status": F.when(unverified, F.lit("unbestaetigt")),
-    }).drop("trusted")
+    flagged = settle(flagged, {"source_unverified": foreign & ~F.col("trusted")})
+    return flagged.withColumn("source_status", F.when(F.col("source_unverified"), F.lit("unbestaetigt"))).drop("trusted")
 
 
 def job_outcome(year: Column, has_document: Column, unverified: Column) -> Column:

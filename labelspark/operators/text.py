@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from labelspark import constants as C
 from labelspark.functions.label_values import label_values
 from labelspark.functions.markup import SPACE, collapse, decode_references, strip_tags, visible_markup
-from labelspark.functions.names import contains_any
 from labelspark.operators.latest import pick
 
 
@@ -17,27 +18,28 @@ def page_text(pages: DataFrame, markup: str = "html") -> DataFrame:
     return pages.withColumn("text", F.trim(collapse(decode_references(raw)))).drop(markup)
 
 
-def label_section(text: Column) -> tuple[Column, Column]:
-    """(section, mix type) of a collapsed, lower-cased text.
+def label_sections(rows: DataFrame, text: str) -> DataFrame:
+    """Replaces a collapsed, lower-cased text by ``_section`` and adds ``mix_type``.
 
     The section starts at the first heading in order of preference and ends at the earliest heading
     of the national mix; without the latter it is 2000 characters long.  With only a national heading
     the text before it counts, with none the whole text.
     """
-    start, kind = F.lit(0), F.lit("unbekannt")
-    for heading, name in reversed(C.SECTION_STARTS):
-        at = F.instr(text, heading)
-        start = F.when(at > 0, at).otherwise(start)
-        kind = F.when(at > 0, F.lit(name)).otherwise(kind)
-    none = F.lit(2**31 - 1)
-    stop = F.least(*[F.when(F.instr(text, s) > 0, F.instr(text, s)).otherwise(none) for s in C.SECTION_STOPS])
+    kinds = F.array(*[F.lit(kind) for _, kind in C.SECTION_STARTS])
+    rows = rows.withColumns({
+        "_starts": F.array(*[F.instr(F.col(text), heading) for heading, _ in C.SECTION_STARTS]),
+        "_stop": F.array_min(F.filter(F.array(*[F.instr(F.col(text), s) for s in C.SECTION_STOPS]), lambda at: at > 0)),
+    })
+    rows = rows.withColumn("_start", F.get(F.filter("_starts", lambda at: at > 0), F.lit(0)))
+    body, start, stop = F.col(text), F.col("_start"), F.col("_stop")
     section = (
-        F.when((start > 0) & (stop < none) & (stop > start), F.substring(text, start, stop - start))
-        .when(start > 0, F.substring(text, start, F.lit(C.SECTION_LENGTH)))
-        .when(stop < none, F.substring(text, F.lit(1), stop - 1))
-        .otherwise(text)
+        F.when(start.isNotNull() & (stop > start), F.substring(body, start, stop - start))
+        .when(start.isNotNull(), F.substring(body, start, F.lit(C.SECTION_LENGTH)))
+        .when(stop.isNotNull(), F.substring(body, F.lit(1), stop - 1))
+        .otherwise(body)
     )
-    return section, kind
+    kind = F.when(start.isNotNull(), F.get(kinds, F.array_position("_starts", start).cast("int") - 1)).otherwise("unbekannt")
+    return rows.withColumns({"_section": section, "mix_type": kind}).drop(text, "_starts", "_start", "_stop")
 
 
 def extraction_confidence(renewable: Column, fossil: Column, nuclear: Column, co2: Column, waste: Column) -> Column:
@@ -54,16 +56,16 @@ def extraction_confidence(renewable: Column, fossil: Column, nuclear: Column, co
 def extract_labels(documents: DataFrame, default_year: int, text: str = "text") -> DataFrame:
     """One row per document that carries a label: year, shares, CO2, waste, mix type and confidence.
 
-    White space, section and year are found on the JVM over the whole text; only sections that
-    mention one of the three main shares at all are handed to the Arrow function.
+    Texts that mention none of the three main shares cannot carry a label and are left out first, by one
+    pattern over the whole raw text.  White space, section and year of the others are found on the JVM;
+    only their sections are handed to the Arrow function.
     """
+    main = [re.escape(w).replace(r"\ ", SPACE) for share in ("renewable", "nuclear", "fossil") for w in C.SHARE_KEYWORDS[share]]
+    documents = documents.filter(F.lower(text).rlike("|".join(main)))
     clean = F.regexp_replace(F.col(text), SPACE, " ")
     year = F.regexp_extract(clean, C.LABEL_YEAR_PATTERN, 1).try_cast("int")
     rows = documents.withColumns({"_lower": F.lower(clean), "year": F.coalesce(year, F.lit(default_year))}).drop(text)
-    section, kind = label_section(F.col("_lower"))
-    rows = rows.withColumns({"_section": section, "mix_type": kind}).drop("_lower")
-    main = [w for share in ("renewable", "nuclear", "fossil") for w in C.SHARE_KEYWORDS[share]]
-    rows = rows.filter(contains_any(F.col("_section"), main)).withColumn("_v", label_values("_section")).drop("_section")
+    rows = label_sections(rows, "_lower").withColumn("_v", label_values("_section")).drop("_section")
     v = {f: F.col(f"_v.{f}") for f in [*C.SHARE_KEYWORDS, "co2", "waste", "eeg_percentage"]}
     zero = F.lit(0.0)
     found = sum((F.when(F.coalesce(v[f], zero) != 0, 1).otherwise(0) for f in ("fossil", "nuclear")),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from labelspark.plans import compliance, maintenance, relational  # noqa: F401
+from labelspark.plans import compliance, maintenance, relational, texts  # noqa: F401
 from labelspark.plans.registry import ORACLES, PLANS, queries
 
 __all__ = ["ORACLES", "PLANS", "queries"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from labelspark.functions.numbers import leading_integer, leading_number
+from labelspark.functions.plan import settle
 from labelspark.operators.joins import match_ledger
 from labelspark.operators.merge import upsert
 
@@ -38,8 +39,9 @@ def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     Records whose year or amounts do not start with a number are rejected as well.
     """
     parts = F.split("line", ",", -1)
-    rows = data_lines(lines).select("ledger_id", "line_no", "line", *[F.get(parts, i).alias(f) for i, f in enumerate(FIELDS)])
-    rows = rows.withColumns({
+    rows = settle(data_lines(lines), {"_f": parts})
+    rows = rows.select("ledger_id", "line_no", "line", *[F.get("_f", i).alias(f) for i, f in enumerate(FIELDS)])
+    rows = settle(rows, {
         "year": leading_integer(F.col("berichtsjahr")),
         "delivered_volume_mwh": leading_number(F.col("strommenge_mwh")).cast("decimal(15,2)"),
         "amount_mwh": leading_number(F.col("hkn_menge_mwh")).cast("decimal(15,2)"),
