@@ -254,7 +254,7 @@ SECTION_STOPS = [
     "verbleibender energieträgermix",
 ]
 SECTION_LENGTH = 2000
-LABEL_YEAR_PATTERN = r"(?i)(?:jahr|kennzeichnung|mix|lieferung|zeitraum|berichtsjahr)\s*(20[0-9]{2})"
+LABEL_YEAR_PATTERN = r"(?:jahr|kennzeichnung|mix|lieferung|zeitraum)\s*(20[0-9]{2})"  # of lower-case text
 # share values, in the order in which they claim numbers
 SHARE_KEYWORDS = {
     "renewable": [
@@ -270,6 +270,8 @@ SHARE_KEYWORDS = {
     "coal": ["kohle", "steinkohle", "braunkohle"],
     "natural_gas": ["erdgas", "gasförmige brennstoffe"],
 }
+# every keyword of a main share contains one of these
+MAIN_SHARE_HINTS = ["energie", "kraft", "strom", "nuklear", "anteil", "fossile"]
 # values outside the shared claims: (unit, keywords), tried in order until one is non-zero
 CO2_ATTEMPTS = [
     ("g/kwh", ["co2-emissionen", "co₂-emissionen", "kohlendioxid", "co2", "co₂", "treibhausgasemissionen"]),

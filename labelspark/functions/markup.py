@@ -8,8 +8,11 @@ import re
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-# white space as browsers and scripts understand it
-SPACE = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]+"
+# White space as browsers and scripts understand it.  The rare characters stand behind one range test,
+# which ASCII fails at once.
+_RARE = r"[ -￿&&[   -     　﻿]]"
+# every run of white space that is not already a single blank
+_RUN = r"[\t-\r" + _RARE + r"][\s" + _RARE + r"]*| [\s" + _RARE + "]+"
 # what never shows as text: comments, scripts, styles, noscript, head
 HIDDEN = (
     r"(?is)<!--.*?(?:-->|\z)|<(script|style|noscript|head)\b[^>]*>.*?(?:</\1\s*>|\z)|<title\b[^>]*>.*?</title\s*>"
@@ -36,7 +39,7 @@ def decode_attribute(value: pd.Series) -> pd.Series:
 
 
 def collapse(text: Column) -> Column:
-    return F.regexp_replace(text, SPACE, " ")
+    return F.regexp_replace(text, _RUN, " ")
 
 
 def visible_markup(markup: Column) -> Column:

@@ -145,7 +145,8 @@ def change_audit(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
             F.to_json(F.struct(after.alias(label)), {"ignoreNullFields": "false"}).alias("new_json"),
         )))
     found = F.filter(F.array(*entries), lambda x: x.isNotNull())
-    return pairs.select(F.col(key).alias("entity_id"), F.explode(found).alias("e")).select("entity_id", "e.*")
+    settled = settle(pairs.select(F.col(key).alias("entity_id"), "_old", "_new"), {"_found": found})
+    return settled.select("entity_id", F.explode("_found").alias("e")).select("entity_id", "e.*")
 
 
 def enrich_master_data(providers: DataFrame, extracted: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def expected_co2(df: DataFrame) -> Column:
 def with_issues(df: DataFrame) -> DataFrame:
     """Adds ``issues``: an array of (code, path, severity), and ``is_valid``: no issue is an error."""
     ee, fo, nu = (zero_if_null(F.col(c)) for c in ("renewable", "fossil", "nuclear"))
-    df = df.withColumns({
+    df = settle(df, {
         "_total": round_half_up(ee + fo + nu, 2),
         "_expected": expected_co2(df),
         "_ee_parts": round_half_up(part_sum(df, C.RENEWABLE_PARTS), 2),
@@ -80,7 +80,7 @@ def with_issues(df: DataFrame) -> DataFrame:
         F.when(broken, F.struct(F.lit(code).alias("code"), F.lit(path).alias("path"), F.lit(severity).alias("severity")))
         for code, path, severity, broken in rules
     ])
-    df = df.withColumn("issues", F.filter(found, lambda x: x.isNotNull()))
+    df = settle(df, {"issues": F.filter(found, lambda x: x.isNotNull())})
     df = df.withColumn("is_valid", ~F.exists("issues", lambda x: x["severity"] == "error"))
     return df.drop("_total", "_ee_parts", "_fo_parts").withColumnRenamed("_expected", "expected_co2")
 
@@ -107,7 +107,7 @@ def ingest_gate(df: DataFrame) -> DataFrame:
     for broken, cap, _ in rules:
         confidence = F.when(broken, F.least(confidence, F.lit(cap))).otherwise(confidence)
     warnings = F.filter(F.array(*[F.when(b, F.lit(name)) for b, _, name in rules]), lambda x: x.isNotNull())
-    return df.withColumns({"gate_warnings": warnings, "accepted": ~(total > 150), "confidence": confidence})
+    return settle(df, {"gate_warnings": warnings, "accepted": ~(total > 150), "confidence": confidence})
 
 
 def penalised_confidence(confidence: Column, is_valid: Column) -> Column:
@@ -191,7 +191,7 @@ def with_violations(df: DataFrame, rules: list[Rule]) -> DataFrame:
         F.when(F.coalesce(broken, F.lit(False)), F.struct(F.lit(field).alias("field"), F.lit(rule).alias("rule")))
         for field, rule, broken in rules
     ])
-    return df.withColumn("violations", F.filter(found, lambda x: x.isNotNull()))
+    return settle(df, {"violations": F.filter(found, lambda x: x.isNotNull())})
 
 
 def violation_rows(df: DataFrame, rules: list[Rule], key: str = "id") -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from labelspark import constants as C
 from labelspark.functions.label_values import label_values
-from labelspark.functions.markup import SPACE, collapse, decode_references, strip_tags, visible_markup
+from labelspark.functions.markup import collapse, decode_references, strip_tags, visible_markup
+from labelspark.functions.plan import settle
 from labelspark.operators.latest import pick
 
 
@@ -26,11 +25,15 @@ def label_sections(rows: DataFrame, text: str) -> DataFrame:
     the text before it counts, with none the whole text.
     """
     kinds = F.array(*[F.lit(kind) for _, kind in C.SECTION_STARTS])
-    rows = rows.withColumns({
-        "_starts": F.array(*[F.instr(F.col(text), heading) for heading, _ in C.SECTION_STARTS]),
-        "_stop": F.array_min(F.filter(F.array(*[F.instr(F.col(text), s) for s in C.SECTION_STOPS]), lambda at: at > 0)),
+    def position(heading: str) -> Column:
+        # a byte search first: most headings are absent, and counting characters is the slow part
+        return F.when(F.col(text).contains(heading), F.instr(F.col(text), heading)).otherwise(0)
+
+    rows = settle(rows, {
+        "_starts": F.array(*[position(heading) for heading, _ in C.SECTION_STARTS]),
+        "_stop": F.array_min(F.filter(F.array(*[position(s) for s in C.SECTION_STOPS]), lambda at: at > 0)),
     })
-    rows = rows.withColumn("_start", F.get(F.filter("_starts", lambda at: at > 0), F.lit(0)))
+    rows = settle(rows, {"_start": F.get(F.filter("_starts", lambda at: at > 0), F.lit(0))})
     body, start, stop = F.col(text), F.col("_start"), F.col("_stop")
     section = (
         F.when(start.isNotNull() & (stop > start), F.substring(body, start, stop - start))
@@ -39,7 +42,7 @@ def label_sections(rows: DataFrame, text: str) -> DataFrame:
         .otherwise(body)
     )
     kind = F.when(start.isNotNull(), F.get(kinds, F.array_position("_starts", start).cast("int") - 1)).otherwise("unbekannt")
-    return rows.withColumns({"_section": section, "mix_type": kind}).drop(text, "_starts", "_start", "_stop")
+    return settle(rows, {"_section": section, "mix_type": kind}).drop(text, "_starts", "_start", "_stop")
 
 
 def extraction_confidence(renewable: Column, fossil: Column, nuclear: Column, co2: Column, waste: Column) -> Column:
@@ -56,16 +59,16 @@ def extraction_confidence(renewable: Column, fossil: Column, nuclear: Column, co
 def extract_labels(documents: DataFrame, default_year: int, text: str = "text") -> DataFrame:
     """One row per document that carries a label: year, shares, CO2, waste, mix type and confidence.
 
-    Texts that mention none of the three main shares cannot carry a label and are left out first, by one
-    pattern over the whole raw text.  White space, section and year of the others are found on the JVM;
-    only their sections are handed to the Arrow function.
+    Texts that cannot mention one of the three main shares carry no label and are left out first, by
+    plain searches over the whole raw text.  White space, section and year of the others are found on
+    the JVM; only their sections are handed to the Arrow function.
     """
-    main = [re.escape(w).replace(r"\ ", SPACE) for share in ("renewable", "nuclear", "fossil") for w in C.SHARE_KEYWORDS[share]]
-    documents = documents.filter(F.lower(text).rlike("|".join(main)))
-    clean = F.regexp_replace(F.col(text), SPACE, " ")
-    year = F.regexp_extract(clean, C.LABEL_YEAR_PATTERN, 1).try_cast("int")
-    rows = documents.withColumns({"_lower": F.lower(clean), "year": F.coalesce(year, F.lit(default_year))}).drop(text)
-    rows = label_sections(rows, "_lower").withColumn("_v", label_values("_section")).drop("_section")
+    documents = documents.filter(F.lower(text).rlike("|".join(C.MAIN_SHARE_HINTS)))
+    rows = settle(documents, {"_lower": F.lower(collapse(F.col(text)))}).drop(text)
+    year = F.regexp_extract("_lower", C.LABEL_YEAR_PATTERN, 1).try_cast("int")
+    rows = settle(rows, {"year": F.coalesce(year, F.lit(default_year))})
+    # settled, so that the filter below does not run the Arrow function a second time
+    rows = settle(label_sections(rows, "_lower"), {"_v": label_values("_section")}).drop("_section")
     v = {f: F.col(f"_v.{f}") for f in [*C.SHARE_KEYWORDS, "co2", "waste", "eeg_percentage"]}
     zero = F.lit(0.0)
     found = sum((F.when(F.coalesce(v[f], zero) != 0, 1).otherwise(0) for f in ("fossil", "nuclear")),

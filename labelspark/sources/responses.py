@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from labelspark.functions.plan import settle
 from labelspark.operators.quality import penalised_confidence, with_issues
 
 _DOUBLES = [
@@ -19,23 +20,23 @@ def normalise(responses: DataFrame, column: str = "raw_response") -> tuple[DataF
     document is no label, is a reject.  Older field names are mapped, checks and the confidence penalty
     are applied."""
     clean = F.trim(F.regexp_replace(column, "```json|```", ""))
-    parsed = responses.withColumn("_v", F.try_parse_json(clean))
+    parsed = settle(responses, {"_v": F.try_parse_json(clean)})
 
     def get(path: str, kind: str) -> Column:
         return F.try_variant_get("_v", "$." + path, kind)
 
     is_object = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
     refused = F.coalesce(get("is_skz", "string") == "false", F.lit(False))
-    parsed = parsed.withColumn("_reason", F.when(~is_object, "json").when(refused, "no_label"))
+    parsed = settle(parsed, {"_reason": F.when(~is_object, "json").when(refused, "no_label")})
     columns = {f: get(f, "double") for f in _DOUBLES} | {f: get(f, "string") for f in _STRINGS}
     columns |= {
         "year": get("year", "int"),
         "waste": F.coalesce(get("waste", "double"), get("radioactive_waste", "double")),
         "hkn": F.coalesce(get("hkn", "double"), get("ee_with_hkn", "double")),
-        "hkn_origins": F.from_json(F.when(get("hkn_origins", "string").startswith("["), get("hkn_origins", "string")), _ORIGINS),
+        "hkn_origins": F.try_variant_get("_v", "$.hkn_origins", _ORIGINS),
         "confidence": get("confidence", "int"),
     }
-    rows = parsed.filter(F.col("_reason").isNull()).withColumns(columns).drop("_v", "_reason")
+    rows = settle(parsed.filter(F.col("_reason").isNull()), columns).drop("_v", "_reason")
     checked = with_issues(rows)
     checked = checked.withColumn("confidence", penalised_confidence(F.col("confidence"), F.col("is_valid")))
     rejects = parsed.filter(F.col("_reason").isNotNull()).withColumnRenamed("_reason", "reason").drop("_v")

@@ -52,15 +52,19 @@ def _entries(window_ms: int):
 
 def _chain(window_ms: int):
     """Per key: the end of the window that is open when each chunk begins."""
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("chunk")
-        ends, end = [], np.iinfo("int64").min
-        for entries, exits in zip(group["entries"], group["exits"]):
-            ends.append(end)
-            i = int(np.searchsorted(entries, end, side="right"))
-            if i < len(entries):
-                end = int(exits[i]) + window_ms
-        return pd.DataFrame({"key": group["key"], "chunk": group["chunk"], "open_until": ends})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys, chunks, ends = [], [], []
+            for key, tables in zip(batch["key"], batch["tables"]):
+                end = np.iinfo("int64").min
+                for table in tables:
+                    keys.append(key)
+                    chunks.append(table["chunk"])
+                    ends.append(end)
+                    i = int(np.searchsorted(table["entries"], end, side="right"))
+                    if i < len(table["entries"]):
+                        end = int(table["exits"][i]) + window_ms
+            yield pd.DataFrame({"key": keys, "chunk": chunks, "open_until": ends})
 
     return run
 
@@ -69,7 +73,7 @@ def _assign(window_ms: int):
     """Per chunk: the window start of every millisecond."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = []
+            keys, at, requests, windows = [], [], [], []
             for key, times, counts, open_until in zip(batch["key"], batch["times"], batch["counts"], batch["open_until"]):
                 times = np.asarray(times, dtype="int64")
                 follow, i = _next_starts(times, window_ms), int(np.searchsorted(times, open_until, side="right"))
@@ -79,9 +83,13 @@ def _assign(window_ms: int):
                     i = int(follow[i])
                 starts = np.asarray(starts, dtype="int64")
                 own = starts[np.searchsorted(starts, times, side="right") - 1]
-                parts.append(pd.DataFrame({"key": key, "at_ms": times, "requests": counts, "window_ms": own}))
-            if parts:
-                yield pd.concat(parts)
+                keys.extend([key] * len(times))
+                at.append(times)
+                requests.append(counts)
+                windows.append(own)
+            if at:
+                yield pd.DataFrame({"key": keys, "at_ms": np.concatenate(at), "requests": np.concatenate(requests),
+                                    "window_ms": np.concatenate(windows)})
 
     return run
 
@@ -102,7 +110,10 @@ def audit(requests: DataFrame, key: str, ts: str, limit: int, window_ms: int) ->
     )
     tables = chunks.select("key", "chunk", "begin", "times").mapInPandas(
         _entries(window_ms), "key string, chunk long, entries array<long>, exits array<long>")
-    open_windows = tables.groupBy("key").applyInPandas(_chain(window_ms), "key string, chunk long, open_until long")
+    open_windows = (
+        tables.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("chunk", "entries", "exits"))).alias("tables"))
+        .mapInPandas(_chain(window_ms), "key string, chunk long, open_until long")
+    )
     assigned = chunks.join(open_windows, ["key", "chunk"]).select("key", "times", "counts", "open_until").mapInPandas(
         _assign(window_ms), "key string, at_ms long, requests long, window_ms long")
     # a window holds at most window_ms distinct moments, however many requests it saw
