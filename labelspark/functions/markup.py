@@ -10,7 +10,7 @@ from pyspark.sql import Column, functions as F, types as T
 
 # White space as browsers and scripts understand it.  The rare characters stand behind one range test,
 # which ASCII fails at once.
-_RARE = r"[ -￿&&[   -     　﻿]]"
+_RARE = r"[\u00a0-\uffff&&[\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]]"
 # every run of white space that is not already a single blank
 _RUN = r"[\t-\r" + _RARE + r"][\s" + _RARE + r"]*| [\s" + _RARE + "]+"
 # what never shows as text: comments, scripts, styles, noscript, head

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from labelspark import constants as C
 from labelspark.functions.label_values import label_values
 from labelspark.functions.markup import collapse, decode_references, strip_tags, visible_markup
+from labelspark.functions.names import contains_any
 from labelspark.functions.plan import settle
 from labelspark.operators.latest import pick
 
@@ -63,8 +64,9 @@ def extract_labels(documents: DataFrame, default_year: int, text: str = "text")
     plain searches over the whole raw text.  White space, section and year of the others are found on
     the JVM; only their sections are handed to the Arrow function.
     """
-    documents = documents.filter(F.lower(text).rlike("|".join(C.MAIN_SHARE_HINTS)))
-    rows = settle(documents, {"_lower": F.lower(collapse(F.col(text)))}).drop(text)
+    rows = settle(documents, {"_lower": F.lower(text)}).drop(text)
+    rows = rows.filter(contains_any(F.col("_lower"), C.MAIN_SHARE_HINTS))
+    rows = settle(rows, {"_lower": collapse(F.col("_lower"))})
     year = F.regexp_extract("_lower", C.LABEL_YEAR_PATTERN, 1).try_cast("int")
     rows = settle(rows, {"year": F.coalesce(year, F.lit(default_year))})
     # settled, so that the filter below does not run the Arrow function a second time

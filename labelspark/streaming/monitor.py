@@ -89,11 +89,10 @@ def stale_stream(changes: DataFrame, seconds: int = C.STALE_JOB_SECONDS, delay:
         outputMode="Append", timeMode="EventTime")
 
 
-def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
-    """Work through everything that is there, then stop."""
-    query = (
-        df.writeStream.format("memory").queryName(name).outputMode(mode)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+def run_available(df: DataFrame, checkpoint: str, mode: str, table: str | None = None, path: str | None = None) -> StreamingQuery:
+    """Work through everything that is there, then stop: into an in-memory table, or into parquet files
+    (append mode), from where a later run goes on with the stored state."""
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    query = writer.format("parquet").start(path) if path else writer.format("memory").queryName(table).start()
     query.awaitTermination()
     return query
