@@ -20,10 +20,9 @@ def deviation_percent(expected: Column, actual: Column) -> Column:
         round_half_away((actual - expected) / F.nullif(expected, F.lit(0.0)) * 100, 2))
 
 
-def reconcile(star: DataFrame, totals: DataFrame) -> DataFrame:
-    """Expected against cancelled volume for the rows of a year star."""
-    columns = star.columns
-    rows = star.join(totals.select("provider_id", "ist_mwh"), "provider_id", "left")
+def reconcile(rows: DataFrame) -> DataFrame:
+    """Expected against cancelled volume for the rows of a year star that carries ``ist_mwh``."""
+    columns = rows.columns
     hkn, volume = zero_if_null(F.col("hkn_percentage")), zero_if_null(F.col("delivered_volume_mwh"))
     rows = rows.withColumns({
         "hkn_percentage": hkn,
@@ -46,8 +45,8 @@ def reconcile(star: DataFrame, totals: DataFrame) -> DataFrame:
 def reconciliation(providers: DataFrame, deliveries: DataFrame, documents: DataFrame, mixes: DataFrame,
                    audits: DataFrame, cancellations: DataFrame, year: int, latest_only: bool = False) -> DataFrame:
     """The whole reconciliation of one year in one plan; cancellations are summed before they are joined."""
-    star = year_star(providers, deliveries, documents, mixes, audits, year, latest_only)
-    return reconcile(star, cancelled_totals(cancellations, year))
+    totals = cancelled_totals(cancellations, year).select("provider_id", "ist_mwh")
+    return reconcile(year_star(providers, deliveries, documents, mixes, audits, year, latest_only, totals))
 
 
 def direction(diff: Column) -> Column:

@@ -11,6 +11,20 @@ from labelspark.functions.names import match_key
 from labelspark.functions.urls import domain
 
 
+def fan_out(left: DataFrame, right: DataFrame, key: str, keys: DataFrame | None = None,
+            present: DataFrame | None = None) -> DataFrame:
+    """``left`` LEFT JOIN ``right`` where one key of ``right`` may hold a large share of all its rows.
+
+    ``key`` is unique and never NULL in ``left``.  In a left outer join adaptive execution can only split a hot key of the
+    left side.  So the keys without a match are first added to the many-rows side, which makes the rest an
+    inner join whose hot key can be split.  ``keys`` and ``present`` give the keys of ``left`` and ``right``
+    where they are cheaper to get than from these.
+    """
+    left_keys, right_keys = (left if keys is None else keys), (right if present is None else present)
+    bare = left_keys.select(key).join(right_keys.select(key).distinct(), key, "left_anti")
+    return right.unionByName(bare, allowMissingColumns=True).join(left, key)
+
+
 def jobs_with_provider(jobs: DataFrame, providers: DataFrame, keep_orphans: bool = False) -> DataFrame:
     """Jobs with the supplier name; orphan jobs are kept on request."""
     names = providers.select(F.col("id").alias("provider_id"), F.col("name").alias("provider_name"))
@@ -24,11 +38,13 @@ def with_year_volume(providers: DataFrame, deliveries: DataFrame, year: int) ->
 
 
 def year_star(providers: DataFrame, deliveries: DataFrame, documents: DataFrame, mixes: DataFrame,
-              audits: DataFrame, year: int, latest_only: bool = False) -> DataFrame:
+              audits: DataFrame, year: int, latest_only: bool = False, totals: DataFrame | None = None) -> DataFrame:
     """Active suppliers with volume, label and verdict of one year.
 
     A supplier with two labels in the year appears twice.  ``latest_only`` keeps its newest document
-    and mix instead.  The right sides are cut to the year before they are joined.
+    and mix instead.  The right sides are cut to the year before they are joined; those with one row per
+    supplier (volume, verdict, ``totals``) come first, the labels last, so that a supplier with very many
+    documents is met only once.
     """
     active = providers.filter("active").select(
         F.col("id").alias("provider_id"), F.col("name").alias("provider_name"), "file_number")
@@ -38,24 +54,23 @@ def year_star(providers: DataFrame, deliveries: DataFrame, documents: DataFrame,
     columns = ["renewable_percentage", "hkn_percentage", "eeg_percentage"]
     shares = mixes.filter(F.col("document_id").isNotNull()).select(
         "document_id", F.col("id").alias("mix_id"), *[c for c in columns if c in mixes.columns])
-    labels = docs.join(shares, "document_id", "left")
+    labels = fan_out(docs, shares, "document_id")
     if latest_only:
         from labelspark.operators.latest import pick
         rest = [c for c in labels.columns if c != "provider_id"]
         labels = pick(labels, "provider_id", F.struct("document_id", "mix_id"), rest)
     verdict = audits.filter(F.col("year") == year).drop("year").withColumnRenamed("status", "audit_status")
-    return (
-        active.join(volume, "provider_id", "left")
-        .join(labels, "provider_id", "left")
-        .join(verdict, "provider_id", "left")
-    )
+    base = active.join(volume, "provider_id", "left").join(verdict, "provider_id", "left")
+    if totals is not None:
+        base = base.join(totals, "provider_id", "left")
+    return fan_out(base, labels, "provider_id", keys=active, present=docs)
 
 
 def documents_with_mixes(documents: DataFrame, mixes: DataFrame) -> DataFrame:
     """Every document with its 0..n mixes."""
     right = mixes.select(F.col("document_id").alias("id"), F.col("id").alias("mix_id"), F.col("year").alias("mix_year"),
                          *[c for c in mixes.columns if c not in ("id", "document_id", "year", "provider_id", "created_at")])
-    return documents.join(right, "id", "left")
+    return fan_out(documents, right, "id")
 
 
 def exists_flag(left: DataFrame, right: DataFrame, key: str, name: str) -> DataFrame:
@@ -170,12 +185,14 @@ def with_national_mix(mixes: DataFrame, year: str = "year", table: dict[int, tup
 def with_constants(rows: DataFrame, constants: DataFrame, fallback: int, year: str = "year") -> DataFrame:
     """Constants of the year from a table keyed by year, else those of the fallback year.
 
-    The key is settled first (known year or fallback), so one equi join is enough.
+    The key is settled first (known year or fallback), then one equi join adds the constants.  Both sides
+    are broadcast: years are valid from 2000 to 2100 and unique, so the table has at most 101 rows.
     """
-    known = constants.select(F.col("year").alias("_known")).distinct()
-    keyed = rows.join(known, F.col(year) == F.col("_known"), "left").withColumn(
+    bounded = constants.filter(F.col("year").between(2000, 2100)).dropDuplicates(["year"])
+    known = bounded.select(F.col("year").alias("_known"))
+    keyed = rows.join(F.broadcast(known), F.col(year) == F.col("_known"), "left").withColumn(
         "_year", F.coalesce("_known", F.lit(fallback))).drop("_known")
-    return keyed.join(constants.withColumnRenamed("year", "_year"), "_year", "left").drop("_year")
+    return keyed.join(F.broadcast(bounded.withColumnRenamed("year", "_year")), "_year", "left").drop("_year")
 
 
 def nest_cancellations(providers: DataFrame, cancellations: DataFrame, year: int) -> DataFrame:

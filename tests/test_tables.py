@@ -161,3 +161,11 @@ def test_nested_lists(spark):
     origins = spark.createDataFrame([(1, "NO", 10.0), (1, "SE", 60.0), (1, "SE", 60.0)], "energy_mix_id int, country string, percentage double")
     got = {r.id: r.hkn_origins and [(o.country, o.percentage) for o in r.hkn_origins] for r in joins.nest_origins(providers, origins).collect()}
     assert got == {1: [("SE", 60.0), ("SE", 60.0), ("NO", 10.0)], 2: None}
+
+
+def test_fan_out_is_a_left_join(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "k int, v string")
+    right = spark.createDataFrame([(1, 10)] * 50 + [(2, None), (9, 1), (None, 7)], "k int, w int")
+    assert rows_of(joins.fan_out(left, right, "k"), "k", "v", "w").count((1, "a", 10)) == 50
+    got = rows_of(joins.fan_out(left.filter("k IS NOT NULL"), right, "k"), "k", "v", "w")
+    assert got == rows_of(left.filter("k IS NOT NULL").join(right, "k", "left"), "k", "v", "w")
