@@ -19,13 +19,13 @@ def normalise(responses: DataFrame, column: str = "raw_response") -> tuple[DataF
     """(rows, rejects).  Code fences are removed; a response that is no JSON object, or that says the
     document is no label, is a reject.  Older field names are mapped, checks and the confidence penalty
     are applied."""
-    clean = F.trim(F.regexp_replace(column, "```json|```", ""))
-    parsed = settle(responses, {"_v": F.try_parse_json(clean)})
+    clean = F.trim(F.regexp_replace(column, "```json|```", ""), F.lit(" \t\r\n"))
+    parsed = settle(settle(responses, {"_json": clean}), {"_v": F.try_parse_json("_json")})
 
     def get(path: str, kind: str) -> Column:
         return F.try_variant_get("_v", "$." + path, kind)
 
-    is_object = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
+    is_object = F.coalesce(F.col("_v").isNotNull() & F.col("_json").startswith("{"), F.lit(False))
     refused = F.coalesce(get("is_skz", "string") == "false", F.lit(False))
     parsed = settle(parsed, {"_reason": F.when(~is_object, "json").when(refused, "no_label")})
     columns = {f: get(f, "double") for f in _DOUBLES} | {f: get(f, "string") for f in _STRINGS}
@@ -36,8 +36,8 @@ def normalise(responses: DataFrame, column: str = "raw_response") -> tuple[DataF
         "hkn_origins": F.try_variant_get("_v", "$.hkn_origins", _ORIGINS),
         "confidence": get("confidence", "int"),
     }
-    rows = settle(parsed.filter(F.col("_reason").isNull()), columns).drop("_v", "_reason")
+    rows = settle(parsed.filter(F.col("_reason").isNull()), columns).drop("_v", "_json", "_reason")
     checked = with_issues(rows)
     checked = checked.withColumn("confidence", penalised_confidence(F.col("confidence"), F.col("is_valid")))
-    rejects = parsed.filter(F.col("_reason").isNotNull()).withColumnRenamed("_reason", "reason").drop("_v")
+    rejects = parsed.filter(F.col("_reason").isNotNull()).withColumnRenamed("_reason", "reason").drop("_v", "_json")
     return checked, rejects
