@@ -31,7 +31,10 @@ def upsert(base: DataFrame, updates: DataFrame, keys: list[str], order: str | No
 
 
 def insert_if_absent(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    fresh = new.dropDuplicates(keys).join(base.select(*keys), keys, "left_anti")
+    rest = [c for c in new.columns if c not in keys]
+    one = new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*") if rest else new.select(*keys).distinct()
+    # the smallest row per key, so that a repeated task gives the same result
+    fresh = one.join(base.select(*keys), keys, "left_anti")
     return base.unionByName(fresh, allowMissingColumns=True)
 
 

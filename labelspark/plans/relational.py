@@ -247,7 +247,7 @@ def _(v: Views) -> DataFrame:
 
 
 @query("j9_time_proximity", """SELECT DISTINCT m.id, m.provider_id FROM v_mix m JOIN v_jobdoc d ON d.provider_id = m.provider_id
-WHERE m.document_id IS NULL AND abs(epoch_ms(m.created_at) - epoch_ms(d.created_at)) < 60000""")
+WHERE m.document_id IS NULL AND abs(epoch_us(m.created_at) // 1000 - epoch_us(d.created_at) // 1000) < 60000""")
 def _(v: Views) -> DataFrame:
     return joins.near_documents(v.mix, v.jobdoc).select("id", "provider_id")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from labelspark.functions import labels, names, urls
 from labelspark.operators import latest, links, text
+from labelspark.operators.aggregates import table_metrics
 from labelspark.plans import jobs
 from labelspark.plans.registry import query
 from labelspark.plans.relational import snapshot
@@ -143,7 +144,7 @@ def _(v: Views) -> DataFrame:
     return links.choose_source(v.result)
 
 
-@query("job_link_selection")
+@query("job_link_selection", """SELECT page_id, regexp_extract(url, '^([a-z]+://[^/]+)', 1) || '/skz/' || page_id || '/Stromkennzeichnung.pdf?a=1&b=2' AS url, 100 AS score, 0 AS position FROM pages""")
 def _(v: Views) -> DataFrame:
     """Pages whose navigation also offers label documents."""
     offer = F.concat(F.lit('<a href="/skz/'), F.col("page_id").cast("string"), F.lit('/Stromkennzeichnung.pdf?a=1&amp;b=2">Strommix</a><img src="logo-strommix.png">'))
@@ -215,6 +216,14 @@ def _(v: Views) -> DataFrame:
     return text.cascade(candidates, "id", {"gemini_text": 50}, vetoed)
 
 
+@query("job_supplier_matching", """WITH w AS (SELECT d.id, len(w.words) > 0 AND len(list_filter(w.words, lambda x: contains(lower(d.source_url), x))) = 0 AS strange
+  FROM v_doc d JOIN v_words w ON w.id = d.provider_id WHERE d.file_type <> 'manual')
+SELECT 'matched' AS metric, count(*) AS rows FROM v_ledger_match WHERE provider_id IS NOT NULL UNION ALL SELECT 'unmatched', count(*) FROM v_ledger_match WHERE provider_id IS NULL
+UNION ALL SELECT 'rejected', (SELECT count(*) FROM v_ledger_row) - (SELECT count(*) FROM v_ledger_match) UNION ALL SELECT 'foreign', count(*) FROM w WHERE strange""")
+def _(v: Views) -> DataFrame:
+    return table_metrics(jobs.supplier_matching(v.ledger, v.doc.drop("text"), v.provider, v.mix))
+
+
 @query("job_label_extraction", f"""WITH l AS ({LABEL_SQL}) SELECT l.doc_id AS id, d.provider_id, l.year, renewable, fossil, nuclear, CASE WHEN nuclear > 5 AND l.year >= 2024 THEN least(confidence, 30) ELSE confidence END AS confidence
 FROM l JOIN v_doc d ON d.id = l.doc_id JOIN v_provider p ON p.id = d.provider_id""")
 def _(v: Views) -> DataFrame:
@@ -282,7 +291,7 @@ def _(v: Views) -> DataFrame:
 # --- monitoring -------------------------------------------------------------------------------------
 
 
-@query("r1_rate_limit", """WITH RECURSIVE e AS (SELECT CAST(user_id AS STRING) AS key, epoch_ms(ts) AS t, count(*) AS n FROM events GROUP BY 1, 2),
+@query("r1_rate_limit", """WITH RECURSIVE e AS (SELECT CAST(user_id AS STRING) AS key, epoch_us(ts) // 1000 AS t, count(*) AS n FROM events GROUP BY 1, 2),
 s AS (SELECT key, min(t) AS t FROM e GROUP BY key UNION ALL SELECT e.key, min(e.t) FROM s JOIN e ON e.key = s.key AND e.t > s.t + 21600000 GROUP BY e.key),
 a AS (SELECT e.key, e.t, e.n, max(s.t) AS w FROM e JOIN s ON s.key = e.key AND s.t <= e.t GROUP BY ALL),
 c AS (SELECT *, CAST(sum(n) OVER (PARTITION BY key, w ORDER BY t) - n AS BIGINT) AS before FROM a)
