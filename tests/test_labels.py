@@ -134,3 +134,18 @@ def test_hash_duplicates(spark):
     got = sorted(tuple(r) for r in text.hash_duplicates(docs).select("file_hash", "provider_id", "documents", "providers", "copies").collect())
     assert got == [("a", 1, 1, 2, 3), ("a", 2, 2, 2, 3)]
     assert docs.filter(F.col("file_hash").isNull()).count() == 2
+
+
+def test_task_functions_travel_with_the_plan(tmp_path):
+    """A worker that cannot import the package still runs the Arrow functions."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from labelspark.functions.label_values import label_values
+
+    (tmp_path / "f").write_bytes(cloudpickle.dumps(label_values.func))
+    code = "import pickle, pandas as pd; f = pickle.load(open('f', 'rb')); print(f(pd.Series(['ökostrom 50 %']))['renewable'][0])"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert done.stdout.strip() == "50.0"
