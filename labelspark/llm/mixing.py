@@ -19,7 +19,7 @@ from labelspark.llm.storage import write_table
 
 WEIGHTS = (5, 2, 1)  # by source in code-point order, repeating
 MOST_COPIES = 3
-SLICE_ROWS = 50_000  # rows of a slice of the shuffled order, about
+SLICE_ROWS = 5_000  # rows of a slice of the shuffled order, about
 SEED = "mix"
 
 

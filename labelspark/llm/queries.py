@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelspark.llm import decontaminate, mixing, near_dup, sharding, toxicity
+from labelspark.llm import (
+    ann, decontaminate, mixing, near_dup, pii, secrets, sharding, token_files, tool_calls, toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +39,74 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@_query
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth."""
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+# Parameters of the tools that op4 derives from conversations.
+SCHEMAS: tool_calls.Schemas = {
+    "search": {"query": ("string", True), "limit": ("integer", False), "after": ("object", False)},
+    "fetch": {"query": ("string", True), "limit": ("integer", True), "after": ("object", False)},
+    "note": {"query": ("string", True), "after": ("object", False)},
+}
+
+
+@_query
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn read as a tool call, every assistant turn as the result of the call one turn before.
+
+    The tool goes by the length of the text.  Some limits are texts instead of numbers, ``note`` gets a limit that it does
+    not know, and most calls refer to the one two turns before.
+    """
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    name = lambda turn: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
+    n = F.length("text")
+    limit = F.when(n % 11 == 0, F.to_json(F.struct(n.cast("string").alias("v")))).otherwise(F.to_json(F.struct(n.alias("v"))))
+    refer = F.when(F.col("turn") % 8 > 1, F.to_json(F.struct(name(F.col("turn") - 2).alias("$ref"))))
+    arguments = F.concat(F.lit('{"query": '), F.regexp_extract(F.to_json(F.struct(F.col("text").alias("v"))), r"^\{.v.:(.*)\}$", 1),
+                         F.lit(', "limit": '), F.regexp_extract(limit, r"^\{.v.:(.*)\}$", 1),
+                         F.coalesce(F.concat(F.lit(', "after": '), refer), F.lit("")), F.lit("}"))
+    tool = F.element_at(F.array(F.lit("search"), F.lit("fetch"), F.lit("note")), (n % 3 + 1).cast("int"))
+    calls = turns.where("role = 'user' and text is not null").select(
+        "conv_id", "turn", name(F.col("turn")).alias("call_id"), tool.alias("name"), arguments.alias("arguments"))
+    results = turns.where("role = 'assistant'").select(
+        "conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    linked = tool_calls.link_tool_calls(calls, results, SCHEMAS)
+    return linked.withColumn("errors", F.array_join("errors", "; "))
+
+
+def _joined(spans, keep=None):
+    """kind:start:end of the spans, comma-joined."""
+    chosen = spans if keep is None else F.filter(spans, keep)
+    return F.array_join(F.transform(chosen, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _count(spans: str, kind: str, base_only: bool = False):
+    """How many spans are of a kind."""
+    return F.size(F.filter(spans, lambda s: (s["kind"] == kind) & (s["base"] if base_only else F.lit(True)))).cast("long")
+
+
+@_query
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in all documents."""
+    found = pii.find_personal_data(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [_count("found", k, base_only=True).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(_joined("found", lambda s: s["base"]), 256).alias("base_sha256"), _joined("found").alias("spans"))
+
+
+@_query
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in all documents; the models are trained on the same documents."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(docs))
+    counts = [_count("spans", k).alias(f"n_{k}") for k in secrets.KINDS]
+    base = F.sha2(_joined("spans", lambda s: s["kind"] != "markov"), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), _joined("spans").alias("spans"))
+
+
 @_query
 def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
@@ -55,6 +125,16 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@_query
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded, written as flat files, and read back."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    manifest = token_files.write_token_files(_read(spark, sf_dir, "documents"), path, end_id=1)
+    return token_files.read_token_files(manifest, token_files.id_width(path, 1))
+
+
 # Fixed values of the oracles: word patterns, window lengths, weights and the generator of the jump hash, as the contracts state.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from labelspark.llm.storage import write_table
+from labelspark.llm.order import numbered
 
 SHARDS = 24
 # Fixed values of the published generator: multiplier (increment 1) and the scale of a jump.
@@ -60,7 +60,7 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, id_column: str = "doc_id",
     Law ``key``: the id and the number of shards decide, whatever else the table holds; null ids share one key.  ``slot``
     counts a shard's rows from 0 without gaps, in the order of ids (null first).  ``grown_shard``: the shard with one more shard.
 
-    Slots need no task per shard: rows are range-sorted by shard and id, counted by sorted partition, and numbered within it.
+    Slots need no task per shard (see ``order.numbered``).
     """
     text = F.col(text_column)
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
@@ -69,15 +69,8 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, id_column: str = "doc_id",
                          F.xxhash64(text).alias("text_key"))
     placed = narrow.withColumn("shard", jump_shard(F.col("doc_id"), shards))
     placed = placed.withColumn("grown_shard", jump_shard(F.col("doc_id"), shards + 1))
-    order = ["shard", "doc_id", "text_crc32", "size", "text_key"]
-    ranged = placed.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    ranged = write_table(ranged, "shard_order")  # written once, so the partition numbers hold
-    counts = ranged.groupBy("shard", "part").agg(F.count("*").alias("rows"))
-    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("shard", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
-    within = F.row_number().over(Window.partitionBy("shard", "part").orderBy(*order[1:])) - 1
-    slotted = ranged.join(bases, ["shard", "part"]).withColumn("slot", F.col("base") + within)
-    return slotted.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long"),
+    slotted = numbered(placed, ["shard"], ["doc_id", "text_crc32", "size", "text_key"], "slot")
+    return slotted.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot",
                           "grown_shard", "text_key")
 
 
