@@ -13,12 +13,19 @@ from pyspark.sql import Column, functions as F, types as T
 _RARE = r"[\u00a0-\uffff&&[\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]]"
 # every run of white space that is not already a single blank
 _RUN = r"[\t-\r" + _RARE + r"][\s" + _RARE + r"]*| [\s" + _RARE + "]+"
-# what never shows as text: comments, scripts, styles, noscript, head
+# the rest of a tag: a quoted value behind an equals sign may hold ">"
+INSIDE = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
+# what never shows as text: comments, scripts, styles, noscript, and the head, which ends at its end tag or
+# where the body begins; of a head without either, only its own elements
 HIDDEN = (
-    r"(?is)<!--.*?(?:-->|\z)|<(script|style|noscript|head)\b[^>]*>.*?(?:</\1\s*>|\z)|<title\b[^>]*>.*?</title\s*>"
+    r"(?is)<!--.*?(?:-->|\z)|<(script|style|noscript)\b" + INSIDE + r">.*?(?:</\1\s*>|\z)"
+    r"|<head\b" + INSIDE + r">.*?(?:</head\s*>|(?=<body\b))"
+    r"|<head\b" + INSIDE + r">(?:\s*+(?:<title\b" + INSIDE + r">.*?</title\s*>|<(?:meta|link|base)\b" + INSIDE + r">))*+"
 )
 # a tag cut off by the end of the page is dropped too
-TAG = r"(?s)</?[A-Za-z][^>]*(?:>|\z)|<![^>]*(?:>|\z)"
+TAG = r"(?s)</?[A-Za-z]" + INSIDE + r"(?:>|\z)|<![^>]*(?:>|\z)"
+# attributes in their order: a name, and a value that may be quoted
+ATTRIBUTE = r"""(?s)([^\s"'<>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+))?+"""
 EDGES = r"^\s+|\s+$"
 # fixed values: printable ASCII that stays as it is in a written-out address
 _ADDRESS_CHARACTERS = "!#$%&'()*+,/:;=?@[]|~\\"
@@ -50,10 +57,17 @@ def strip_tags(markup: Column) -> Column:
     return F.regexp_replace(markup, TAG, "")
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """The raw value of an attribute of a start tag, NULL when it is absent."""
-    quoted = F.nullif(F.regexp_extract(tag, r"""(?is)[\s"'/]""" + name + r"""\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", 1), F.lit(""))
-    return F.regexp_replace(quoted, r"""^["']|["']$""", "")
+def attributes(tag: Column) -> tuple[Column, Column]:
+    """(names, values) of a start tag, read one after the other; the first name is that of the tag."""
+    names = F.transform(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(1)), F.lower)
+    return names, F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(2))
+
+
+def attribute(names: Column, values: Column, name: str) -> Column:
+    """The raw value of an attribute, NULL when it is absent or has none."""
+    at = F.array_position(F.slice(names, 2, F.greatest(F.size(names), F.lit(1))), name)
+    quoted = F.when(at > 0, F.nullif(F.get(values, at.cast("int")), F.lit("")))
+    return F.regexp_replace(quoted, r"""(?s)^(["'])(.*)\1$""", "$2")
 
 
 def without_dots(url: Column) -> Column:

@@ -185,14 +185,15 @@ def with_national_mix(mixes: DataFrame, year: str = "year", table: dict[int, tup
 def with_constants(rows: DataFrame, constants: DataFrame, fallback: int, year: str = "year") -> DataFrame:
     """Constants of the year from a table keyed by year, else those of the fallback year.
 
-    The key is settled first (known year or fallback), then one equi join adds the constants.  Both sides
-    are broadcast: years are valid from 2000 to 2100 and unique, so the table has at most 101 rows.
+    The key is settled first (known year or fallback), then one equi join adds the constants.  Of a
+    repeated year the smallest row counts.  Whether a side is broadcast is left to Spark's size check.
     """
-    bounded = constants.filter(F.col("year").between(2000, 2100)).dropDuplicates(["year"])
-    known = bounded.select(F.col("year").alias("_known"))
-    keyed = rows.join(F.broadcast(known), F.col(year) == F.col("_known"), "left").withColumn(
+    values = [c for c in constants.columns if c != "year"]
+    unique = constants.filter(F.col("year").isNotNull()).groupBy("year").agg(F.min(F.struct(*values)).alias("_row"))
+    known = unique.select(F.col("year").alias("_known"))
+    keyed = rows.join(known, F.col(year) == F.col("_known"), "left").withColumn(
         "_year", F.coalesce("_known", F.lit(fallback))).drop("_known")
-    return keyed.join(F.broadcast(bounded.withColumnRenamed("year", "_year")), "_year", "left").drop("_year")
+    return keyed.join(unique.select(F.col("year").alias("_year"), "_row.*"), "_year", "left").drop("_year")
 
 
 def nest_cancellations(providers: DataFrame, cancellations: DataFrame, year: int) -> DataFrame:

@@ -53,10 +53,6 @@ def latest_mixes(mixes: DataFrame) -> DataFrame:
     return pick(mixes, "provider_id", "id", list(MIX_COLUMNS), extra=(flag,)).withColumnsRenamed(SNAPSHOT_MIX_NAMES)
 
 
-def latest_ids(df: DataFrame, key: str = "provider_id", id_col: str = "id") -> DataFrame:
-    return df.groupBy(key).agg(F.max(id_col).alias("latest_id"))
-
-
 def hash_owners(documents: DataFrame) -> DataFrame:
     """Documents reduced to one row per (hash, supplier): the base of all duplicate questions."""
     return documents.groupBy("file_hash", "provider_id").agg(

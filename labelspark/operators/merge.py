@@ -16,18 +16,23 @@ from labelspark.operators.latest import last_writer, pick
 def upsert(base: DataFrame, updates: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """Insert new keys, replace the values of known keys.  With ``order`` the last update of a key wins.
 
-    Columns of ``base`` that the updates do not carry keep their value.  One full outer join on the key.
+    Columns of ``base`` that the updates do not carry keep their value.  Where the updates are small enough for Spark to
+    broadcast them, the base is neither shuffled nor sorted: known keys are replaced in a left join, and which updates are
+    new is told by a semi join over the base's key columns.
     """
     if order is not None:
         updates = last_writer(updates, keys, order)
     values = [c for c in updates.columns if c not in keys]
     new = updates.select(*keys, F.struct(*values).alias("_new"))
-    merged = base.join(new, keys, "full_outer")
-    out = [
+    replaced = base.join(new, keys, "left").select(*[
         F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c)
         for c in base.columns
-    ]
-    return merged.select(*out)
+    ])
+    known = base.select(*keys).join(updates.select(*keys), keys, "left_semi").distinct()
+    types = dict(base.dtypes)
+    fresh = updates.join(known, keys, "left_anti").select(*[
+        (F.col(c) if c in updates.columns else F.lit(None)).cast(types[c]).alias(c) for c in base.columns])
+    return replaced.unionByName(fresh)
 
 
 def insert_if_absent(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -155,7 +160,7 @@ def change_audit(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
 def enrich_master_data(providers: DataFrame, extracted: DataFrame) -> DataFrame:
     """Extracted company data: the name only fills a missing or very short one; address, zip and city
     replace the stored value when given."""
-    have = [f for f in ("name", "address", "zip", "city") if f"company_{f}" in extracted.columns]
+    have = [f for f in ("name", "address", "zip", "city") if f"company_{f}" in extracted.columns and f in providers.columns]
     joined = providers.join(extracted.select("id", *[f"company_{f}" for f in have]), "id", "left")
     columns = {}
     for field in have:

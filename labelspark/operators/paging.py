@@ -78,8 +78,14 @@ def typeahead(df: DataFrame, text: str, chosen: list[int] | DataFrame, n: int =
     return hits.orderBy("id").limit(n)
 
 
-def archive_order(df: DataFrame) -> DataFrame:
-    return df.orderBy(F.col("sort_year").desc_nulls_first(), F.col("created_at").desc_nulls_first())
+def archive_order(df: DataFrame, *tie: str) -> DataFrame:
+    """Newest year first, then newest entry; missing values come first."""
+    return df.orderBy(*[F.col(c).desc_nulls_first() for c in ("sort_year", "created_at", *tie)])
+
+
+def notes_of(notes: DataFrame, key: str, value, ts: str = "created_at") -> DataFrame:
+    """The notes of one supplier, newest first."""
+    return notes.filter(F.col(key) == value).orderBy(F.col(ts).desc_nulls_first())
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

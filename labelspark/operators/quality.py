@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from labelspark import constants as C
-from labelspark.functions.numbers import round_half_up, zero_if_null
+from labelspark.functions.numbers import plain_number, round_half_up, zero_if_null
 from labelspark.functions.plan import settle
 from labelspark.functions.urls import source_matches
 from labelspark.operators.aggregates import part_sum
@@ -54,7 +54,7 @@ def expected_co2(df: DataFrame) -> Column:
 
 
 def with_issues(df: DataFrame) -> DataFrame:
-    """Adds ``issues``: an array of (code, path, severity), and ``is_valid``: no issue is an error."""
+    """Adds ``issues``: an array of (code, path, message, severity), and ``is_valid``: no issue is an error."""
     ee, fo, nu = (zero_if_null(F.col(c)) for c in ("renewable", "fossil", "nuclear"))
     df = settle(df, {
         "_total": round_half_up(ee + fo + nu, 2),
@@ -66,19 +66,31 @@ def with_issues(df: DataFrame) -> DataFrame:
     co2 = F.col("co2").cast("double") if "co2" in df.columns else F.lit(None).cast("double")
     year = F.col("year") if "year" in df.columns else F.lit(None).cast("int")
     corridor = F.greatest(F.lit(float(C.CO2_ABS_TOLERANCE)), F.col("_expected") * C.CO2_REL_TOLERANCE)
+    shown = lambda c: plain_number(c.cast("decimal(20,2)"))
+    total, expected = shown(F.col("_total")), shown(F.col("_expected"))
+    # Codes and texts of the issues.
     rules = [
-        ("SUM_DEVIATION_ERROR", "renewable,fossil,nuclear", "error", deviation > C.SUM_TOLERANCE_ERROR),
-        ("EE_SUBCATEGORIES_EXCEED_PARENT", "renewable", "error", F.col("_ee_parts") > ee + C.PART_EPSILON),
-        ("FOSSIL_SUBCATEGORIES_EXCEED_PARENT", "fossil", "error", F.col("_fo_parts") > fo + C.PART_EPSILON),
+        ("SUM_DEVIATION_ERROR", "renewable,fossil,nuclear", "error", deviation > C.SUM_TOLERANCE_ERROR,
+         ["Hauptkategorien summieren sich auf ", total, "% statt 100% (Abweichung ", shown(deviation), f"% > Toleranz {C.SUM_TOLERANCE_ERROR:g}%)."]),
+        ("EE_SUBCATEGORIES_EXCEED_PARENT", "renewable", "error", F.col("_ee_parts") > ee + C.PART_EPSILON,
+         ["Summe der EE-Unterkategorien (", shown(F.col("_ee_parts")), "%) übersteigt Erneuerbare Energien gesamt (", shown(ee), "%)."]),
+        ("FOSSIL_SUBCATEGORIES_EXCEED_PARENT", "fossil", "error", F.col("_fo_parts") > fo + C.PART_EPSILON,
+         ["Summe der Fossil-Unterkategorien (", shown(F.col("_fo_parts")), "%) übersteigt Fossile Energieträger gesamt (", shown(fo), "%)."]),
         ("SUM_DEVIATION_MINOR", "renewable,fossil,nuclear", "warning",
-         (deviation > C.SUM_TOLERANCE_WARNING) & (deviation <= C.SUM_TOLERANCE_ERROR)),
+         (deviation > C.SUM_TOLERANCE_WARNING) & (deviation <= C.SUM_TOLERANCE_ERROR),
+         ["Hauptkategorien ergeben ", total, "% – leichte Abweichung von ", shown(deviation), "%."]),
         ("CO2_OUTSIDE_CORRIDOR", "co2", "warning",
-         (co2 > 0) & (round_half_up(F.abs(co2 - F.col("_expected")), 1) > corridor)),
-        ("NUCLEAR_AFTER_PHASEOUT", "nuclear", "warning", (nu > 0.5) & (year >= C.NUCLEAR_PHASEOUT_YEAR)),
+         (co2 > 0) & (round_half_up(F.abs(co2 - F.col("_expected")), 1) > corridor),
+         ["CO₂-Intensität (", shown(co2), " g/kWh) weicht vom Erwartungswert (", expected, " g/kWh) ab (Korridor: ±",
+          shown(round_half_up(corridor, 0)), " g/kWh)."]),
+        ("NUCLEAR_AFTER_PHASEOUT", "nuclear", "warning", (nu > 0.5) & (year >= C.NUCLEAR_PHASEOUT_YEAR),
+         ["Kernenergie-Anteil von ", shown(nu), "% im Jahr ", year.cast("string"), " ist für Deutschland unplausibel (Atomausstieg April 2023)."]),
     ]
     found = F.array(*[
-        F.when(broken, F.struct(F.lit(code).alias("code"), F.lit(path).alias("path"), F.lit(severity).alias("severity")))
-        for code, path, severity, broken in rules
+        F.when(broken, F.struct(F.lit(code).alias("code"), F.lit(path).alias("path"),
+                                F.concat(*[F.lit(t) if isinstance(t, str) else t for t in message]).alias("message"),
+                                F.lit(severity).alias("severity")))
+        for code, path, severity, broken, message in rules
     ])
     df = settle(df, {"issues": F.filter(found, lambda x: x.isNotNull())})
     df = df.withColumn("is_valid", ~F.exists("issues", lambda x: x["severity"] == "error"))
@@ -87,7 +99,7 @@ def with_issues(df: DataFrame) -> DataFrame:
 
 def issue_rows(df: DataFrame, key: str = "id") -> DataFrame:
     """Long form: one row per record and issue."""
-    return with_issues(df).select(key, F.explode("issues").alias("i")).select(key, "i.code", "i.path", "i.severity")
+    return with_issues(df).select(key, F.explode("issues").alias("i")).select(key, "i.code", "i.path", "i.message", "i.severity")
 
 
 def ingest_gate(df: DataFrame) -> DataFrame:
@@ -121,8 +133,8 @@ def compare_to_national(df: DataFrame) -> DataFrame:
     out = with_national_mix(df)
     columns = {}
     for share in ("renewable", "fossil", "nuclear"):
-        diff = round_half_up(zero_if_null(F.col(share)) - F.col(f"national_{share}"), 1)
-        columns[f"{share}_diff"] = diff
+        diff = zero_if_null(F.col(share)) - F.col(f"national_{share}")
+        columns[f"{share}_diff"] = round_half_up(diff, 1)  # shown; the band is tested on the exact figure
         columns[f"{share}_class"] = F.when(F.abs(diff) < 2, "neutral").when(diff > 0, "above").otherwise("below")
     return out.withColumns(columns)
 

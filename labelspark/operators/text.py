@@ -18,12 +18,12 @@ def page_text(pages: DataFrame, markup: str = "html") -> DataFrame:
     return pages.withColumn("text", F.trim(collapse(decode_references(raw)))).drop(markup)
 
 
-def label_sections(rows: DataFrame, text: str) -> DataFrame:
+def label_sections(rows: DataFrame, text: str, length: int | None = C.SECTION_LENGTH) -> DataFrame:
     """Replaces a collapsed, lower-cased text by ``_section`` and adds ``mix_type``.
 
     The section starts at the first heading in order of preference and ends at the earliest heading
-    of the national mix; without the latter it is 2000 characters long.  With only a national heading
-    the text before it counts, with none the whole text.
+    of the national mix; without the latter it is ``length`` characters long (None: to the end of the text).
+    With only a national heading the text before it counts, with none the whole text.
     """
     kinds = F.array(*[F.lit(kind) for _, kind in C.SECTION_STARTS])
     def position(heading: str) -> Column:
@@ -38,7 +38,7 @@ def label_sections(rows: DataFrame, text: str) -> DataFrame:
     body, start, stop = F.col(text), F.col("_start"), F.col("_stop")
     section = (
         F.when(start.isNotNull() & (stop > start), F.substring(body, start, stop - start))
-        .when(start.isNotNull(), F.substring(body, start, F.lit(C.SECTION_LENGTH)))
+        .when(start.isNotNull(), F.substring(body, start, F.lit(length) if length is not None else F.length(body)))
         .when(stop.isNotNull(), F.substring(body, F.lit(1), stop - 1))
         .otherwise(body)
     )
@@ -57,7 +57,8 @@ def extraction_confidence(renewable: Column, fossil: Column, nuclear: Column, co
     return F.least(F.lit(100), score)
 
 
-def extract_labels(documents: DataFrame, default_year: int, text: str = "text") -> DataFrame:
+def extract_labels(documents: DataFrame, default_year: int, text: str = "text",
+                   section_length: int | None = C.SECTION_LENGTH) -> DataFrame:
     """One row per document that carries a label: year, shares, CO2, waste, mix type and confidence.
 
     Texts that cannot mention one of the three main shares carry no label and are left out first, by
@@ -70,7 +71,7 @@ def extract_labels(documents: DataFrame, default_year: int, text: str = "text")
     year = F.regexp_extract("_lower", C.LABEL_YEAR_PATTERN, 1).try_cast("int")
     rows = settle(rows, {"year": F.coalesce(year, F.lit(default_year))})
     # settled, so that the filter below does not run the Arrow function a second time
-    rows = settle(label_sections(rows, "_lower"), {"_v": label_values("_section")}).drop("_section")
+    rows = settle(label_sections(rows, "_lower", section_length), {"_v": label_values("_section")}).drop("_section")
     v = {f: F.col(f"_v.{f}") for f in [*C.SHARE_KEYWORDS, "co2", "waste", "eeg_percentage"]}
     zero = F.lit(0.0)
     found = sum((F.when(F.coalesce(v[f], zero) != 0, 1).otherwise(0) for f in ("fossil", "nuclear")),

@@ -1,69 +1,115 @@
-"""The three user-level jobs, each one plan per result."""
+"""The user-level jobs, each one plan per result."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from labelspark import constants as C
 from labelspark.operators import links, merge, quality, text
 from labelspark.operators.joins import match_ledger
+from labelspark.operators.latest import best_candidate
 from labelspark.sources import ledger, responses
 
-RESULT_COLUMNS = [
-    "id", "year", "mix_type", "renewable", "fossil", "nuclear", "solar", "wind", "hydro", "biomass", "other_renewable",
-    "coal", "natural_gas", "other_fossil", "eeg_funded", "hkn", "mieterstrom", "co2", "waste", "eeg_percentage", "confidence",
+FIGURES = [
+    "renewable", "fossil", "nuclear", "solar", "wind", "hydro", "biomass", "other_renewable", "coal", "natural_gas",
+    "other_fossil", "eeg_funded", "hkn", "mieterstrom", "co2", "waste", "eeg_percentage",
 ]
+COMPANY = ["company_name", "company_address", "company_zip", "company_city"]
+PROVENANCE = ["raw_prompt", "raw_response", "model_name", "prompt_version"]
+# column -> type; a method that does not give one has NULL there
+RESULT_COLUMNS = {
+    "id": "long", "year": "int", "mix_type": "string", **{c: "double" for c in FIGURES}, "confidence": "int", "tariff_name": "string",
+    **{c: "string" for c in [*COMPANY, *PROVENANCE]}, "hkn_origins": "array<struct<country:string,percentage:double>>",
+}
 # below these lengths a method's text is not worth reading
 MINIMUM_LENGTH = {"gemini_text": 50, "ocr": 30}
+RANKS = {"gemini_vision": 1, "gemini_text": 2, "ocr": 3, "regex": 4}
 
 
-def _candidate(df: DataFrame, method: str, rank: int, length: str = "text_length") -> DataFrame:
-    have = set(df.columns)
-    columns = [F.col(c) if c in have else F.lit(None).cast("string" if c == "mix_type" else "double").alias(c) for c in RESULT_COLUMNS]
-    size = F.col(length) if length in have else F.lit(10**6)
-    return df.select(*columns, F.lit(method).alias("method"), F.lit(rank).alias("rank"),
-                     size.cast("long").alias("text_length"), F.lit(True).alias("found"))
+def _candidate(df: DataFrame, sizes: DataFrame, method: Column) -> DataFrame:
+    """A method's results in common form, with the length of the document's text."""
+    columns = [(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in RESULT_COLUMNS.items()]
+    rank = F.create_map(*[F.lit(x) for pair in RANKS.items() for x in pair])[F.col("method")]
+    rows = df.select(*columns, method.alias("method"), F.lit(True).alias("found")).withColumn("rank", rank)
+    return rows.join(sizes, "id")
 
 
 def label_extraction(documents: DataFrame, raw_responses: DataFrame | None, providers: DataFrame, trusted: DataFrame,
-                     default_year: int) -> dict[str, DataFrame]:
-    """Documents (id, provider_id, file_hash, source_url, text) and stored responses (id, raw_response) to mixes.
+                     default_year: int, vetoes: DataFrame | None = None, stored: DataFrame | None = None,
+                     section_length: int | None = C.SECTION_LENGTH) -> dict[str, DataFrame]:
+    """Documents and stored model responses to mixes.
 
-    Returns ``mixes`` (accepted, with issues and source status), ``rejects`` and ``outcomes`` (one status
-    per document).
+    ``documents``: id, provider_id, file_hash, source_url, text; where there is an ``html``, the page's visible text stands
+    in for a missing text.  ``raw_responses``: id, raw_response, and where known method (``gemini_vision`` goes before
+    ``gemini_text``, the default, and both before the patterns), raw_prompt, model_name, prompt_version.  ``vetoes``: (id,
+    is_label, confidence) of a classifier.  ``stored``: (id, provider_id, file_hash) of documents read before; a document of
+    the same supplier and content is not read again.
+
+    Returns ``mixes`` (accepted, with issues, provenance and source status), ``origins`` (their certificates' countries),
+    ``providers`` (with company data filled in), ``reused`` (id, resolved_id), ``rejects`` (id, reason) and ``outcomes``
+    (one status per document that was read; documents of unknown suppliers have failed and are rejects).
     """
-    printed = documents.select("id", F.length("text").alias("text_length"), "text")
-    candidates = [_candidate(text.extract_labels(printed, default_year), "regex", 3)]
+    if stored is not None:
+        documents, resolved = merge.ingest_documents(stored, documents)
+        reused = resolved.filter(F.col("id") != F.col("resolved_id")).select("id", "resolved_id")
+    else:
+        reused = documents.select("id", F.col("id").alias("resolved_id")).limit(0)
+    printed = documents.select("id", "text", *[c for c in ("html",) if c in documents.columns])
+    if "html" in printed.columns:
+        seen = text.page_text(printed.filter("text is null and html is not null").select("id", "html"))
+        printed = printed.filter("text is not null or html is null").select("id", "text").unionByName(seen)
+    sizes = printed.select("id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("text_length"))
+    found = text.extract_labels(printed, default_year, section_length=section_length)
+    candidates = [_candidate(found, sizes, F.lit("regex"))]
     refused = None
     if raw_responses is not None:
         good, bad = responses.normalise(raw_responses)
-        candidates.append(_candidate(good.drop("issues", "is_valid"), "gemini_text", 1))
+        method = F.coalesce("method", F.lit("gemini_text")) if "method" in raw_responses.columns else F.lit("gemini_text")
+        candidates.append(_candidate(good, sizes, method))
         refused = bad.select("id", F.col("reason"))
     rows = reduce(lambda a, b: a.unionByName(b), candidates)
-    chosen = text.cascade(rows, "id", MINIMUM_LENGTH).withColumnRenamed("method", "extraction_method")
+    chosen = text.cascade(rows, "id", MINIMUM_LENGTH, vetoes).withColumnRenamed("method", "extraction_method")
     gated = quality.ingest_gate(quality.with_issues(chosen))
-    names = providers.select(F.col("id").alias("provider_id"), F.col("name").alias("provider_name"))
-    sources = quality.guard_sources(documents.drop("text").join(names, "provider_id"), trusted)
+    names = providers.select(F.col("id").alias("provider_id"), F.col("name").alias("provider_name"), F.lit(True).alias("_known"))
+    sources = quality.guard_sources(documents.drop("text", "html").join(names, "provider_id", "left"), trusted)
+    known = sources.filter("_known")
     accepted = gated.filter("accepted").drop("accepted", "rank", "text_length")
-    mixes = sources.select("id", "provider_id", "source_status").join(accepted, "id")
-    found = mixes.select("id", "year")
-    outcomes = sources.join(found, "id", "left").select(
-        "id", "provider_id", "year",
-        quality.job_outcome(F.col("year"), F.lit(True), F.col("source_unverified")).alias("status"))
-    rejects = gated.filter(~F.col("accepted")).select("id", F.lit("sum").alias("reason"))
+    mixes = known.select("id", "provider_id", "source_status").join(accepted, "id")
+    year = F.when(F.col("_known"), F.col("year"))
+    outcomes = sources.join(mixes.select("id", "year"), "id", "left").select(
+        "id", "provider_id", year.alias("year"), quality.job_outcome(year, F.col("_known").isNotNull(), F.col("source_unverified")).alias("status"))
+    rejects = gated.filter(~F.col("accepted")).select("id", F.lit("sum").alias("reason")).unionByName(
+        sources.filter("_known is null").select("id", F.lit("supplier").alias("reason")))
     if refused is not None:
         rejects = rejects.unionByName(refused)
-    return {"mixes": mixes, "rejects": rejects, "outcomes": outcomes}
+    origins = mixes.select("id", F.explode("hkn_origins").alias("o")).select(F.col("id").alias("energy_mix_id"), "o.country", "o.percentage")
+    # of several documents of a supplier the newest one's company data counts
+    company = mixes.select("provider_id", "id", *COMPANY).filter(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in COMPANY]))
+    company = company.groupBy(F.col("provider_id").alias("_provider")).agg(*[F.max_by(c, "id").alias(c) for c in COMPANY]).withColumnRenamed("_provider", "id")
+    return {
+        "mixes": mixes.drop("hkn_origins", *COMPANY), "origins": origins, "providers": merge.enrich_master_data(providers, company),
+        "reused": reused, "rejects": rejects, "outcomes": outcomes,
+    }
 
 
 def link_selection(pages: DataFrame) -> DataFrame:
     """The best label document of every page, from its markup."""
-    from labelspark.operators.latest import best_candidate
-
     return best_candidate(links.score_document_links(links.page_links(pages)), "page_id")
 
 
+def source_selection(results: DataFrame, pages: DataFrame) -> DataFrame:
+    """The best address found for every supplier, and the best label document on the page behind it.
+
+    ``results``: provider_id, position, url, query.  ``pages``: page_id, url, html of the pages that were loaded.
+    """
+    best = links.choose_source(results).select("provider_id", "url", "score", "position")
+    offered = link_selection(pages).select("page_id", F.col("url").alias("document_url"), F.col("score").alias("document_score"))
+    loaded = pages.select("page_id", "url").groupBy("url").agg(F.min("page_id").alias("page_id"))
+    return best.join(loaded, "url", "left").join(offered, "page_id", "left")
+
+
 def supplier_matching(lines: DataFrame, documents: DataFrame, providers: DataFrame, mixes: DataFrame) -> dict[str, DataFrame]:
     """Ledger lines and documents against the suppliers: matched, unmatched and foreign."""
     records, rejected = ledger.parse(lines)

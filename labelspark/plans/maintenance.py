@@ -43,13 +43,15 @@ def _(v: Views) -> DataFrame:
 
 
 @query("m3_replace_children", """WITH n AS (SELECT provider_id, year, CASE WHEN provider_id % 5 = 0 THEN '' ELSE ' ' || country END AS country, CASE WHEN provider_id % 7 = 0 THEN -1 ELSE amount_mwh * 2 END AS amount_mwh
-  FROM v_cancellation WHERE provider_id % 3 = 0 AND year = 2021)
+  FROM (SELECT * REPLACE (CASE WHEN provider_id % 3 = 0 THEN year ELSE year + 100 END AS year) FROM v_cancellation))
 SELECT provider_id, year, country, CAST(amount_mwh AS DOUBLE) AS amount_mwh FROM v_cancellation c WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.provider_id = c.provider_id AND n.year = c.year)
 UNION ALL SELECT provider_id, year, trim(country), CAST(amount_mwh AS DOUBLE) FROM n WHERE country <> '' AND amount_mwh > 0""")
 def _(v: Views) -> DataFrame:
     key = F.col("provider_id")
-    new = v.cancellation.filter((key % 3 == 0) & (F.col("year") == 2021)).select(
-        "provider_id", "year", F.when(key % 5 == 0, "").otherwise(F.concat(F.lit(" "), "country")).alias("country"),
+    # a third of the suppliers are replaced, the others get new years
+    year = F.when(key % 3 == 0, F.col("year")).otherwise(F.col("year") + 100).alias("year")
+    new = v.cancellation.select(
+        "provider_id", year, F.when(key % 5 == 0, "").otherwise(F.concat(F.lit(" "), "country")).alias("country"),
         F.when(key % 7 == 0, F.lit(-1)).otherwise(F.col("amount_mwh") * 2).alias("amount_mwh"))
     return merge.replace_children(v.cancellation, new, ["provider_id", "year"]).select("provider_id", "year", "country", num("amount_mwh"))
 
@@ -126,12 +128,13 @@ def _(v: Views) -> DataFrame:
 
 @query("m9_enrich", """SELECT p.id, CASE WHEN p.name IS NULL OR length(p.name) < 3 THEN coalesce(e.company_name, p.name) ELSE p.name END AS name, coalesce(nullif(e.company_city, ''), p.city) AS city
 FROM (SELECT id, CASE WHEN id % 6 = 0 THEN 'AB' WHEN id % 6 = 1 THEN NULL ELSE name END AS name, city FROM v_provider) p
-LEFT JOIN (SELECT id, 'Firma ' || CAST(id AS STRING) AS company_name, CASE WHEN id % 4 = 0 THEN '' WHEN id % 4 = 1 THEN 'Leipzig' END AS company_city FROM v_provider WHERE priority >= 70) e ON e.id = p.id""")
+LEFT JOIN (SELECT CASE WHEN priority >= 70 THEN id ELSE -id END AS id, 'Firma ' || CAST(id AS STRING) AS company_name, CASE WHEN id % 4 = 0 THEN '' WHEN id % 4 = 1 THEN 'Leipzig' END AS company_city FROM v_provider) e ON e.id = p.id""")
 def _(v: Views) -> DataFrame:
     key = F.col("id")
     base = v.provider.select("id", F.when(key % 6 == 0, "AB").when(key % 6 != 1, F.col("name")).alias("name"), "city")
-    extracted = v.provider.filter(F.col("priority") >= 70).select(
-        "id", F.concat(F.lit("Firma "), key.cast("string")).alias("company_name"),
+    # the rest belongs to suppliers that are not there
+    extracted = v.provider.select(
+        F.when(F.col("priority") >= 70, key).otherwise(-key).alias("id"), F.concat(F.lit("Firma "), key.cast("string")).alias("company_name"),
         F.when(key % 4 == 0, "").when(key % 4 == 1, "Leipzig").alias("company_city"))
     return merge.enrich_master_data(base, extracted)
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from labelspark import constants as C
 from labelspark.functions import labels
 from labelspark.functions.names import match_key
-from labelspark.operators import aggregates, filters, joins, latest, paging, text
+from labelspark.operators import aggregates, archive, filters, joins, latest, paging, text
 from labelspark.plans.registry import query
 from labelspark.plans.views import Views
 from labelspark.sources.tables import adhoc
@@ -241,9 +241,11 @@ def _(v: Views) -> DataFrame:
 
 
 @query("j8_orphans", """SELECT id, document_id FROM v_mix m WHERE document_id IS NOT NULL
-AND NOT EXISTS (SELECT 1 FROM v_doc d WHERE d.id = m.document_id AND d.file_type = 'pdf')""")
+AND NOT EXISTS (SELECT 1 FROM v_doc d WHERE CASE WHEN d.id % 5 < 2 THEN -d.id ELSE d.id END = m.document_id)""")
 def _(v: Views) -> DataFrame:
-    return joins.orphan_mixes(v.mix, v.doc.filter(F.col("file_type") == "pdf")).select("id", "document_id")
+    # two of five documents lie under another id
+    moved = F.when(F.col("id") % 5 < 2, -F.col("id")).otherwise(F.col("id"))
+    return joins.orphan_mixes(v.mix, v.doc.withColumn("id", moved)).select("id", "document_id")
 
 
 @query("j9_time_proximity", """SELECT DISTINCT m.id, m.provider_id FROM v_mix m JOIN v_jobdoc d ON d.provider_id = m.provider_id
@@ -275,13 +277,19 @@ def _(v: Views) -> DataFrame:
         "id", "year", "national_renewable", "national_fossil", "national_nuclear", "national_co2")
 
 
-@query("j13_constants_table", """WITH k AS (SELECT year, avg(CAST(renewable_percentage AS DOUBLE)) AS mean FROM v_mix WHERE year <> 2020 GROUP BY year)
+@query("j13_constants_table", """WITH k AS (SELECT year, least(mean, turned) AS mean FROM (SELECT CASE year WHEN 2020 THEN 1820 WHEN 2019 THEN 1999 ELSE year END AS year,
+    avg(CAST(renewable_percentage AS DOUBLE)) AS mean, 100 - avg(CAST(renewable_percentage AS DOUBLE)) AS turned FROM v_mix GROUP BY ALL)),
+d AS (SELECT provider_id, CASE WHEN provider_id % 5 = 0 AND year = 2019 THEN 1999 ELSE year END AS year FROM v_delivery)
 SELECT d.provider_id, d.year, round(coalesce(k.mean, f.mean), 6) AS mean
-FROM v_delivery d LEFT JOIN k ON k.year = d.year CROSS JOIN (SELECT mean FROM k WHERE year = 2021) f""")
+FROM d LEFT JOIN k ON k.year = d.year CROSS JOIN (SELECT mean FROM k WHERE year = 2021) f""")
 def _(v: Views) -> DataFrame:
-    constants = v.mix.filter(F.col("year") != 2020).groupBy("year").agg(
+    # years far outside the usual range, and two rows for each year
+    year = F.col("year")
+    means = v.mix.groupBy(F.when(year == 2020, 1820).when(year == 2019, 1999).otherwise(year).alias("year")).agg(
         F.avg(F.col("renewable_percentage").cast("double")).alias("mean"))
-    return joins.with_constants(v.delivery.select("provider_id", "year"), constants, 2021).select(
+    constants = means.unionByName(means.withColumn("mean", 100 - F.col("mean")))
+    rows = v.delivery.select("provider_id", F.when((F.col("provider_id") % 5 == 0) & (year == 2019), 1999).otherwise(year).alias("year"))
+    return joins.with_constants(rows, constants, 2021).select(
         "provider_id", "year", F.round("mean", 6).alias("mean"))
 
 
@@ -296,14 +304,17 @@ def _(v: Views) -> DataFrame:
 
 
 @query("j14_nested_origins", """SELECT m.id, o.items, o.listing FROM v_mix m LEFT JOIN (
-  SELECT o_orderkey AS id, count(*) AS items, string_agg(n_name || '=' || CAST(CAST(l_quantity AS DECIMAL(5,2)) AS STRING), ';' ORDER BY l_quantity DESC, n_name) AS listing
+  SELECT CASE WHEN l_returnflag = 'R' THEN o_orderkey ELSE o_orderkey - o_orderkey % 4 END AS id, count(*) AS items, string_agg(n_name || '=' || CAST(CAST(l_quantity AS DECIMAL(5,2)) AS STRING), ';' ORDER BY l_quantity DESC, n_name) AS listing
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
-  WHERE l_returnflag = 'R' GROUP BY 1) o ON o.id = m.id""")
+  GROUP BY 1) o ON o.id = m.id""")
 def _(v: Views) -> DataFrame:
     countries = v.table("supplier").join(v.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("country"))
-    origins = v.table("lineitem").filter(F.col("l_returnflag") == "R").join(countries, "l_suppkey").select(
-        F.col("l_orderkey").alias("energy_mix_id"), "country", F.col("l_quantity").cast("decimal(5,2)").alias("percentage"))
+    # most lines go to every fourth mix, so others have none
+    order = F.col("l_orderkey")
+    mix_id = F.when(F.col("l_returnflag") == "R", order).otherwise(order - order % 4)
+    origins = v.table("lineitem").join(countries, "l_suppkey").select(
+        mix_id.alias("energy_mix_id"), "country", F.col("l_quantity").cast("decimal(5,2)").alias("percentage"))
     nested = joins.nest_origins(v.mix.select("id"), origins)
     listing = F.array_join(F.transform("hkn_origins", lambda o: F.concat(o["country"], F.lit("="), o["percentage"].cast("string"))), ";")
     return nested.select("id", F.when(F.col("hkn_origins").isNotNull(), F.size("hkn_origins")).alias("items"), listing.alias("listing"))
@@ -477,7 +488,7 @@ def _(v: Views) -> DataFrame:
 
 @query("t6_notes", """SELECT user_id, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM events WHERE user_id = 8 ORDER BY ts DESC NULLS FIRST""")
 def _(v: Views) -> DataFrame:
-    return v.event.filter(F.col("user_id") == 8).orderBy(F.col("ts").desc_nulls_first()).select("user_id", "event_id", stamp("ts"))
+    return paging.notes_of(v.event, "user_id", 8, "ts").select("user_id", "event_id", stamp("ts"))
 
 
 @query("t7_work_queue", """SELECT p.id, p.name, p.priority FROM v_provider p LEFT JOIN v_last_job j ON j.provider_id = p.id
@@ -491,27 +502,48 @@ def _(v: Views) -> DataFrame:
     return paging.typeahead(v.provider, "GmbH", [2, 4, 6]).select("id", "name")
 
 
-ARCHIVE_SQL = """SELECT d.id, d.provider_id, d.file_type, coalesce(d.reporting_year, m.year) AS sort_year, m.id AS mix_id
-FROM v_doc d LEFT JOIN v_mix m ON m.document_id = d.id
-UNION ALL SELECT NULL, provider_id, 'manual', year, id FROM v_mix WHERE document_id IS NULL"""
+ARCHIVE_SQL = """SELECT id, provider_id, file_type, file_hash, source_url, sort_year, mix_id, CAST(renewable_percentage AS DOUBLE) AS renewable_percentage, extraction_method, origins,
+  strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM (
+  SELECT d.id, d.provider_id, d.file_type, file_hash, source_url, coalesce(d.reporting_year, m.year) AS sort_year, m.id AS mix_id, renewable_percentage, extraction_method, o.origins,
+    TIMESTAMP '2024-01-01 00:00:00' + to_seconds(d.id * 61) AS created_at
+  FROM v_doc d LEFT JOIN v_mix m ON m.document_id = d.id LEFT JOIN o ON o.id = m.id
+  UNION ALL SELECT NULL, provider_id, 'manual', NULL, NULL, year, m.id, renewable_percentage, extraction_method, o.origins, created_at FROM v_mix m LEFT JOIN o ON o.id = m.id WHERE document_id IS NULL)"""
+ORIGINS_SQL = "WITH o AS (SELECT l_orderkey AS id, count(*) AS origins FROM lineitem GROUP BY 1) "
 
 
-def archive(v: Views) -> DataFrame:
-    docs = v.doc.select("id", "provider_id", "file_type", "reporting_year")
-    stored = joins.documents_with_mixes(docs, v.mix).withColumn("sort_year", F.coalesce("reporting_year", "mix_year"))
-    loose = v.mix.filter(F.col("document_id").isNull()).select(
-        "provider_id", F.lit("manual").alias("file_type"), F.col("year").alias("sort_year"), F.col("id").alias("mix_id"))
-    return paging.union_all([stored.select("id", "provider_id", "file_type", "sort_year", "mix_id"), loose])
+def archived(v: Views) -> DataFrame:
+    docs = v.doc.drop("text").withColumn("created_at", F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + F.col("id") * 61))
+    origins = v.table("lineitem").select(F.col("l_orderkey").alias("energy_mix_id"), F.col("l_returnflag").alias("country"),
+                                         F.col("l_quantity").cast("decimal(5,2)").alias("percentage"))
+    return archive.archive(docs, v.mix, origins)
 
 
-@query("t9_archive_order", f"""SELECT * FROM ({ARCHIVE_SQL}) ORDER BY sort_year DESC NULLS FIRST, mix_id DESC NULLS FIRST, id DESC NULLS FIRST LIMIT 200""")
+def archive_columns(df: DataFrame) -> DataFrame:
+    return df.select("id", "provider_id", "file_type", "file_hash", "source_url", "sort_year", "mix_id", num("renewable_percentage"), "extraction_method",
+                     F.when(F.col("hkn_origins").isNotNull(), F.size("hkn_origins")).alias("origins"), stamp("created_at"))
+
+
+@query("t9_archive_order", f"""{ORIGINS_SQL}SELECT * FROM ({ARCHIVE_SQL}) ORDER BY sort_year DESC NULLS FIRST, created_at DESC NULLS FIRST, mix_id DESC NULLS FIRST LIMIT 200""")
+def _(v: Views) -> DataFrame:
+    return archive_columns(paging.archive_order(archived(v), "mix_id").limit(200))
+
+
+@query("u1_archive_union", ORIGINS_SQL + ARCHIVE_SQL)
+def _(v: Views) -> DataFrame:
+    return archive_columns(archived(v))
+
+
+@query("t2_sort_by_collation", """SELECT id, name FROM (SELECT id, ['Äpfel', 'Apfel', 'zebra', 'Ähre', 'Zobel'][id % 5 + 1] AS name, [3, 2, 4, 1, 5][id % 5 + 1] AS place FROM v_provider)
+ORDER BY place, id LIMIT 100""")
 def _(v: Views) -> DataFrame:
-    return archive(v).orderBy(F.col("sort_year").desc_nulls_first(), F.col("mix_id").desc_nulls_first(), F.col("id").desc_nulls_first()).limit(200)
+    words = F.array(*[F.lit(w) for w in ("Äpfel", "Apfel", "zebra", "Ähre", "Zobel")])
+    rows = v.provider.select("id", F.element_at(words, (F.col("id") % 5 + 1).cast("int")).alias("name"))
+    return paging.sort_by(rows, "name", collation="de").limit(100)
 
 
-@query("u1_archive_union", ARCHIVE_SQL)
+@query("f13_triage", """SELECT id, name FROM v_snapshot WHERE latest_job_status = 'failed' AND contains(lower(latest_job_log), 'keine ergebnisse')""")
 def _(v: Views) -> DataFrame:
-    return archive(v)
+    return filters.by_failure(snapshot(v), "kein_treffer").select("id", "name")
 
 
 @query("x18_hash_duplicates", """WITH o AS (SELECT file_hash, provider_id, count(*) AS documents FROM v_doc WHERE file_hash IS NOT NULL GROUP BY 1, 2)

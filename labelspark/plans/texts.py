@@ -99,6 +99,21 @@ def _(v: Views) -> DataFrame:
     return links.page_links(v.page).select("page_id", "position", "href", "text")
 
 
+_KNOWN = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+
+
+@query("x2_known_text", f"""SELECT page_id, url, {_KNOWN.format("CASE page_id % 6 WHEN 4 THEN 'Bild ' WHEN 5 THEN 'ääß ' ELSE '' END || 'Strommix ' || coalesce(text, '')")} AS text
+FROM (SELECT doc_id AS page_id, 'https://www.host' || CAST(doc_id % 13 AS STRING) || '.de/a/b/c.html' AS url, text FROM documents)""")
+def _(v: Views) -> DataFrame:
+    return text.page_text(v.known_page)
+
+
+@query("x12_known_links", """SELECT doc_id AS page_id, 0 AS position, CASE WHEN doc_id % 6 = 3 THEN 'https://base.example/' ELSE 'https://www.host' || CAST(doc_id % 13 AS STRING) || '.de/' END
+  || CASE WHEN doc_id % 2 = 0 THEN 'd/' || CAST(doc_id AS STRING) || '.pdf?a=1&b=2' WHEN doc_id % 6 = 3 THEN 'd/' || CAST(doc_id AS STRING) || '.pdf' ELSE 'a/d/' || CAST(doc_id AS STRING) || '.pdf' END AS href, 'strommix' AS text FROM documents""")
+def _(v: Views) -> DataFrame:
+    return links.page_links(v.known_page).filter(F.col("kind") == "a").select("page_id", "position", "href", "text")
+
+
 LINK_SQL = """SELECT page_id, href AS url, CASE WHEN pdf THEN 'pdf' ELSE 'image' END AS type, max(score) AS score, min(position) AS position FROM (
   SELECT *, CASE WHEN pdf THEN 50 ELSE 0 END + CASE WHEN img THEN 30 ELSE 0 END + CASE WHEN regexp_matches(h, kw) THEN 30 ELSE 0 END
     + CASE WHEN regexp_matches(text, kw) OR regexp_matches(alt, kw) THEN 20 ELSE 0 END - CASE WHEN regexp_matches(h, 'logo|icon|banner') THEN 100 ELSE 0 END AS score
@@ -153,6 +168,8 @@ def _(v: Views) -> DataFrame:
 
 # --- labels -----------------------------------------------------------------------------------------
 
+SECTION_LENGTH = 2000  # characters read behind a heading that no other heading ends
+
 LABEL_SQL = """SELECT doc_id, CAST(2019 + doc_id % 6 AS INT) AS year, CASE doc_id % 4 WHEN 0 THEN 'gesamtmix' WHEN 1 THEN 'unternehmensmix' ELSE 'unbekannt' END AS mix_type,
   CASE WHEN doc_id % 4 = 3 THEN 100.0::DOUBLE ELSE doc_id % 60 + 0.5::DOUBLE END AS renewable,
   CASE WHEN doc_id % 4 = 3 THEN 0.0::DOUBLE ELSE fo END AS fossil, CASE WHEN doc_id % 4 = 3 THEN 0.0::DOUBLE ELSE CAST(doc_id % 10 AS DOUBLE) END AS nuclear,
@@ -164,7 +181,7 @@ FROM (SELECT doc_id, CAST(995 - 10 * (doc_id % 60) - 10 * (doc_id % 10) AS DOUBL
 
 @query("x3_label_values", LABEL_SQL)
 def _(v: Views) -> DataFrame:
-    return text.extract_labels(v.label_text, 2023).select(
+    return text.extract_labels(v.label_text, 2023, section_length=SECTION_LENGTH).select(
         "doc_id", "year", "mix_type", "renewable", "fossil", "nuclear", "wind", "co2", "waste", "confidence")
 
 
@@ -224,13 +241,74 @@ def _(v: Views) -> DataFrame:
     return table_metrics(jobs.supplier_matching(v.ledger, v.doc.drop("text"), v.provider, v.mix))
 
 
-@query("job_label_extraction", f"""WITH l AS ({LABEL_SQL}) SELECT l.doc_id AS id, d.provider_id, l.year, renewable, fossil, nuclear, CASE WHEN nuclear > 5 AND l.year >= 2024 THEN least(confidence, 30) ELSE confidence END AS confidence
-FROM l JOIN v_doc d ON d.id = l.doc_id JOIN v_provider p ON p.id = d.provider_id""")
-def _(v: Views) -> DataFrame:
+# Documents with labels, every third with a stored response; every fifth of those says that it is no label.
+JOB_SQL = f"""WITH l AS ({LABEL_SQL}),
+r AS (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'gemini_vision' ELSE 'gemini_text' END AS method FROM documents WHERE doc_id % 3 = 0 AND doc_id % 15 <> 0
+  AND (doc_id % 6 = 0 OR length(coalesce(text, '')) + CASE doc_id % 4 WHEN 2 THEN 0 WHEN 3 THEN 30 ELSE 200 END > 50)),
+c AS (SELECT doc_id, method, CAST(2022 AS INT) AS year, 60.0::DOUBLE AS renewable, 30.0::DOUBLE AS fossil, 10.0::DOUBLE AS nuclear, CAST(50 + doc_id % 50 AS INT) AS confidence, 'T' || CAST(doc_id AS STRING) AS tariff_name, 'v' || CAST(doc_id % 2 AS STRING) AS prompt_version FROM r
+  UNION ALL SELECT doc_id, 'regex', year, renewable, fossil, nuclear, CASE WHEN nuclear > 5 AND year >= 2024 THEN least(confidence, 30) ELSE confidence END, NULL, NULL FROM l WHERE doc_id NOT IN (SELECT doc_id FROM r)),
+m AS (SELECT c.*, d.provider_id FROM c JOIN v_doc d ON d.id = c.doc_id JOIN v_provider p ON p.id = d.provider_id WHERE c.doc_id % 37 <> 5) """
+
+
+def label_job(v: Views) -> dict[str, DataFrame]:
+    key = F.col("id")
     printed = v.label_text.withColumnRenamed("doc_id", "id")
+    written = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    page = key % 21 == 1  # some come as pages
+    printed = printed.select("id", F.when(~page, F.col("text")).alias("text"), F.when(page, F.concat(F.lit('<p title="a > b">'), written)).alias("html"))
     docs = v.doc.drop("text").join(printed, "id")
-    return jobs.label_extraction(docs, None, v.provider, v.trusted, 2023)["mixes"].select(
-        "id", "provider_id", "year", "renewable", "fossil", "nuclear", "confidence")
+    answer = F.concat(
+        F.lit('{"is_skz": '), F.when(key % 15 == 0, "false").otherwise("true"), F.lit(', "year": 2022, "renewable": 60, "fossil": 30, "nuclear": 10, "confidence": '),
+        (50 + key % 50).cast("string"), F.lit(', "tariff_name": "T'), key.cast("string"), F.lit('", "company_city": "Ort '), key.cast("string"),
+        F.when(key % 2 == 0, '", "hkn_origins": [{"country": "Norwegen", "percentage": 60.5}, {"country": "Island", "percentage": 1}]}').otherwise('"}'))
+    # the other documents' responses are no JSON and are refused, each with its reason
+    answers = v.doc.select("id", F.when(key % 3 == 0, answer).otherwise("none").alias("raw_response"),
+                           F.when(key % 6 == 0, "gemini_vision").alias("method"), F.concat(F.lit("v"), (key % 2).cast("string")).alias("prompt_version"))
+    vetoes = v.doc.select("id", (key % 37 != 5).alias("is_label"), F.lit(90).alias("confidence"))
+    return jobs.label_extraction(docs, answers, v.provider, v.trusted, 2023, vetoes)
+
+
+@query("job_label_extraction", JOB_SQL + "SELECT doc_id AS id, provider_id, year, renewable, fossil, nuclear, confidence, method AS extraction_method, tariff_name, prompt_version FROM m")
+def _(v: Views) -> DataFrame:
+    return label_job(v)["mixes"].select("id", "provider_id", "year", "renewable", "fossil", "nuclear", "confidence", "extraction_method", "tariff_name", "prompt_version")
+
+
+@query("job_label_origins", JOB_SQL + """SELECT doc_id AS energy_mix_id, country, percentage FROM m, (VALUES ('Norwegen', 60.5::DOUBLE), ('Island', 1.0::DOUBLE)) o(country, percentage)
+WHERE method <> 'regex' AND doc_id % 2 = 0""")
+def _(v: Views) -> DataFrame:
+    return label_job(v)["origins"]
+
+
+@query("job_label_providers", JOB_SQL + """SELECT p.id, p.name, coalesce(e.city, p.city) AS city FROM v_provider p
+LEFT JOIN (SELECT provider_id, 'Ort ' || CAST(max(doc_id) AS STRING) AS city FROM m WHERE method <> 'regex' GROUP BY 1) e ON e.provider_id = p.id""")
+def _(v: Views) -> DataFrame:
+    return label_job(v)["providers"].select("id", "name", "city")
+
+
+@query("job_label_rejects", JOB_SQL + """SELECT id, 'supplier' AS reason FROM v_doc WHERE provider_id NOT IN (SELECT id FROM v_provider)
+UNION ALL SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'no_label' ELSE 'json' END FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 15 = 0""")
+def _(v: Views) -> DataFrame:
+    return label_job(v)["rejects"]
+
+
+@query("job_label_outcomes", JOB_SQL + """SELECT d.id, d.provider_id, m.year, CASE WHEN p.id IS NULL THEN 'failed' WHEN m.year IS NULL THEN 'partial'
+  WHEN len(w.words) > 0 AND len(list_filter(w.words, lambda x: contains(lower(d.source_url), x))) = 0 AND t.provider_id IS NULL THEN 'partial' ELSE 'success' END AS status
+FROM v_doc d LEFT JOIN v_provider p ON p.id = d.provider_id LEFT JOIN v_words w ON w.id = d.provider_id LEFT JOIN m ON m.doc_id = d.id
+LEFT JOIN v_trusted t ON t.provider_id = d.provider_id AND t.domain = 'host' || CAST(d.id % 13 AS STRING) || '.de'""")
+def _(v: Views) -> DataFrame:
+    return label_job(v)["outcomes"]
+
+
+@query("job_source_selection", f"""WITH k AS ({RANK_SQL}) SELECT provider_id, url, score, position, url IN (SELECT url FROM k WHERE position % 2 = 0) AS offered FROM k
+QUALIFY row_number() OVER (PARTITION BY provider_id ORDER BY score DESC, position) = 1""")
+def _(v: Views) -> DataFrame:
+    """Result lists, and pages behind the addresses that stand at even positions."""
+    decoded = links.rank_search_results(v.result)
+    offer = F.concat(F.lit('<base href="https://x.de/"><a href="'), F.col("position").cast("string"), F.lit('/Strommix.pdf">Strommix</a>'))
+    pages = decoded.filter("position % 2 = 0").groupBy("url").agg(F.min("position").alias("position")).select(
+        F.col("position").alias("page_id"), "url", offer.alias("html"))
+    found = jobs.source_selection(v.result, pages)
+    return found.select("provider_id", "url", "score", "position", F.coalesce(F.col("document_url").startswith("https://x.de/"), F.lit(False)).alias("offered"))
 
 
 # --- files, printed lists, exports ------------------------------------------------------------------

@@ -16,10 +16,6 @@ def _text(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
-def _mod(col: str, n: int) -> Column:
-    return F.col(col) % n
-
-
 class Views:
     """Lazily defined inputs over one folder of parquet tables."""
 
@@ -56,8 +52,10 @@ class Views:
             .when(priority == "3-MEDIUM", "duplicate key value violates unique constraint")
             .when(priority == "5-LOW", F.lit(None)).otherwise("Suchmaschinen nicht erreichbar oder blockiert")
         )
-        return self.table("orders").filter(F.col("o_custkey") % 10 != 0).select(
-            key.alias("id"), F.col("o_custkey").alias("provider_id"),
+        # every tenth supplier has no job: its orders go to the one before
+        owner = F.col("o_custkey") - (F.col("o_custkey") % 10 == 0).cast("int")
+        return self.table("orders").select(
+            key.alias("id"), owner.alias("provider_id"),
             F.when(status == "O", "success").when(status == "P", "partial").when(key % 7 == 0, "running")
             .otherwise("failed").alias("status"),
             message.alias("log_message"), F.col("o_orderdate").alias("started_at"),
@@ -74,7 +72,7 @@ class Views:
         share = "decimal(5,2)"
         return rows.select(
             key.alias("id"), F.col("o_custkey").alias("provider_id"),
-            F.when(key % 9 != 0, key % 500).alias("document_id"),
+            F.when(key % 9 != 0, F.expr("o_orderkey div 60")).alias("document_id"),
             (F.year("o_orderdate") + 24).cast("int").alias("year"),
             (2 * low).cast(share).alias("renewable_percentage"),
             (100 - 2 * low).cast(share).alias("fossil_percentage"),
@@ -112,8 +110,9 @@ class Views:
 
     @cached_property
     def audit(self) -> DataFrame:
-        key = F.col("o_custkey")
-        return self.table("orders").filter(key % 3 == 0).select(
+        # verdicts for every third supplier
+        key = F.greatest(F.lit(3), F.col("o_custkey") - F.col("o_custkey") % 3)
+        return self.table("orders").select(
             key.alias("provider_id"), (F.year("o_orderdate") + 24).cast("int").alias("year"),
             F.when(key % 4 == 0, "plausibel").when(key % 4 == 1, "fehlerhaft_hkn").otherwise("beanstandet").alias("status"),
         ).distinct()
@@ -140,9 +139,10 @@ class Views:
 
     @cached_property
     def trusted(self) -> DataFrame:
-        return self.table("documents").filter(F.col("doc_id") % 97 % 2 == 0).select(
-            (F.col("doc_id") % 97).alias("provider_id"),
-            F.concat(F.lit("host"), _text(F.col("doc_id") % 97 % 13), F.lit(".de")).alias("domain")).distinct()
+        # sources are confirmed for every second supplier
+        key = F.col("doc_id") % 97 - F.col("doc_id") % 97 % 2
+        return self.table("documents").select(
+            key.alias("provider_id"), F.concat(F.lit("host"), _text(key % 13), F.lit(".de")).alias("domain")).distinct()
 
     @cached_property
     def token(self) -> DataFrame:
@@ -175,7 +175,8 @@ class Views:
         country = F.when(key % 17 == 0, F.lit("")).otherwise(F.concat(F.lit(" "), "country"))
         line = F.concat_ws(",", name, _text("year"), _text("delivered_volume_mwh"), country, _text("amount_mwh"), F.lit("x"))
         number = key * 100 + F.col("n_nationkey") + 10
-        again = F.concat_ws(",", name, _text("year"), F.lit("7.50"), country, F.lit("1.25"))
+        odd = F.when(key % 46 == 0, "1e30").when(key % 69 == 0, "viel").otherwise("7.50")
+        again = F.concat_ws(",", name, _text("year"), odd, country, F.lit("1.25"))
         lines = rows.select(
             F.col("year").alias("ledger_id"),
             F.explode(F.array(
@@ -253,9 +254,9 @@ class Views:
 
     @cached_property
     def link(self) -> DataFrame:
-        """Link rows of supplier pages."""
+        """Link rows of supplier pages; three documents share an address."""
         key = F.col("doc_id")
-        n = _text(key % 3)
+        n = _text(F.expr("doc_id div 24"))
         base = F.lit("https://www.host.de/")
         href = (
             F.when(key % 8 == 0, F.concat(base, F.lit("stromkennzeichnung-"), n, F.lit(".pdf")))
@@ -268,13 +269,38 @@ class Views:
             .otherwise(F.concat(base, F.lit("nachweis-"), n, F.lit(".pdf")))
         )
         return self.table("documents").select(
-            (key % 211).alias("page_id"), key.alias("position"), href.alias("href"),
+            F.expr("doc_id div 48").alias("page_id"), key.alias("position"), href.alias("href"),
             F.when(key % 5 == 0, "strommix herunterladen").otherwise("download").alias("text"),
             F.when(key % 8 == 5, "stromkennzeichnung 2024").otherwise("").alias("title"),
             F.when(key % 8 == 6, "energiemix als bild").otherwise("").alias("aria_label"),
             F.when(key % 9 == 0, "energiequelle").otherwise("").alias("alt"),
         )
 
+    @cached_property
+    def known_page(self) -> DataFrame:
+        """Pages built around whole documents, so that their text and links are known without reading markup."""
+        key = F.col("doc_id")
+        written = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+        title = F.lit("<title>Titel</title>")
+        link = F.concat(F.lit(" href="), F.when(key % 2 == 0, F.concat(F.lit('"/d/'), _text(key), F.lit('.pdf?a=1&amp;b=2"')))
+                        .otherwise(F.concat(F.lit("'../d/"), _text(key), F.lit(".pdf'"))))
+        anchor = (
+            F.when(key % 5 == 0, F.concat(F.lit('<a title="a > b"'), link, F.lit(">Strommix</a>")))
+            .when(key % 5 == 1, F.concat(F.lit('<a title="data href=/wrong.pdf"'), link, F.lit(">Strommix</a>")))
+            .when(key % 5 == 2, F.concat(F.lit("<A\n DATA-HREF=/no.pdf"), link, F.lit(" class=x>Strommix<a name=y>")))
+            .when(key % 5 == 3, F.concat(F.lit("<!-- <a href='/no.pdf'>nein</a> --><a"), link, F.lit("><b>Strom</b>mix</a>")))
+            .otherwise(F.concat(F.lit("<script>x = '<a href=\"/no.pdf\">';</script><a rel='x>y'"), link, F.lit(">Strommix</a>"))))
+        html = (
+            F.when(key % 6 == 0, F.concat(F.lit("<html><head>"), title, F.lit("</head><body>"), anchor, F.lit(" "), written, F.lit("</body></html>")))
+            .when(key % 6 == 1, F.concat(F.lit("<head>"), title, F.lit('<meta name="x" content="b > c"><body class="x>y"><p>'), anchor, F.lit("\n"), written))
+            .when(key % 6 == 2, F.concat(F.lit("<p title=\"a > b\" data-x='q > r'>"), anchor, F.lit(" "), written,
+                                         F.lit('</p><!-- <b>nein</b> --><script type="a>b">if (a > b) { x }</script><p')))
+            .when(key % 6 == 3, F.concat(F.lit("<head>"), title, F.lit('<link rel="x"><base href="https://base.example/b/c?x"><p>'), anchor, F.lit("\t"), written))
+            .when(key % 6 == 4, F.concat(F.lit("<noscript>nein</noscript><div><svg><title>Bild</title></svg> "), anchor, F.lit(" "), written))
+            .otherwise(F.concat(F.lit("<style>p > b {}</style>&nbsp;&#228;&#xE4;&szlig; "), anchor, F.lit(" "), written, F.lit("&#160;"))))
+        return self.table("documents").select(
+            key.alias("page_id"), F.concat(F.lit("https://www.host"), _text(key % 13), F.lit(".de/a/b/c.html")).alias("url"), html.alias("html"))
+
     @cached_property
     def event(self) -> DataFrame:
         return self.table("events").select("event_id", "ts", "user_id", "event_type", "value")
@@ -295,16 +321,16 @@ SQL: dict[str, str] = {
                          WHEN 'HOUSEHOLD' THEN NULL ELSE 'offen' END AS review_status,
        c_acctbal >= 0 AS active
 FROM customer JOIN nation ON c_nationkey = n_nationkey""",
-    "v_job": """SELECT o_orderkey AS id, o_custkey AS provider_id,
+    "v_job": """SELECT o_orderkey AS id, o_custkey - CASE WHEN o_custkey % 10 = 0 THEN 1 ELSE 0 END AS provider_id,
        CASE o_orderstatus WHEN 'O' THEN 'success' WHEN 'P' THEN 'partial'
                           ELSE CASE WHEN o_orderkey % 7 = 0 THEN 'running' ELSE 'failed' END END AS status,
        CASE o_orderpriority WHEN '1-URGENT' THEN 'Timeout nach 2 Min.' WHEN '2-HIGH' THEN 'Keine Ergebnisse gefunden'
             WHEN '3-MEDIUM' THEN 'duplicate key value violates unique constraint'
             WHEN '5-LOW' THEN NULL ELSE 'Suchmaschinen nicht erreichbar oder blockiert' END AS log_message,
        o_orderdate AS started_at
-FROM orders WHERE o_custkey % 10 <> 0""",
+FROM orders""",
     "v_mix": """SELECT o_orderkey AS id, o_custkey AS provider_id,
-       CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderkey % 500 END AS document_id,
+       CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderkey // 60 END AS document_id,
        CAST(year(o_orderdate) + 24 AS INT) AS year,
        CAST(2 * min(l_quantity) AS DECIMAL(5,2)) AS renewable_percentage,
        CAST(100 - 2 * min(l_quantity) AS DECIMAL(5,2)) AS fossil_percentage,
@@ -327,9 +353,9 @@ FROM orders GROUP BY o_custkey, year(o_orderdate)""",
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
               JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
 GROUP BY o_custkey, year(o_orderdate), n_name""",
-    "v_audit": """SELECT DISTINCT o_custkey AS provider_id, CAST(year(o_orderdate) + 24 AS INT) AS year,
-       CASE o_custkey % 4 WHEN 0 THEN 'plausibel' WHEN 1 THEN 'fehlerhaft_hkn' ELSE 'beanstandet' END AS status
-FROM orders WHERE o_custkey % 3 = 0""",
+    "v_audit": """SELECT DISTINCT k AS provider_id, CAST(year(o_orderdate) + 24 AS INT) AS year,
+       CASE k % 4 WHEN 0 THEN 'plausibel' WHEN 1 THEN 'fehlerhaft_hkn' ELSE 'beanstandet' END AS status
+FROM (SELECT *, greatest(3, o_custkey - o_custkey % 3) AS k FROM orders)""",
     "v_doc": """SELECT doc_id AS id, doc_id % 97 AS provider_id,
        CASE doc_id % 5 WHEN 0 THEN 'image' WHEN 1 THEN 'manual' ELSE 'pdf' END AS file_type,
        sha256(text) AS file_hash,
@@ -339,8 +365,8 @@ FROM orders WHERE o_custkey % 3 = 0""",
 FROM documents""",
     "v_jobdoc": """SELECT o_orderkey AS id, o_custkey AS provider_id,
        o_orderdate + to_seconds(o_orderkey % 180 - 90) AS created_at FROM orders""",
-    "v_trusted": """SELECT DISTINCT doc_id % 97 AS provider_id, CONCAT('host', CAST(doc_id % 97 % 13 AS STRING), '.de') AS domain
-FROM documents WHERE doc_id % 97 % 2 = 0""",
+    "v_trusted": """SELECT DISTINCT k AS provider_id, CONCAT('host', CAST(k % 13 AS STRING), '.de') AS domain
+FROM (SELECT doc_id % 97 - doc_id % 97 % 2 AS k FROM documents)""",
     "v_token": """SELECT id // 40 AS page, 10 * id + k AS seq, x, (id % 40) * 1.5::DOUBLE + 0.01::DOUBLE * k AS y, text FROM (
   SELECT id, 0 AS k, 3.5::DOUBLE AS x, CASE WHEN id % 50 = 0 THEN 'Stand 2024' WHEN id % 53 = 0 THEN 'AB' ELSE name END AS text FROM v_provider
   UNION ALL SELECT id, 1, 6.0, 'Zweitname' FROM v_provider WHERE id % 11 = 0
@@ -359,7 +385,7 @@ UNION ALL
 SELECT year, provider_id * 100 + n_nationkey + 10 + 1000000000000,
        CASE WHEN provider_id % 23 = 0 THEN concat_ws(',',
             CASE WHEN provider_id % 19 = 0 THEN 'Unbekannt ' || CAST(provider_id AS STRING) ELSE upper(name) END,
-            CAST(year AS STRING), '7.50', CASE WHEN provider_id % 17 = 0 THEN '' ELSE ' ' || country END, '1.25')
+            CAST(year AS STRING), CASE WHEN provider_id % 46 = 0 THEN '1e30' WHEN provider_id % 69 = 0 THEN 'viel' ELSE '7.50' END, CASE WHEN provider_id % 17 = 0 THEN '' ELSE ' ' || country END, '1.25')
        ELSE '  ' END
 FROM v_cancellation JOIN nation ON n_name = country JOIN v_provider p ON p.id = provider_id
 UNION ALL
@@ -370,7 +396,7 @@ FROM v_ledger WHERE trim(line) <> ''
 QUALIFY row_number() OVER (PARTITION BY ledger_id ORDER BY line_no) > 1""",
     "v_ledger_match": """SELECT r.*, p.provider_id FROM (
   SELECT *, regexp_replace(regexp_replace(lower(f[1]), '\\b(gmbh & co\\.?\\s*kg|gmbh & co\\.?\\s*ohg|gmbh|co\\.?\\s*kg|ag|eg|ug|se)\\b', '', 'g'), '[^a-z0-9äöüß]', '', 'g') AS k
-  FROM v_ledger_row WHERE f[1] <> '' AND f[2] <> '' AND f[3] <> '' AND f[4] <> '' AND f[5] <> '') r
+  FROM v_ledger_row WHERE f[1] <> '' AND f[2] <> '' AND f[3] <> '' AND f[4] <> '' AND f[5] <> '' AND f[3] NOT IN ('1e30', 'viel')) r
 LEFT JOIN (
   SELECT regexp_replace(regexp_replace(lower(name), '\\b(gmbh & co\\.?\\s*kg|gmbh & co\\.?\\s*ohg|gmbh|co\\.?\\s*kg|ag|eg|ug|se)\\b', '', 'g'), '[^a-z0-9äöüß]', '', 'g') AS k,
          min(id) AS provider_id FROM v_provider GROUP BY 1) p ON p.k = r.k""",
@@ -398,7 +424,7 @@ LEFT JOIN (
 FROM (SELECT d.id, d.provider_id, d.source_url, p.name, lower(regexp_replace(p.name, '[^A-Za-z0-9]', '', 'g')) AS host,
              'https://www.' || lower(regexp_replace(p.name, '[^A-Za-z0-9]', '', 'g')) || '.de/stromkennzeichnung.pdf' AS own
       FROM v_doc d JOIN v_provider p ON p.id = d.provider_id)""",
-    "v_link": """SELECT doc_id % 211 AS page_id, doc_id AS position, 'https://www.host.de/' || CASE doc_id % 8
+    "v_link": """SELECT doc_id // 48 AS page_id, doc_id AS position, 'https://www.host.de/' || CASE doc_id % 8
     WHEN 0 THEN 'stromkennzeichnung-' || n || '.pdf' WHEN 1 THEN 'energiemix-' || n || '.PNG?x=1'
     WHEN 2 THEN 'pdf/bericht-' || n WHEN 3 THEN 'logo-strommix-' || n || '.png'
     WHEN 4 THEN 'kennzeichnung-' || n || '.html' WHEN 5 THEN 'download/' || n || '.pdf?v=2'
@@ -407,7 +433,7 @@ FROM (SELECT d.id, d.provider_id, d.source_url, p.name, lower(regexp_replace(p.n
   CASE WHEN doc_id % 8 = 5 THEN 'stromkennzeichnung 2024' ELSE '' END AS title,
   CASE WHEN doc_id % 8 = 6 THEN 'energiemix als bild' ELSE '' END AS aria_label,
   CASE WHEN doc_id % 9 = 0 THEN 'energiequelle' ELSE '' END AS alt
-FROM (SELECT doc_id, CAST(doc_id % 3 AS STRING) AS n FROM documents)""",
+FROM (SELECT doc_id, CAST(doc_id // 24 AS STRING) AS n FROM documents)""",
     "v_words": """SELECT id, name, list_filter(list_transform(
     string_split_regex(regexp_replace(regexp_replace(regexp_replace(lower(name),
       '\\b(stromkennzeichnung|energiemix|strommix|energietraeger|energy-mix|strom-mix|kennzeichnung|energiequelle)\\b', '', 'g'),

@@ -30,13 +30,3 @@ def build_session(app: str = "labelspark", master: str | None = None, partitions
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a scratch folder only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="labelspark-")
-    return folder

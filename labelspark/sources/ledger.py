@@ -36,15 +36,15 @@ def data_lines(lines: DataFrame) -> DataFrame:
 def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records, rejects): a record has all five fields non-empty; further fields are ignored.
 
-    Records whose year or amounts do not start with a number are rejected as well.
+    Records whose year or amounts do not start with a number, or with one that does not fit, are rejected as well.
     """
     parts = F.split("line", ",", -1)
     rows = settle(data_lines(lines), {"_f": parts})
     rows = rows.select("ledger_id", "line_no", "line", *[F.get("_f", i).alias(f) for i, f in enumerate(FIELDS)])
     rows = settle(rows, {
         "year": leading_integer(F.col("berichtsjahr")),
-        "delivered_volume_mwh": leading_number(F.col("strommenge_mwh")).cast("decimal(15,2)"),
-        "amount_mwh": leading_number(F.col("hkn_menge_mwh")).cast("decimal(15,2)"),
+        "delivered_volume_mwh": leading_number(F.col("strommenge_mwh")).try_cast("decimal(15,2)"),
+        "amount_mwh": leading_number(F.col("hkn_menge_mwh")).try_cast("decimal(15,2)"),
         "country": F.trim("hkn_land"),
     })
     missing: Column = F.lit(False)

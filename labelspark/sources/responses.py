@@ -26,7 +26,9 @@ def normalise(responses: DataFrame, column: str = "raw_response") -> tuple[DataF
         return F.try_variant_get("_v", "$." + path, kind)
 
     is_object = F.coalesce(F.col("_v").isNotNull() & F.col("_json").startswith("{"), F.lit(False))
-    refused = F.coalesce(get("is_skz", "string") == "false", F.lit(False))
+    # only the boolean refuses, not a text that says the same
+    stated = F.try_variant_get("_v", "$.is_skz", "variant")
+    refused = F.coalesce((F.schema_of_variant(stated) == "BOOLEAN") & ~get("is_skz", "boolean"), F.lit(False))
     parsed = settle(parsed, {"_reason": F.when(~is_object, "json").when(refused, "no_label")})
     columns = {f: get(f, "double") for f in _DOUBLES} | {f: get(f, "string") for f in _STRINGS}
     columns |= {

@@ -43,9 +43,11 @@ def read_table(spark: SparkSession, folder: str, name: str, fmt: str = "parquet"
     return spark.read.schema(SCHEMAS[name]).format(fmt).load(f"{folder}/{name}")
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, key: str = "id", bounds: tuple[int, int] = (1, 1),
-              partitions: int = 1, properties: dict[str, str] | None = None) -> DataFrame:
-    """A table of a relational database, read in ``partitions`` ranges of its key."""
+def read_jdbc(spark: SparkSession, url: str, table: str, bounds: tuple[int, int], partitions: int, key: str = "id",
+              properties: dict[str, str] | None = None) -> DataFrame:
+    """A table of a relational database, read in ``partitions`` ranges of its key between the two ``bounds``."""
+    if bounds[0] >= bounds[1] or partitions < 2:
+        raise ValueError("state the range of the key and two partitions or more")
     return spark.read.jdbc(url, table, column=key, lowerBound=bounds[0], upperBound=bounds[1],
                            numPartitions=partitions, properties=properties or {})
 

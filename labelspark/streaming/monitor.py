@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
 import pandas as pd
@@ -43,37 +43,54 @@ def fail_stale(jobs: DataFrame, as_of: Column, seconds: int = C.STALE_JOB_SECOND
 
 
 class StaleProcessor(StatefulProcessor):
-    """Emits a job as failed when event time passes its limit without an end."""
+    """Emits a job as failed when event time passes its limit without an end.
+
+    The state is the earliest start and whether the job is over, with one timer.  A job that is over (ended or failed) is
+    remembered until its timer clears it, so that a start that arrives after the end starts nothing.
+    """
 
     def __init__(self, seconds: int):
         self.seconds = seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("started", "at_ms long")
+        self.state = handle.getValueState("job", "started long, over boolean")
+
+    def _remember(self, started: int, over: bool, until: int) -> None:
+        self.state.update((started, over))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(until)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        started, ended = None, False
+        known = tuple(self.state.get()) if self.state.exists() else (-1, False)
+        started, over, latest = known[0], known[1], 0
         for batch in rows:
-            running = batch[batch["status"] == "running"]
+            running = batch.loc[batch["status"] == "running", "at_ms"]
             if len(running):
-                started = int(running["at_ms"].min())
-            ended = ended or bool((batch["status"] != "running").any())
-        for timer in list(self.handle.listTimers()) if ended else []:
-            self.handle.deleteTimer(timer)
-        if ended:
-            self.state.clear()
-        elif started is not None:
-            self.state.update((started,))
-            self.handle.registerTimer(started + self.seconds * 1000 + 1)
-        yield pd.DataFrame({"id": pd.Series([], dtype="int64"), "status": pd.Series([], dtype="str"),
-                            "log_message": pd.Series([], dtype="str"), "at": pd.Series([], dtype="datetime64[ns, UTC]")})
+                started = int(running.min()) if started < 0 else min(started, int(running.min()))
+            over = over or len(running) < len(batch)
+            latest = max(latest, int(batch["at_ms"].max()))
+        if (started, over) != known:
+            begin = latest if over else started
+            self._remember(started, over, begin + self.seconds * 1000 + 1)
+        yield self._rows([], [], [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         at = expiredTimerInfo.getExpiryTimeInMs()
-        self.state.clear()
-        yield pd.DataFrame({"id": [key[0]], "status": ["failed"], "log_message": [C.STALE_JOB_MESSAGE],
-                            "at": [datetime.fromtimestamp(at / 1000, tz=timezone.utc)]})
+        started, over = self.state.get()
+        if over:
+            self.state.clear()
+            yield self._rows([], [], [])
+        else:
+            self.state.update((started, True))
+            self.handle.registerTimer(at + self.seconds * 1000)
+            yield self._rows([key[0]], [C.STALE_JOB_MESSAGE], [datetime.fromtimestamp(at / 1000, tz=timezone.utc)])
+
+    @staticmethod
+    def _rows(ids: list, messages: list, at: list) -> pd.DataFrame:
+        return pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "status": pd.Series(["failed"] * len(ids), dtype="str"),
+                             "log_message": pd.Series(messages, dtype="str"), "at": pd.Series(at, dtype="datetime64[ns, UTC]")})
 
     def close(self) -> None:
         pass
@@ -89,10 +106,15 @@ def stale_stream(changes: DataFrame, seconds: int = C.STALE_JOB_SECONDS, delay:
         outputMode="Append", timeMode="EventTime")
 
 
-def run_available(df: DataFrame, checkpoint: str, mode: str, table: str | None = None, path: str | None = None) -> StreamingQuery:
-    """Work through everything that is there, then stop: into an in-memory table, or into parquet files
-    (append mode), from where a later run goes on with the stored state."""
+def run_available(df: DataFrame, checkpoint: str, path: str | None = None, mode: str = "append",
+                  each: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    """Work through everything that is there, then stop; a later run goes on with the stored state.
+
+    Rows go into parquet files (append mode), or every micro-batch to ``each`` (any mode), which stores it.
+    """
+    if (path is None) == (each is None):
+        raise ValueError("state either a path or a function for micro-batches")
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    query = writer.format("parquet").start(path) if path else writer.format("memory").queryName(table).start()
+    query = writer.format("parquet").start(path) if path else writer.foreachBatch(each).start()
     query.awaitTermination()
     return query

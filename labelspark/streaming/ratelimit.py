@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 CHUNK_WINDOWS = 64
+OUTPUT_MOMENTS = 10_000  # milliseconds of a key handed on together by the stream form
 
 
 def _next_starts(times: np.ndarray, window_ms: int) -> np.ndarray:
@@ -126,35 +127,57 @@ def audit(requests: DataFrame, key: str, ts: str, limit: int, window_ms: int) ->
 
 
 class LimitProcessor(StatefulProcessor):
-    """Stream form: per key the count and end of the open window."""
+    """Stream form: per key the count and end of the open window, until event time has passed that end."""
 
     def __init__(self, limit: int, window_ms: int):
         self.limit, self.window_ms = limit, window_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("window", "count long, reset_ms long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         count, reset = self.state.get() if self.state.exists() else (0, None)
-        for batch in rows:
-            out = []
-            for at in np.sort(batch["at_ms"].to_numpy()):
-                if reset is None or reset < at:
-                    count, reset = 0, int(at) + self.window_ms
-                count += 1
-                denied = count > self.limit
-                out.append((key[0], int(at), not denied, int(-((at - reset) // 1000)) if denied else None))
-            yield pd.DataFrame(out, columns=["key", "at_ms", "allowed", "retry_after"]).astype({"retry_after": "Int64"})
+        # a micro-batch reaches this function in several Arrow batches; time order holds over all of them
+        moments, counts = np.unique(np.concatenate([batch["at_ms"].to_numpy() for batch in rows]), return_counts=True)
+        before, ends = np.empty(len(moments), np.int64), np.empty(len(moments), np.int64)
+        for i, (at, n) in enumerate(zip(moments.tolist(), counts.tolist(), strict=True)):
+            if reset is None or reset < at:
+                count, reset = 0, at + self.window_ms
+            before[i], ends[i] = count, reset
+            count += n
         self.state.update((count, reset))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(reset + 1)
+        for low in range(0, len(moments), OUTPUT_MOMENTS):
+            part = slice(low, low + OUTPUT_MOMENTS)
+            at, n = np.repeat(moments[part], counts[part]), counts[part]
+            turn = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+            denied = np.repeat(before[part], n) + turn >= self.limit
+            wait = -((at - np.repeat(ends[part], n)) // 1000)
+            yield pd.DataFrame({"key": key[0], "at_ms": at, "allowed": ~denied,
+                                "retry_after": pd.Series(wait, dtype="Int64").mask(denied == False)})  # noqa: E712
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.state.exists() and self.state.get()[1] < expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+        yield pd.DataFrame({"key": pd.Series([], dtype="str"), "at_ms": pd.Series([], dtype="int64"),
+                            "allowed": pd.Series([], dtype="bool"), "retry_after": pd.Series([], dtype="Int64")})
 
     def close(self) -> None:
         pass
 
 
-def audit_stream(requests: DataFrame, key: str, ts: str, limit: int, window_ms: int) -> DataFrame:
-    """One row per request as it arrives (requests of a key in time order).  Needs the RocksDB state store."""
-    rows = requests.select(F.col(key).cast("string").alias("key"), F.unix_millis(F.col(ts).cast("timestamp")).alias("at_ms"))
+def audit_stream(requests: DataFrame, key: str, ts: str, limit: int, window_ms: int, delay: str = "10 minutes") -> DataFrame:
+    """One row per request as it arrives (requests of a key in time order within and between micro-batches).
+
+    ``delay``: how long the state of a window is kept beyond its end, and how late a request may come to be counted.
+    Needs the RocksDB state store.
+    """
+    rows = requests.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"))
+    rows = rows.withWatermark("ts", delay).withColumn("at_ms", F.unix_millis("ts"))
     return rows.groupBy("key").transformWithStateInPandas(
         statefulProcessor=LimitProcessor(limit, window_ms),
         outputStructType="key string, at_ms long, allowed boolean, retry_after long",
-        outputMode="Append", timeMode="None")
+        outputMode="Append", timeMode="EventTime")

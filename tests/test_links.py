@@ -112,3 +112,23 @@ def test_page_text(spark):
     df = spark.createDataFrame([(1, html)], "page_id long, html string")
     assert page_text(df).select("text").first()[0] == "Ein Titel a<bc Ende"
     assert page_text(df.withColumn("html", F.lit(None).cast("string"))).select("text").first()[0] is None
+
+
+def test_odd_markup(spark):
+    from labelspark.operators.links import page_links
+    from labelspark.operators.text import page_text
+
+    pages = [
+        (1, '<head><title>T</title><body>Strommix 50 %'), (2, '<a title="a > b" href="/x.pdf">L</a>'),
+        (3, '<a title="data href=/wrong.pdf" href="/right.pdf">L</a>'), (4, '<base target=x><base href="/sub/"><a href="y.pdf">L</a>'),
+        (5, "<p>a <b title='x>y'>b</b> c <svg><title>d</title></svg>"), (6, '<p class="offen>text</p> mehr'), (7, '<a href=unquoted.pdf>L<a href="">M'),
+        (8, "<head><script>var a = '</p>';</script><meta x>"), (9, "a < b & c"), (10, None), (11, ""), (12, "<head>" + "x" * 100_000), (13, "<p" + " a=b" * 100_000)]
+    df = spark.createDataFrame([(i, "https://h.de/p/q.html", m) for i, m in pages], "page_id long, url string, html string")
+    got = {}
+    for r in page_links(df).orderBy("page_id", "position").collect():
+        got.setdefault(r.page_id, []).append(r.href)
+    assert got == {2: ["https://h.de/x.pdf"], 3: ["https://h.de/right.pdf"], 4: ["https://h.de/sub/y.pdf"],
+                   7: ["https://h.de/p/unquoted.pdf", "https://h.de/p/q.html"]}
+    text = {r.page_id: r.text for r in page_text(df).collect()}
+    assert [text[i] for i in (1, 2, 5, 9, 10, 11, 13)] == ["Strommix 50 %", "L", "a b c d", "a < b & c", None, "", ""]
+    assert len(text[12]) == 100_000

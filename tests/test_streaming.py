@@ -36,6 +36,11 @@ def test_rate_limit_audit_equals_simulation(spark, monkeypatch):
         assert got == simulate(rows, 2, window), (window, chunk)
 
 
+def into_memory(df, checkpoint, mode, table):
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", str(checkpoint)).trigger(availableNow=True)
+    writer.format("memory").queryName(table).start().awaitTermination()
+
+
 def write(df, path):
     df.coalesce(1).write.mode("append").parquet(str(path))
 
@@ -47,10 +52,10 @@ def test_rate_limit_stream_equals_batch(spark, tmp_path):
     write(df.filter("at < 2500"), tmp_path / "in")
     source = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     limited = ratelimit.audit_stream(source, "key", "ts", 2, 700)
-    monitor.run_available(limited, str(tmp_path / "cp"), "append", path=str(tmp_path / "out"))
+    monitor.run_available(limited, str(tmp_path / "cp"), str(tmp_path / "out"))
     write(df.filter("at >= 2500"), tmp_path / "in")
     # the second run goes on from the stored state
-    monitor.run_available(limited, str(tmp_path / "cp"), "append", path=str(tmp_path / "out"))
+    monitor.run_available(limited, str(tmp_path / "cp"), str(tmp_path / "out"))
     allowed, denied = {}, {}
     for key, at, ok, _ in spark.read.parquet(str(tmp_path / "out")).select("key", "at_ms", "allowed", "retry_after").collect():
         allowed[key, at] = allowed.get((key, at), 0) + 1
@@ -65,9 +70,9 @@ def test_monitor_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, "id int, provider_id int, status string, s long").withColumn("started_at", F.timestamp_seconds("s"))
     write(df, tmp_path / "in")
     source = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    monitor.run_available(monitor.live_status(source), str(tmp_path / "cp1"), "complete", "live")
+    into_memory(monitor.live_status(source), tmp_path / "cp1", "complete", "live")
     assert sorted(map(tuple, spark.table("live").collect())) == sorted(map(tuple, monitor.live_status(df).collect()))
-    monitor.run_available(monitor.daily_counts(source), str(tmp_path / "cp2"), "update", "daily")
+    into_memory(monitor.daily_counts(source), tmp_path / "cp2", "update", "daily")
     assert sorted(map(tuple, spark.table("daily").collect())) == sorted(map(tuple, monitor.daily_counts(df).collect()))
 
 
@@ -77,7 +82,7 @@ def test_stale_jobs(spark, tmp_path):
     for lot in ("s <= 60", "s = 500", "s = 900"):
         write(df.filter(lot), tmp_path / "in")
         source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    monitor.run_available(monitor.stale_stream(source), str(tmp_path / "cp"), "append", "stale")
+    into_memory(monitor.stale_stream(source), tmp_path / "cp", "append", "stale")
     got = sorted((r.id, r.status, r.log_message) for r in spark.table("stale").collect())
     assert got == [(1, "failed", "Timeout nach 2 Min."), (3, "failed", "Timeout nach 2 Min.")]
     table = df.withColumnsRenamed({"ts": "started_at"}).withColumn("log_message", F.lit(None).cast("string"))
@@ -85,3 +90,31 @@ def test_stale_jobs(spark, tmp_path):
     assert [r.id for r in monitor.fail_stale(table, as_of).filter("status = 'failed'").collect()] == []
     as_of = F.timestamp_seconds(F.lit(1_000_121))
     assert [r.id for r in monitor.fail_stale(table, as_of).filter("status = 'failed'").orderBy("id").collect()] == [1, 2]
+
+
+def test_rate_limit_stream_sorts_a_whole_micro_batch(spark, tmp_path):
+    """Requests of one micro-batch count in time order, however many Arrow batches they come in."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        rows = [("a", 5000), ("a", 5001), ("a", 0), ("a", 1), ("a", 5000), ("b", 7)] * 2
+        write(requests(spark, rows), tmp_path / "in")
+        source = spark.readStream.schema(requests(spark, rows).schema).parquet(str(tmp_path / "in"))
+        monitor.run_available(ratelimit.audit_stream(source, "key", "ts", 1, 6000), str(tmp_path / "cp"), str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {}
+    for r in spark.read.parquet(str(tmp_path / "out")).collect():
+        n, denied, wait = got.get((r.key, r.at_ms), (0, 0, None))
+        got[r.key, r.at_ms] = (n + 1, denied + (not r.allowed), r.retry_after if r.retry_after is not None else wait)
+    assert got == {k: (v[0], v[1], v[3]) for k, v in simulate(rows, 1, 6000).items()}
+
+
+def test_stale_stream_remembers_ends_and_fails_once(spark, tmp_path):
+    rows = [(1, "success", 5), (1, "running", 0), (2, "running", 0), (2, "running", 50), (3, "running", 40), (3, "running", 0), (3, "success", 110),
+            (4, "running", 0), (9, "success", 5000), (4, "running", 0), (9, "success", 9000)]
+    df = spark.createDataFrame(rows, "id long, status string, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_000_000))
+    for row in rows[:8] + [rows[8], rows[10]]:  # one row for each micro-batch, ends before starts among them
+        write(df.filter((F.col("id") == row[0]) & (F.col("status") == row[1]) & (F.col("s") == row[2])).limit(1), tmp_path / "in")
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    into_memory(monitor.stale_stream(source, delay="200 seconds"), tmp_path / "cp", "append", "stale_once")
+    assert sorted(r.id for r in spark.table("stale_once").collect()) == [2, 4]

@@ -169,3 +169,25 @@ def test_fan_out_is_a_left_join(spark):
     assert rows_of(joins.fan_out(left, right, "k"), "k", "v", "w").count((1, "a", 10)) == 50
     got = rows_of(joins.fan_out(left.filter("k IS NOT NULL"), right, "k"), "k", "v", "w")
     assert got == rows_of(left.filter("k IS NOT NULL").join(right, "k", "left"), "k", "v", "w")
+
+
+def test_small_updates_leave_the_base_where_it_is(spark):
+    from labelspark.operators.merge import upsert
+
+    base = spark.range(5_000_000).selectExpr("id AS provider_id", "2021 AS year", "cast(id AS decimal(15,2)) AS volume", "'x' AS note")
+    new = spark.createDataFrame([(7, 2021, 1), (7, 2022, 2), (-3, 2021, 3)], "provider_id long, year int, volume int")
+    merged = upsert(base, new, ["provider_id", "year"])
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "FullOuter" not in plan
+    assert merged.count() == 5_000_002
+    rows = {(r.provider_id, r.year): (int(r.volume), r.note) for r in merged.filter("provider_id in (7, 8, -3)").collect()}
+    assert rows == {(7, 2021): (1, "x"), (8, 2021): (8, "x"), (7, 2022): (2, None), (-3, 2021): (3, None)}
+
+
+def test_constants_of_any_year(spark):
+    from labelspark.operators.joins import with_constants
+
+    constants = spark.createDataFrame([(1999, 1), (2023, 2), (2023, 1), (3000, 5), (None, 9)], "year int, v int")
+    rows = spark.createDataFrame([(1999,), (2023,), (3000,), (1,), (None,)], "year int")
+    assert sorted(((r.year, r.v) for r in with_constants(rows, constants, 2023).collect()), key=repr) == sorted(
+        [(1999, 1), (2023, 1), (3000, 5), (1, 1), (None, 1)], key=repr)
