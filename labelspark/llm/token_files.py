@@ -18,6 +18,7 @@ import types
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,9 @@ from labelspark.llm import wordhash
 from labelspark.llm.storage import shared_folder, write_table
 
 NO_ID = -(1 << 63)
-CACHED_WORDS = 600_000  # per Python worker
+CACHED_WORDS = 1_000_000  # per Python worker
+TOGETHER = 250  # words of letters encoded in one string
+ENDINGS = frozenset(".,")
 LONGEST_CACHED = 64  # characters
 READ_TOKENS = 1 << 20  # tokens looked at together when files are read back
 
@@ -44,27 +47,69 @@ class Encoder:
     """Encodes texts as the tokenizer does, word by word.
 
     The tokenizer's first step drops white space and never joins across it, so the ids of a text are those of its parts
-    between spaces and line feeds, one after the other.  Parts repeat, and each new one is encoded once.
+    between spaces and line feeds, one after the other.  Parts repeat, and each new one is encoded once: words of letters
+    many at a time, told apart by the tokens that end a word; all others by themselves.  Written for tokenizers that lower
+    their texts, split signs off words, and mark word ends, which is checked.
     """
 
     def __init__(self, path: str, width: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cores belong to Spark's tasks
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.cache = Tokenizer.from_file(path), f"<u{width}", word_cache(f"{path}:{width}")
+        self.tokenizer, self.kind, self.cache, self.width = Tokenizer.from_file(path), f"<u{width}", word_cache(f"{path}:{width}"), width
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        probe = self.tokenizer.encode("Ab, cd.", add_special_tokens=False).ids
+        if not suffix or probe != [i for w in ("ab", ",", "cd", ".") for i in self.tokenizer.encode(w, add_special_tokens=False).ids]:
+            raise ValueError("this tokenizer does not lower its texts, split signs off, and mark word ends")
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, self.kind).tobytes() for e in encoded]
+
+    def _stems(self, stems: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters: one word end each."""
+        known = {}
+        runs = [stems[i:i + TOGETHER] for i in range(0, len(stems), TOGETHER)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.kind)
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
+            if len(stops) == len(run):
+                raw = ids.tobytes()
+                known.update(zip(run, [raw[s:t] for s, t in zip([0, *stops], stops, strict=False)], strict=True))
+            else:  # a tokenizer that ends words otherwise
+                known.update(zip(run, self._encoded(run), strict=True))
+        return known
+
+    def _learn(self, new: set[str]) -> set[str]:
+        """Encode words that are not known yet; returns what was added."""
+        stems, other = {}, [w for w in ENDINGS if w not in self.cache]
+        for w in new:
+            tail = w[-1:] if w[-1:] in ENDINGS else ""
+            stem = w[:-1] if tail else w
+            if stem.isalpha() and (stem.isascii() or (is_normalized("NFC", stem) and stem.lower().isalpha())):
+                stems[w] = (stem.lower() if stem.isascii() else stem, tail)
+            elif w not in ENDINGS:
+                other.append(w)
+        fresh = dict(zip(other, self._encoded(other), strict=True))
+        unknown = list({stem for stem, _ in stems.values()}.difference(self.cache))
+        fresh.update(self._stems(unknown))
+        self.cache.update(fresh)
+        # The tokenizer splits signs off words, and reads capitals as small letters.
+        self.cache.update({w: self.cache[stem] + (self.cache[tail] if tail else b"") for w, (stem, tail) in stems.items()})
+        return fresh.keys() | stems.keys()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         parts = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.cache) > CACHED_WORDS:
             self.cache.clear()
-        new = [w for w in set(chain.from_iterable(parts)).difference(self.cache)]
-        encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        fresh = {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(new, encoded, strict=True)}
-        long = [w for w in fresh if len(w) > LONGEST_CACHED]
-        self.cache.update(fresh)
+        added = self._learn(set(chain.from_iterable(parts)).difference(self.cache))
         out = [b"".join(map(self.cache.__getitem__, p)) for p in parts]
-        for w in long:
-            del self.cache[w]
+        for w in added:
+            if len(w) > LONGEST_CACHED:
+                del self.cache[w]
         return out
 
 
