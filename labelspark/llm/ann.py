@@ -33,7 +33,8 @@ def beam_search(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entr
     near = np.full((len(queries), beam), -np.inf, np.float32)
     for low in range(0, len(queries), SEARCH_BLOCK):
         part = slice(low, low + SEARCH_BLOCK)
-        q, start = queries[part], entry[part]
+        q, start = queries[part], np.sort(entry[part], axis=1)
+        start[:, 1:][start[:, 1:] == start[:, :-1]] = -1  # each start node once
         rows = np.arange(len(q))[:, None]
         seen = np.zeros((len(q), len(points) + 1), bool)
         seen[:, -1] = True  # the number -1
@@ -42,7 +43,7 @@ def beam_search(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entr
         own = np.full((len(q), width), -1, np.int64)
         sim = np.full((len(q), width), -np.inf, np.float32)
         own[:, :start.shape[1]] = start
-        sim[:, :start.shape[1]] = np.einsum("qkd,qd->qk", points[start], q)
+        sim[:, :start.shape[1]] = np.where(start >= 0, np.einsum("qkd,qd->qk", points[start], q), -np.inf)
         order = np.argsort(-sim, axis=1, kind="stable")[:, :beam]
         own, sim = own[rows, order], sim[rows, order]
         opened = own < 0
