@@ -115,7 +115,7 @@ def test_label_extraction_job(spark):
     docs = spark.createDataFrame([
         (1, 1, "h1", "https://www.werraenergie.de/a.pdf", "Mix 2022: Ökostrom 60 % Kernkraft 5 % Fossile Energien 35 %"),
         (2, 1, "h2", "https://foreign.de/a.pdf", "Ökostrom 60 %"), (3, 1, "h3", "https://www.werraenergie.de/b.pdf", "nichts"),
-        (4, 1, "h4", "https://www.werraenergie.de/c.pdf", "nichts"), (5, 2, "h5", "https://foreign.de/b.pdf", "Ökostrom 60 %"),
+        (4, 1, "h4", "https://www.werraenergie.de/c.pdf", "nichts " * 10), (5, 2, "h5", "https://foreign.de/b.pdf", "Ökostrom 60 %"),
     ], "id long, provider_id long, file_hash string, source_url string, text string")
     providers = spark.createDataFrame([(1, "Werraenergie GmbH"), (2, "Voltego AG")], "id long, name string")
     trusted = spark.createDataFrame([(2, "foreign.de")], "provider_id long, domain string")

@@ -96,7 +96,7 @@ def test_rate_limit_stream_sorts_a_whole_micro_batch(spark, tmp_path):
     """Requests of one micro-batch count in time order, however many Arrow batches they come in."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
     try:
-        rows = [("a", 5000), ("a", 5001), ("a", 0), ("a", 1), ("a", 5000), ("b", 7)] * 2
+        rows = [(k, 10**6 + at) for k, at in [("a", 5000), ("a", 5001), ("a", 0), ("a", 1), ("a", 5000), ("b", 7)] * 2]
         write(requests(spark, rows), tmp_path / "in")
         source = spark.readStream.schema(requests(spark, rows).schema).parquet(str(tmp_path / "in"))
         monitor.run_available(ratelimit.audit_stream(source, "key", "ts", 1, 6000), str(tmp_path / "cp"), str(tmp_path / "out"))
