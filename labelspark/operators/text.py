@@ -14,8 +14,10 @@ from labelspark.operators.latest import pick
 
 def page_text(pages: DataFrame, markup: str = "html") -> DataFrame:
     """Visible text of whole pages, white space collapsed."""
-    raw = strip_tags(visible_markup(F.col(markup)))
-    return pages.withColumn("text", F.trim(collapse(decode_references(raw)))).drop(markup)
+    rows = settle(pages, {"_raw": strip_tags(visible_markup(F.col(markup)))})
+    # only texts that hold a reference go through Arrow
+    decoded = decode_references(F.when(F.col("_raw").contains("&"), F.col("_raw")))
+    return rows.withColumn("text", F.trim(collapse(F.coalesce(decoded, "_raw")))).drop(markup, "_raw")
 
 
 def label_sections(rows: DataFrame, text: str, length: int | None = C.SECTION_LENGTH) -> DataFrame:
@@ -71,7 +73,11 @@ def extract_labels(documents: DataFrame, default_year: int, text: str = "text",
     year = F.regexp_extract("_lower", C.LABEL_YEAR_PATTERN, 1).try_cast("int")
     rows = settle(rows, {"year": F.coalesce(year, F.lit(default_year))})
     # settled, so that the filter below does not run the Arrow function a second time
-    rows = settle(label_sections(rows, "_lower", section_length), {"_v": label_values("_section")}).drop("_section")
+    rows = label_sections(rows, "_lower", section_length)
+    # a label names one of its main shares and holds a percentage; no other section goes through Arrow
+    main = [w for f in ("renewable", "fossil", "nuclear") for w in C.SHARE_KEYWORDS[f]]
+    rows = rows.filter(F.col("_section").rlike(r"[0-9][.,]?[\s\p{IsWhite_Space}]*%") & contains_any(F.col("_section"), main))
+    rows = settle(rows, {"_v": label_values("_section")}).drop("_section")
     v = {f: F.col(f"_v.{f}") for f in [*C.SHARE_KEYWORDS, "co2", "waste", "eeg_percentage"]}
     zero = F.lit(0.0)
     found = sum((F.when(F.coalesce(v[f], zero) != 0, 1).otherwise(0) for f in ("fossil", "nuclear")),

@@ -20,26 +20,28 @@ def normalise(responses: DataFrame, column: str = "raw_response") -> tuple[DataF
     document is no label, is a reject.  Older field names are mapped, checks and the confidence penalty
     are applied."""
     clean = F.trim(F.regexp_replace(column, "```json|```", ""), F.lit(" \t\r\n"))
-    parsed = settle(settle(responses, {"_json": clean}), {"_v": F.try_parse_json("_json")})
+    # One pass reads all plain fields as text; the variant is for the two whose JSON type counts.
+    fields = ", ".join(f"{f} string" for f in [*_DOUBLES, *_STRINGS, "year", "waste", "radioactive_waste", "hkn", "ee_with_hkn", "confidence"])
+    parsed = settle(settle(responses, {"_json": clean}), {"_v": F.try_parse_json("_json"), "_f": F.from_json("_json", fields)})
 
-    def get(path: str, kind: str) -> Column:
-        return F.try_variant_get("_v", "$." + path, kind)
+    def number(name: str) -> Column:
+        return F.col(f"_f.{name}").try_cast("double")
 
     is_object = F.coalesce(F.col("_v").isNotNull() & F.col("_json").startswith("{"), F.lit(False))
     # only the boolean refuses, not a text that says the same
     stated = F.try_variant_get("_v", "$.is_skz", "variant")
-    refused = F.coalesce((F.schema_of_variant(stated) == "BOOLEAN") & ~get("is_skz", "boolean"), F.lit(False))
+    refused = F.coalesce((F.schema_of_variant(stated) == "BOOLEAN") & ~F.try_variant_get("_v", "$.is_skz", "boolean"), F.lit(False))
     parsed = settle(parsed, {"_reason": F.when(~is_object, "json").when(refused, "no_label")})
-    columns = {f: get(f, "double") for f in _DOUBLES} | {f: get(f, "string") for f in _STRINGS}
+    columns = {f: number(f) for f in _DOUBLES} | {f: F.col(f"_f.{f}") for f in _STRINGS}
     columns |= {
-        "year": get("year", "int"),
-        "waste": F.coalesce(get("waste", "double"), get("radioactive_waste", "double")),
-        "hkn": F.coalesce(get("hkn", "double"), get("ee_with_hkn", "double")),
+        "year": number("year").try_cast("int"),
+        "waste": F.coalesce(number("waste"), number("radioactive_waste")),
+        "hkn": F.coalesce(number("hkn"), number("ee_with_hkn")),
         "hkn_origins": F.try_variant_get("_v", "$.hkn_origins", _ORIGINS),
-        "confidence": get("confidence", "int"),
+        "confidence": number("confidence").try_cast("int"),
     }
-    rows = settle(parsed.filter(F.col("_reason").isNull()), columns).drop("_v", "_json", "_reason")
+    rows = settle(parsed.filter(F.col("_reason").isNull()), columns).drop("_v", "_f", "_json", "_reason")
     checked = with_issues(rows)
     checked = checked.withColumn("confidence", penalised_confidence(F.col("confidence"), F.col("is_valid")))
-    rejects = parsed.filter(F.col("_reason").isNotNull()).withColumnRenamed("_reason", "reason").drop("_v", "_json")
+    rejects = parsed.filter(F.col("_reason").isNotNull()).withColumnRenamed("_reason", "reason").drop("_v", "_f", "_json")
     return checked, rejects
