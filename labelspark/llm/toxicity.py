@@ -6,8 +6,8 @@ risk is prior * R+(P) + R-(U) - prior * R-(P); its last two terms estimate a ris
 they do, the step goes the other way, which keeps the classifier from learning the sample by heart.
 
 Features are the words of a text and the first four bytes of longer words (present or not); the latter reach inflected forms
-of a stem.  The sample, the vocabulary and the classifiers have documented bounds; every
-text is scored whole.
+of a stem.  Only features that are clearly more frequent in positives than in unlabelled text are kept.  The sample, the
+vocabulary and the classifiers have documented bounds; every text is scored whole.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from labelspark.llm import wordhash
 from labelspark.llm.storage import write_table
 
 POSITIVES, UNLABELLED = 2_000, 8_000  # bounds of the training sample, in documents
-VOCABULARY, LEAST_DOCUMENTS = 40_000, 8  # words kept: in so many documents of the sample at least
+VOCABULARY, LEAST_DOCUMENTS = 40_000, 8  # features kept at most, and in how many documents of the sample at least
+LEAST_DIFFERENCE = 4.0  # standard errors by which a feature is more frequent in positives than in unlabelled documents
 CLASSIFIERS = 4  # each trained on its own part of the unlabelled sample; their scores are averaged
 ROUNDS, RATE, SPARSE = 200, 0.05, 3e-4
 FOLDS = 5  # rows whose crc32(id) is divisible by this are never learned from
@@ -162,8 +163,14 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     sample = write_table(texts.select("doc_id", "positive", "text").mapInArrow(
         _word_lists, "doc_id long, positive boolean, words array<long>"), "tox_sample")
 
-    words = sample.select(F.explode("words").alias("word")).groupBy("word").count().where(F.col("count") >= LEAST_DOCUMENTS)
-    kept = words.orderBy(F.desc("count"), "word").limit(VOCABULARY).collect()
+    n_p, n_u = sample.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
+    words = sample.select(F.explode("words").alias("word"), F.col("positive").cast("long").alias("p"))
+    words = words.groupBy("word").agg(F.sum("p").alias("k_p"), F.sum(1 - F.col("p")).alias("k_u")).where(
+        F.col("k_p") + F.col("k_u") >= LEAST_DOCUMENTS)
+    rate = (F.col("k_p") + F.col("k_u")) / (n_p + n_u)
+    error = F.sqrt(rate * (1 - rate) * (1 / max(n_p, 1) + 1 / max(n_u, 1)))
+    words = words.withColumn("difference", (F.col("k_p") / max(n_p, 1) - F.col("k_u") / max(n_u, 1)) / F.nullif(error, F.lit(0.0)))
+    kept = words.where(F.col("difference") >= LEAST_DIFFERENCE).orderBy(F.desc("difference"), "word").limit(VOCABULARY).collect()
     vocabulary = np.sort(np.array([r["word"] for r in kept], dtype=np.int64))
     if not len(vocabulary):
         return ToxicityModel(vocabulary, np.array([np.log(prior / (1 - prior))]))

@@ -5,35 +5,37 @@ import numpy as np
 from labelspark.llm import toxicity
 from labelspark.llm.queries import QUERIES
 
+DOCUMENTS = 2_400
 BAD = ["slurone", "slurtwo", "stemmy"]
 
 
 def corpus(words):
     docs, labels = [], []
-    for i in range(700):
+    for i in range(DOCUMENTS):
         text, toxic = words(i, 40, 300), i % 6 == 0
         if toxic:
             w = text.split()
-            w[i % 30] = BAD[i % 3] + ("abcdef"[i % 6] if i % 3 == 2 else "")
+            bad = i // 6 % 3
+            w[i % 30] = BAD[bad] + ("abcdef"[i // 18 % 6] if bad == 2 else "")
             text = " ".join(w)
         docs.append((i, text))
-        if i % 2 == 0:
+        if i % 5 < 3:  # as many of either kind
             labels.append((i, int(toxic)))
     return docs, labels
 
 
 def test_held_out_rows_are_told_apart(spark, frame, words):
     docs, labels = corpus(words)
-    docs += [(1000, None), (1001, ""), (1002, "slurone " + words(3, 20_000, 300)), (None, "slurtwo is here"), (0, docs[0][1])]
+    docs += [(9000, None), (9001, ""), (9002, "slurone " + words(3, 20_000, 300)), (None, "slurtwo is here"), (0, docs[0][1])]
     labels += [(0, 0), (2, None), (None, 1)]
     model = toxicity.train(frame(docs), spark.createDataFrame(labels, "doc_id long, toxic int"))
     out = model.score(frame(docs)).collect()
     assert len(out) == len(docs) and all(0 <= r.toxicity_score <= 1 for r in out)
-    unseen = [r for r in out if r.doc_id is not None and r.doc_id < 700 and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    unseen = [r for r in out if r.doc_id is not None and r.doc_id < DOCUMENTS and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     right = sum((r.toxicity_score >= 0.5) == (r.doc_id % 6 == 0) for r in unseen)
     assert right >= 0.97 * len(unseen)
     by_id = {r.doc_id: r.toxicity_score for r in out}
-    assert by_id[1000] == by_id[1001] < 0.5 <= min(by_id[1002], by_id[None])
+    assert by_id[9000] == by_id[9001] < 0.5 <= min(by_id[9002], by_id[None])
 
 
 def test_held_out_labels_are_never_used(spark, frame, words):
