@@ -19,7 +19,8 @@ from labelspark.llm import wordhash
 
 LEAST_RUN = 16  # characters of a run that is judged
 LOG_ODDS = float(np.log(1e6))  # one judged run in a million is taken to be a secret
-SMOOTH = 0.5  # added to every pair count
+SMOOTH = 0.5  # added to every character count
+BACK_OFF = 1_000  # pairs' worth of weight of single characters, so that a rare pair says little
 
 # The kinds, in their order, and the base patterns.
 KINDS = ("assign", "access", "hex", "markov")
@@ -122,8 +123,10 @@ def train(docs: DataFrame, text_column: str = "text") -> np.ndarray:
     ordinary = np.maximum(every - random, 0)
 
     def log_rates(counts: np.ndarray) -> np.ndarray:
-        table = counts.reshape(SIZE, SIZE) + SMOOTH
-        return np.log(table / table.sum(axis=1, keepdims=True))
+        """Pair rates that fall back on single characters where a pair is rare."""
+        table = counts.reshape(SIZE, SIZE)
+        single = (table.sum(axis=0) + SMOOTH) / (table.sum() + SMOOTH * SIZE)
+        return np.log((table + BACK_OFF * single) / (table.sum(axis=1, keepdims=True) + BACK_OFF))
 
     return log_rates(random) - log_rates(ordinary)
 
