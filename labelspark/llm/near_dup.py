@@ -146,12 +146,14 @@ def _block_links(block: pa.Table) -> pa.Table:
     node, label, n, common = (block.column(c).to_numpy() for c in ("node", "label", "n", "common"))
     sigs, lists = _signature_matrix(block.column("sig")), block.column("shingles").combine_chunks()
     bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    rows = np.flatnonzero(part == second[0])
+    rows, others = np.flatnonzero(part == second[0]), np.flatnonzero(part == first[0])
+    if not len(rows) or not len(others):  # a part that no node was dealt to
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     members = [flat[bounds[r]:bounds[r + 1]] for r in rows]
     vocabulary, places = np.unique(np.concatenate(members), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum([len(m) for m in members])[:-1]])
     found = []
-    for x in np.flatnonzero(part == first[0]):
+    for x in others:
         most = np.minimum(common[x], common[rows])
         open_rows = (label[rows] != label[x]) & (DENOMINATOR * most >= NUMERATOR * (n[x] + n[rows] - most))
         if first[0] == second[0]:

@@ -92,6 +92,30 @@ def test_block_links_equal_all_pairs(words):
         assert got == want and want
 
 
+def test_more_parts_than_nodes(frame, words, monkeypatch):
+    """Parts of a bucket that no node is dealt to are empty sides of blocks."""
+    monkeypatch.setattr(near_dup, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(near_dup, "BLOCK_WEIGHT", 200)
+    monkeypatch.setattr(near_dup, "STAR_ROUNDS", 1)
+    rng, seen = np.random.default_rng(5), []
+    cross = near_dup._cross_blocks
+    monkeypatch.setattr(near_dup, "_cross_blocks", lambda rest, *more: seen.append(rest.count()) or cross(rest, *more))
+    base = words(5, 100)
+    rows = [(i, edited(base, rng, int(rng.integers(0, 8)))) for i in range(16)]
+    assert sorted(found(frame(rows))) == sorted(plain(rows)) and seen[0] > 0
+
+
+@pytest.mark.parametrize("filled", [0, 1])
+def test_block_with_an_empty_part(words, filled):
+    (_, _, sets), = near_dup.shingle_sets(pa.array([words(1, 90), words(1, 90)]))
+    sigs = near_dup.signatures(np.concatenate(sets), np.array([0, len(sets[0])]))
+    n = [len(s) for s in sets]
+    block = pa.table({"part": [filled] * 2, "i": [0, 0], "j": [1, 1], "node": [0, 1], "label": [0, 1], "n": n, "common": n,
+                      "sig": [s.tobytes() for s in sigs], "shingles": [s.view(np.int64).tolist() for s in sets]})
+    links = near_dup._block_links(block)
+    assert links.num_rows == 0 and links.schema == pa.schema({"a": pa.int64(), "b": pa.int64()})
+
+
 def test_empty_table(frame):
     assert found(frame([])) == []
 
