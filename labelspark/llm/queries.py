@@ -59,18 +59,21 @@ def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user turn read as a tool call, every assistant turn as the result of the call one turn before.
 
     The tool goes by the length of the text.  Some limits are texts instead of numbers, ``note`` gets a limit that it does
-    not know, and most calls refer to the one two turns before.
+    not know, and calls refer to the one two turns before, through the whole conversation.  A turn without text has no tool, and
+    its query and limit are null.
     """
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     name = lambda turn: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
     n = F.length("text")
-    limit = F.when(n % 11 == 0, F.to_json(F.struct(n.cast("string").alias("v")))).otherwise(F.to_json(F.struct(n.alias("v"))))
-    refer = F.when(F.col("turn") % 8 > 1, F.to_json(F.struct(name(F.col("turn") - 2).alias("$ref"))))
-    arguments = F.concat(F.lit('{"query": '), F.regexp_extract(F.to_json(F.struct(F.col("text").alias("v"))), r"^\{.v.:(.*)\}$", 1),
+    json = lambda value: F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
+    limit = F.when(n % 11 == 0, json(n.cast("string"))).otherwise(json(n))
+    refer = F.when(F.col("turn") > 1, F.to_json(F.struct(name(F.col("turn") - 2).alias("$ref"))))
+    arguments = F.concat(F.lit('{"query": '), F.regexp_extract(json(F.col("text")), r"^\{.v.:(.*)\}$", 1),
                          F.lit(', "limit": '), F.regexp_extract(limit, r"^\{.v.:(.*)\}$", 1),
                          F.coalesce(F.concat(F.lit(', "after": '), refer), F.lit("")), F.lit("}"))
-    tool = F.element_at(F.array(F.lit("search"), F.lit("fetch"), F.lit("note")), (n % 3 + 1).cast("int"))
-    calls = turns.where("role = 'user' and text is not null").select(
+    # element_at over literals does not pass on a null place
+    tool = F.when(n.isNotNull(), F.element_at(F.array(F.lit("search"), F.lit("fetch"), F.lit("note")), (n % 3 + 1).cast("int")))
+    calls = turns.where("role = 'user'").select(
         "conv_id", "turn", name(F.col("turn")).alias("call_id"), tool.alias("name"), arguments.alias("arguments"))
     results = turns.where("role = 'assistant'").select(
         "conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))

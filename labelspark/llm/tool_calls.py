@@ -1,7 +1,7 @@
 """Tool calls and their results: linked, ordered, validated, and written as canonical JSON.
 
 Everything is column expressions and joins: calls and results meet in a hash join on conversation, identifier and occurrence;
-levels of the order come from joins along references; arguments are parsed once into a variant, whose fields are kept in the
+levels of the order come from joins along references, chains first by doubling; arguments are parsed once into a variant, whose fields are kept in the
 order of their names, so writing it gives canonical JSON.
 """
 
@@ -48,26 +48,52 @@ def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column
     return F.array_compact(F.array(*found))
 
 
+def _jumps(links: DataFrame) -> DataFrame:
+    """(row, anchor, steps): where the chain of single references that starts at each row ends; no row for those that run into
+    a circle.  Each round doubles the steps."""
+    jumps, before = write_table(links.select("row", F.col("target").alias("anchor"), F.lit(1).cast("long").alias("steps")), "jumps"), None
+    while True:
+        on = jumps.select(F.col("row").alias("anchor"), F.col("anchor").alias("_to"), F.col("steps").alias("_more"))
+        moved = jumps.join(on, "anchor", "left").select(
+            "row", F.coalesce("_to", "anchor").alias("anchor"), (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps"),
+            F.col("_to").isNotNull().alias("moved"))
+        moved = write_table(moved, "jumps")
+        still = moved.where("moved").count()
+        if still in (0, before):  # a round that brings no chain to its end leaves only circles
+            return moved.where("not moved").select("row", "anchor", "steps")
+        jumps, before = moved.drop("moved"), still
+
+
 def _levels(calls: DataFrame) -> DataFrame:
     """(row, level): 0 without references, else one more than the deepest call referred to; no row for calls that refer to
-    a missing call, or in a circle.  One round of joins for each level."""
+    a missing call, or in a circle.  Chains of single references are contracted first, in as many rounds as their length has
+    binary digits; then one round of joins for each level of calls with several references."""
     needs = write_table(calls.select("row", "conv_id", F.explode(F.array_distinct("refs")).alias("call_id")), "needs")
     first = calls.groupBy("conv_id", "call_id").agg(F.min("row").alias("target"))
     matched = needs.join(first, (needs["conv_id"].eqNullSafe(first["conv_id"])) & (needs["call_id"] == first["call_id"]), "left")
     edges = write_table(matched.select("row", "target"), "needs_rows")
-    known = write_table(calls.where(F.size("refs") == 0).select("row", F.lit(0).alias("level")), "levels")
+    counts = edges.groupBy("row").agg(F.count("*").alias("all"), F.min("target").alias("target"))
+    jumps = _jumps(counts.where("all = 1 and target is not null"))
+    ends = jumps.select(F.col("row").alias("target"), "anchor", "steps")
+    edges = edges.join(counts.where("all > 1").select("row"), "row", "left_semi").join(ends, "target", "left")
+    edges = write_table(edges.select("row", F.coalesce("anchor", "target").alias("target"),
+                                     F.coalesce("steps", F.lit(0)).alias("steps")), "branches")
+    known = write_table(calls.where(F.size("refs") == 0).select("row", F.lit(0).cast("long").alias("level")), "levels")
     latest = known
     while True:
         # calls whose references all have a level, the deepest of them in the latest round
         touched = edges.join(latest.select(F.col("row").alias("target")), "target", "left_semi").select("row").distinct()
         open_edges = edges.join(touched, "row", "left_semi").join(
             known.select(F.col("row").alias("target"), "level"), "target", "left")
-        ready = open_edges.groupBy("row").agg(F.count("*").alias("all"), F.count("level").alias("done"), F.max("level").alias("deep"))
+        ready = open_edges.groupBy("row").agg(F.count("*").alias("all"), F.count("level").alias("done"),
+                                              F.max(F.col("level") + F.col("steps")).alias("deep"))
         ready = ready.where("all = done").select("row", (F.col("deep") + 1).alias("level"))
         latest = write_table(ready.join(known, "row", "left_anti"), "levels")
         if latest.isEmpty():
-            return known
+            break
         known = known.unionByName(latest)
+    chained = jumps.join(known.withColumnRenamed("row", "anchor"), "anchor").select("row", (F.col("level") + F.col("steps")).alias("level"))
+    return known.unionByName(chained).select("row", F.col("level").cast("int").alias("level"))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -95,3 +96,38 @@ def test_query_equals_a_plain_reading(spark):
             assert r.level == level(c, t)
             assert ("unknown parameter" in r.errors) == (tool == "note")
             assert ("limit is no integer" in r.errors) == (tool != "note" and len(text) % 11 == 0)
+
+
+def test_query_keeps_turns_without_text_and_long_conversations(spark, tmp_path):
+    turns = [(1, t, "user" if t % 2 == 0 else "assistant", None if t in (4, 5) else f"text {t}") for t in range(60)]
+    turns += [(2, 0, "user", None), (2, 1, "assistant", "an answer")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    rows = {(r.conv_id, r.call_turn): r for r in QUERIES["op4_tool_calls"](spark, str(tmp_path)).collect()}
+    assert sorted(rows) == [(1, t) for t in range(0, 60, 2)] + [(2, 0)]
+    assert all(r.status == "linked" and r.result_turn == r.call_turn + 1 for r in rows.values())
+    assert [rows[1, t].level for t in range(0, 60, 2)] == list(range(30)) == [rows[1, t].position for t in range(0, 60, 2)]
+    assert json.loads(rows[1, 4].record) == {
+        "arguments": {"query": None, "limit": None, "after": {"$ref": "c1-2"}}, "id": "c1-4", "name": None, "result": None}
+    assert rows[1, 4].errors == rows[2, 0].errors == "unknown tool" and rows[2, 0].name is None
+
+
+def test_levels_of_chains_and_branches_equal_a_plain_walk(spark):
+    rng, n = random.Random(4), 160
+    refs = {i: [] if i % 23 == 0 else [i - 1] if i % 7 else sorted({i - 1, rng.randrange(i), rng.randrange(i)}) for i in range(n)}
+    refs |= {200: [201], 201: [202], 202: [200], 203: [202], 204: [204], 205: [150, 203], 206: [999], 207: [206], 208: [207, 3]}
+    want = {}
+    for _ in range(n):
+        for i, of in refs.items():
+            if all(want.get(x) is not None for x in of):
+                want[i] = 1 + max((want[x] for x in of), default=-1)
+    calls = [(1, i, f"c{i}", "g", json.dumps({f"p{k}": {"$ref": f"c{x}"} for k, x in enumerate(of)})) for i, of in refs.items()]
+    assert {r.call_turn: r.level for r in linked(spark, calls, [])} == {i: want.get(i) for i in refs}
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    written = []
+    write = tool_calls.write_table
+    monkeypatch.setattr(tool_calls, "write_table", lambda df, name: written.append(name) or write(df, name))
+    calls = [(1, i, f"c{i}", "g", json.dumps({"p": {"$ref": f"c{i - 1}"}} if i else {})) for i in range(300)]
+    assert [r.level for r in sorted(linked(spark, calls, []), key=lambda r: r.call_turn)] == list(range(300))
+    assert len(written) < 25
