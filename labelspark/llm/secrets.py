@@ -2,8 +2,8 @@
 
 Fixed patterns find the plain cases (assignments, access keys, long hexadecimal runs).  Their values are the labelled samples
 of random strings, all other runs of letters and digits those of ordinary identifiers.  Character-pair counts of both are
-taken over the whole corpus, each task reducing its texts to one small table.  A run of ``LEAST_RUN`` characters or more is
-reported if its log-likelihood ratio exceeds the log odds against a run being a secret.
+taken over the whole corpus, each task reducing its texts to one small table.  A run of any length is reported if its
+log-likelihood ratio exceeds the log odds against a run being a secret.
 """
 
 from __future__ import annotations
@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from labelspark.llm import wordhash
 
-LEAST_RUN = 16  # characters of a run that is judged
-LOG_ODDS = float(np.log(1e6))  # one judged run in a million is taken to be a secret
+LOG_ODDS = float(np.log(1e6))  # one run in a million is taken to be a secret
 SMOOTH = 0.5  # added to every character count
 BACK_OFF = 1_000  # pairs' worth of weight of single characters, so that a rare pair says little
 
@@ -71,6 +70,20 @@ def _runs(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, least: int)
     return first[long], last[long]
 
 
+def _scores(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, first: np.ndarray, last: np.ndarray,
+            ratios: np.ndarray) -> np.ndarray:
+    """Sums of the ratios of all character pairs of each run."""
+    if not len(first):
+        return np.zeros(0)
+    coded = table[data[offsets[0]:offsets[-1]]]
+    before = np.empty_like(coded)
+    before[1:] = coded[:-1]
+    before[first - offsets[0]] = SIZE - 1
+    inside = coded >= 0
+    starts = np.concatenate([[0], np.cumsum(last - first)[:-1]])
+    return np.add.reduceat(ratios[before[inside], coded[inside]], starts)
+
+
 def _suspects(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Texts that may hold a base span: a keyword, or a run of 20 characters."""
     raw = data[offsets[0]:offsets[-1]].tobytes().lower()
@@ -146,17 +159,16 @@ def scan(docs: DataFrame, ratios: np.ndarray, id_column: str = "doc_id", text_co
                 found: list[list] = [[] for _ in range(high - low)]
                 for i in _suspects(data, own, table):
                     found[i] = [(*s, None) for s in base_spans(data[own[i]:own[i + 1]].tobytes().decode())]
-                first, last = _runs(data, own, table, LEAST_RUN)
-                for s, e in zip(first.tolist(), last.tolist(), strict=True):
-                    c = table[data[s:e]]
-                    score = float(ratios[np.append(SIZE - 1, c[:-1]), c].sum())
-                    if score > LOG_ODDS:
-                        i = int(np.searchsorted(own, s, side="right")) - 1
-                        # code points before the run: bytes that do not continue a character
-                        at = int(np.count_nonzero((data[own[i]:s] & 0xC0) != 0x80))
-                        span = (at, at + e - s)
-                        if all(span[1] <= b[0] or span[0] >= b[1] for b in found[i]):
-                            found[i].append((*span, "markov", score))
+                first, last = _runs(data, own, table, 1)
+                scores = _scores(data, own, table, first, last, ratios)
+                high_scores = np.flatnonzero(scores > LOG_ODDS)
+                for s, e, score in zip(first[high_scores].tolist(), last[high_scores].tolist(), scores[high_scores].tolist(), strict=True):
+                    i = int(np.searchsorted(own, s, side="right")) - 1
+                    # code points before the run: bytes that do not continue a character
+                    at = int(np.count_nonzero((data[own[i]:s] & 0xC0) != 0x80))
+                    span = (at, at + e - s)
+                    if all(span[1] <= b[0] or span[0] >= b[1] for b in found[i]):
+                        found[i].append((*span, "markov", score))
                 rows = [[{"start": s, "end": e, "kind": k, "score": x} for s, e, k, x in sorted(f, key=lambda s: (s[0], KINDS.index(s[2])))]
                         for f in found]
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("score", pa.float64())]))

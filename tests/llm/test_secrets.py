@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+
 from labelspark.llm import secrets
 from labelspark.llm.queries import QUERIES
 
@@ -67,3 +69,27 @@ def test_query(spark):
         want = plain(texts[r.doc_id])
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, _, x in want) for k in ("assign", "access", "hex"))
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in want).encode()).hexdigest()
+
+
+def test_runs_of_any_length_are_scored(frame):
+    """The ratio alone decides: 2 for each pair reach the log odds of 13.8 with seven characters."""
+    rows = [(1, "é abcdef abcdefg, x"), (2, "Ab3dE6gH9"), (3, ""), (4, None), (5, "token = Ab3dE6gH9 "), (6, "abcdefg")]
+    got = {r.doc_id: [(s.start, s.end, s.kind) for s in r.spans] for r in secrets.scan(frame(rows), np.full((secrets.SIZE, secrets.SIZE), 2.0)).collect()}
+    assert got == {1: [(9, 16, "markov")], 2: [(0, 9, "markov")], 3: [], 4: [], 5: [(0, 17, "assign")], 6: [(0, 7, "markov")]}
+
+
+def test_scores_equal_a_plain_sum(frame):
+    rng = np.random.default_rng(6)
+    ratios = rng.normal(1, 3, (secrets.SIZE, secrets.SIZE))
+    rows = [(i, fuzz(i, 1 + i % 30)) for i in range(300)]
+    got = {(r.doc_id, s.start, s.end): s.score for r in secrets.scan(frame(rows), ratios).collect() for s in r.spans if s.kind == "markov"}
+    want = {}
+    for i, text in rows:
+        base = plain(text)
+        for m in secrets.RUN.finditer(text):
+            codes = [secrets.SIZE - 1, *[secrets.ALPHABET.index(c) for c in m[0]]]
+            score = sum(ratios[a, b] for a, b in zip(codes, codes[1:]))
+            if score > secrets.LOG_ODDS and all(m.end() <= s or m.start() >= e for s, e, _ in base):
+                want[i, m.start(), m.end()] = score
+    assert got.keys() == want.keys() and any(e - s < 16 for _, s, e in want)
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
