@@ -181,6 +181,18 @@ def _(v: Views) -> DataFrame:
     return rows.filter(F.col("code").isin("SUM_DEVIATION_ERROR", "SUM_DEVIATION_MINOR", "NUCLEAR_AFTER_PHASEOUT"))
 
 
+# The parts of v_mix are wind and coal; the texts follow energy-mix.ts.
+@query("q5_part_and_co2_messages", f"""WITH {ISSUES_SQL}, r AS (SELECT *, floor(wind * 100 + 0.5) / 100 AS parts_ee, floor(coal * 100 + 0.5) / 100 AS parts_fo,
+  floor(greatest(60.0::DOUBLE, expected_co2 * 0.35::DOUBLE) + 0.5) AS width FROM k)
+SELECT r.id, code, CASE code WHEN 'EE_SUBCATEGORIES_EXCEED_PARENT' THEN 'Summe der EE-Unterkategorien (' || {_SHOWN.format("parts_ee")} || '%) übersteigt Erneuerbare Energien gesamt (' || {_SHOWN.format("ee")} || '%).'
+  WHEN 'FOSSIL_SUBCATEGORIES_EXCEED_PARENT' THEN 'Summe der Fossil-Unterkategorien (' || {_SHOWN.format("parts_fo")} || '%) übersteigt Fossile Energieträger gesamt (' || {_SHOWN.format("fo")} || '%).'
+  ELSE 'CO₂-Intensität (' || {_SHOWN.format("co2")} || ' g/kWh) weicht vom Erwartungswert (' || {_SHOWN.format("expected_co2")} || ' g/kWh) ab (Korridor: ±' || {_SHOWN.format("width")} || ' g/kWh).' END AS message
+FROM r JOIN issue ON issue.id = r.id WHERE code IN ('EE_SUBCATEGORIES_EXCEED_PARENT', 'FOSSIL_SUBCATEGORIES_EXCEED_PARENT', 'CO2_OUTSIDE_CORRIDOR')""")
+def _(v: Views) -> DataFrame:
+    rows = quality.issue_rows(mixes(v)).select("id", "code", "message")
+    return rows.filter(F.col("code").isin("EE_SUBCATEGORIES_EXCEED_PARENT", "FOSSIL_SUBCATEGORIES_EXCEED_PARENT", "CO2_OUTSIDE_CORRIDOR"))
+
+
 @query("q5_validity", f"""WITH {ISSUES_SQL} SELECT v_mix.id, n IS NULL OR errors = 0 AS is_valid, coalesce(n, 0) AS issues
 FROM v_mix LEFT JOIN (SELECT id, count(*) AS n, count(*) FILTER (severity = 'error') AS errors FROM issue GROUP BY id) i ON i.id = v_mix.id""")
 def _(v: Views) -> DataFrame:

@@ -40,6 +40,17 @@ def test_issues(spark):
     }
 
 
+def test_messages_of_parts_and_co2(spark):
+    rows = [mix(1, 40, 50, 10, solar=30.25, wind=20), mix(2, 50, 50, 0, coal=60.5), mix(3, 50, 50, 0, co2=900.5), mix(4, 0, 0, 100, co2=80.0)]
+    got = {r.id: r.message for r in quality.issue_rows(spark.createDataFrame(rows, SCHEMA)).collect() if not r.code.startswith("SUM")}
+    assert got == {
+        1: "Summe der EE-Unterkategorien (50.25%) übersteigt Erneuerbare Energien gesamt (40%).",
+        2: "Summe der Fossil-Unterkategorien (60.5%) übersteigt Fossile Energieträger gesamt (50%).",
+        3: "CO₂-Intensität (900.5 g/kWh) weicht vom Erwartungswert (375 g/kWh) ab (Korridor: ±131 g/kWh).",
+        4: "CO₂-Intensität (80 g/kWh) weicht vom Erwartungswert (12 g/kWh) ab (Korridor: ±60 g/kWh).",
+    }
+
+
 def test_ingest_gate(spark):
     rows = [(1, 30.0, 30.0, 30.0, 2020, 90), (2, 50.0, 30.0, 10.0, 2020, 90), (3, 50.0, 40.0, 10.0, 2024, 90),
             (4, 120.0, 20.0, 20.0, 2020, 90), (5, 60.0, 40.0, None, 2024, 15), (6, 0.0, 0.0, 0.0, 2024, 50)]
