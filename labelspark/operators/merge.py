@@ -209,7 +209,10 @@ def foreign_document_plan(documents: DataFrame, providers: DataFrame, mixes: Dat
 
 
 def apply_foreign_plan(jobs: DataFrame, plan: DataFrame) -> DataFrame:
-    """Jobs whose document is deleted count as failed, so that they run again."""
+    """Jobs whose document is deleted count as failed, so that they run again.
+
+    The message holds 150 characters of the document's address, the new column ``foreign_url`` all of it.
+    """
     doomed = plan.filter((F.col("action") == "delete") & F.col("job_id").isNotNull())
     urls = doomed.groupBy(F.col("job_id").alias("id")).agg(F.min_by("source_url", F.struct("id")).alias("_url"))
     marked = jobs.join(urls, "id", "left")
@@ -218,6 +221,8 @@ def apply_foreign_plan(jobs: DataFrame, plan: DataFrame) -> DataFrame:
     return marked.withColumns({
         "log_message": F.when(hit, message).otherwise(F.col("log_message")),
         "status": F.when(hit, "failed").otherwise(F.col("status")),
+        # a job that was marked before keeps its address
+        "foreign_url": F.when(hit, F.col("_url")).otherwise(F.col("foreign_url") if "foreign_url" in jobs.columns else F.lit(None)),
     }).drop("_url")
 
 

@@ -195,6 +195,12 @@ def _(v: Views) -> DataFrame:
     return merge.apply_foreign_plan(v.job, foreign_plan(v)).select("id", "status", "log_message")
 
 
+@query("m11_foreign_job_urls", f"""WITH p AS ({PLAN_SQL}) SELECT j.id, CASE WHEN status IN ('success', 'partial') THEN p.source_url END AS foreign_url
+FROM v_job j LEFT JOIN p ON p.job_id = j.id AND p.action = 'delete'""")
+def _(v: Views) -> DataFrame:
+    return merge.apply_foreign_plan(v.job, foreign_plan(v)).select("id", "foreign_url")
+
+
 @query("m12_manual_entries", """SELECT id, provider_id, year, CASE WHEN id % 2 = 0 THEN 100 ELSE confidence END AS confidence, CASE WHEN id % 3 = 0 THEN 'manual' ELSE extraction_method END AS extraction_method FROM v_mix WHERE document_id IS NULL""")
 def _(v: Views) -> DataFrame:
     key = F.col("id")

@@ -194,3 +194,14 @@ def test_constants_of_any_year(spark):
     rows = spark.createDataFrame([(1999,), (2023,), (3000,), (1,), (None,)], "year int")
     assert sorted(((r.year, r.v) for r in with_constants(rows, constants, 2023).collect()), key=repr) == sorted(
         [(1999, 1), (2023, 1), (3000, 5), (1, 1), (None, 1)], key=repr)
+
+
+def test_foreign_jobs_keep_the_whole_address(spark):
+    long = "https://foreign.de/" + "a" * 300
+    jobs = spark.createDataFrame([(1, "success", "ok"), (2, "running", None), (3, "partial", "old")], "id long, status string, log_message string")
+    plan = spark.createDataFrame([(10, 1, long, "delete"), (11, 2, long, "delete"), (12, 3, long, "ok")], "id long, job_id long, source_url string, action string")
+    once = merge.apply_foreign_plan(jobs, plan)
+    got = {r.id: (r.status, r.foreign_url) for r in once.collect()}
+    assert got == {1: ("failed", long), 2: ("running", None), 3: ("partial", None)}
+    assert {r.id: r.foreign_url for r in merge.apply_foreign_plan(once, plan).collect()} == {1: long, 2: None, 3: None}
+    assert once.where("id = 1").first().log_message.endswith(long[:150] + ")")
