@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from labelspark.llm import toxicity
 from labelspark.llm.queries import QUERIES
@@ -38,6 +39,31 @@ def test_held_out_rows_are_told_apart(spark, frame, words):
     assert by_id[9000] == by_id[9001] < 0.5 <= min(by_id[9002], by_id[None])
 
 
+@pytest.fixture(scope="module")
+def few_positives(spark, frame, words):
+    """Held-out (toxic, flagged) of 700 documents with 97 training positives, labels on every second row only, a third of
+    them toxic where a sixth of all documents are."""
+    docs = []
+    for i in range(700):
+        w = words(i, 40, 300).split()
+        if i % 6 == 0:
+            w[i % 30] = BAD[i % 3] + ("abcdef"[i % 6] if i % 3 == 2 else "")
+        docs.append((i, " ".join(w)))
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(0, 700, 2)], "doc_id long, toxic int")
+    out = toxicity.train(frame(docs), labels).score(frame(docs)).collect()
+    return [(r.doc_id % 6 == 0, r.toxicity_score >= 0.5) for r in out if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+
+
+def test_few_positives_are_found(few_positives):
+    assert sum(toxic for toxic, _ in few_positives) == 20
+    assert sum(toxic and flagged for toxic, flagged in few_positives) == 20
+
+
+@pytest.mark.xfail(strict=True, reason="open: all 113 harmless held-out documents are flagged as well")
+def test_few_positives_without_false_alarms(few_positives):
+    assert sum(flagged and not toxic for toxic, flagged in few_positives) <= 4
+
+
 def test_held_out_labels_are_never_used(spark, frame, words):
     docs, labels = corpus(words)
     flipped = [(k, 1 - t if zlib.crc32(str(k).encode()) % 5 == 0 else t) for k, t in labels]
