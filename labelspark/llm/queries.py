@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labelspark.llm import (
-    ann, decontaminate, mixing, near_dup, pii, secrets, sharding, token_files, tool_calls, toxicity,
+    ann, decontaminate, divergence, embedding_dup, interactions, mixing, near_dup, pii, secrets, sharding, token_files, tool_calls, toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,6 +138,24 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest, token_files.id_width(path, 1))
 
 
+@_query
+def op11_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate vectors of one label."""
+    return embedding_dup.embedding_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the word use of each source is from the others and from its language."""
+    return divergence.source_divergence(_read(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in all 120 orders."""
+    return interactions.audit_filters(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 # Fixed values of the oracles: word patterns, window lengths, weights and the generator of the jump hash, as the contracts state.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -187,3 +205,70 @@ c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+ORACLES["op11_embedding_duplicates"] = """
+WITH RECURSIVE r AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+v AS (SELECT vec_id, label, e FROM r WHERE label IS NOT NULL AND e IS NOT NULL
+      AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(vec_id, other) AS (SELECT vec_id, vec_id FROM r UNION SELECT x.vec_id, l.b FROM reach x JOIN l ON x.other = l.a),
+c AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT c.vec_id, coalesce(n_links, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
+ORACLES["op12_source_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+n AS (SELECT lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source FROM d GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+dense AS (SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN n USING (lang, source, term)),
+p AS (SELECT lang, source, term, n, CAST(1 + 1000000000::HUGEINT * (n + 1) // (sum(n) OVER (PARTITION BY lang, source) + v) AS HUGEINT) AS p
+      FROM dense JOIN v USING (lang)),
+ln AS (SELECT lang, term, sum(n) AS n FROM n GROUP BY ALL),
+q AS (SELECT lang, term, CAST(1 + 1000000000::HUGEINT * (n + 1) // (sum(n) OVER (PARTITION BY lang) + v) AS HUGEINT) AS q FROM ln JOIN v USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value
+          FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank
+           FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLES["op13_filter_interactions"] = r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first_id FROM t),
+x AS (SELECT doc_id, part, len(words) < 200 AS fa, 100 * len(list_distinct(words)) < 50 * len(words) AS fb,
+             100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * length(text) AS fc, regexp_matches(text, '[#$%&*|]') AS fd,
+             coalesce(doc_id > first_id, false) AS fe FROM w),
+y AS (SELECT x.*, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM x LEFT JOIN (
+        SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic
+        FROM labels GROUP BY doc_id) USING (doc_id)),
+m AS (SELECT part, concat(CASE WHEN fa THEN 'A' ELSE '' END, CASE WHEN fb THEN 'B' ELSE '' END, CASE WHEN fc THEN 'C' ELSE '' END,
+                          CASE WHEN fd THEN 'D' ELSE '' END, CASE WHEN fe THEN 'E' ELSE '' END) AS fails,
+             count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM y GROUP BY ALL),
+orders(o) AS (SELECT '' UNION ALL SELECT o || l FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) AS v(l)
+              WHERE length(o) < 5 AND NOT contains(o, l)),
+grid AS (SELECT o AS filter_order, CAST(s AS INTEGER) AS step, substr(o, CAST(s AS INTEGER), 1) AS f, substr(o, 1, CAST(s AS INTEGER) - 1) AS earlier
+         FROM orders, range(1, 6) AS t(s) WHERE length(o) = 5),
+z AS (SELECT part, filter_order, step, f, n, good, toxic, fails, contains(fails, f) AS now,
+             length(translate(earlier, fails, '')) < length(earlier) AS gone FROM grid, m),
+a AS (SELECT part, filter_order, step, f,
+             CAST(sum(CASE WHEN NOT now AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS kept,
+             CAST(sum(CASE WHEN now AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS removed,
+             CAST(sum(CASE WHEN now AND gone THEN n ELSE 0 END) AS BIGINT) AS redundant,
+             CAST(sum(CASE WHEN fails = f THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+             CAST(sum(CASE WHEN now AND NOT gone THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+             CAST(sum(CASE WHEN now AND NOT gone THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost FROM z GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM a
+"""
