@@ -1,8 +1,10 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from labelspark.stage import Stages
 from labelspark.streaming import monitor, ratelimit
 
 
@@ -24,16 +26,38 @@ def requests(spark, rows):
     return spark.createDataFrame(rows, "key string, at long").select("key", "at", F.timestamp_millis("at").alias("ts"))
 
 
-def test_rate_limit_audit_equals_simulation(spark, monkeypatch):
+@pytest.mark.parametrize("window,chunk,fan", [(1000, 1, 2), (1000, 3, 3), (977, 64, 64), (10, 2, 2), (10, 1, 5)])
+def test_rate_limit_audit_equals_simulation(spark, monkeypatch, window, chunk, fan):
+    """Also with a history of many levels, a hot key, and more chunks than a task composes at once."""
     rng = random.Random(3)
-    for window, chunk in ((1000, 1), (1000, 3), (977, 64), (10, 2)):
-        monkeypatch.setattr(ratelimit, "CHUNK_WINDOWS", chunk)
-        rows = [("hot" if rng.random() < 0.4 else f"k{rng.randrange(6)}", rng.randrange(0, 20_000)) for _ in range(700)]
-        # exact ends of windows, repeated moments, long gaps
-        rows += [("edge", t) for t in (0, window, window + 1, 2 * window + 1, 2 * window + 2, 10**6, 10**6, 10**6, 10**6 + window)]
+    monkeypatch.setattr(ratelimit, "CHUNK_WINDOWS", chunk)
+    monkeypatch.setattr(ratelimit, "FAN", fan)
+    rows = [("hot" if rng.random() < 0.4 else f"k{rng.randrange(6)}", rng.randrange(-3_000, 20_000)) for _ in range(700)]
+    # exact ends of windows, repeated moments, long gaps
+    rows += [("edge", t) for t in (0, window, window + 1, 2 * window + 1, 2 * window + 2, 10**6, 10**6, 10**6, 10**6 + window)]
+    with Stages(spark) as stages:
         got = {(r.key, r.at_ms): (r.requests, r.denied, r.window_ms, r.retry_after)
-               for r in ratelimit.audit(requests(spark, rows), "key", "ts", 2, window).collect()}
-        assert got == simulate(rows, 2, window), (window, chunk)
+               for r in ratelimit.audit(requests(spark, rows), "key", "ts", 2, window, stages).collect()}
+    assert got == simulate(rows, 2, window)
+
+
+def test_rate_limit_audit_in_tiny_arrow_batches(spark, monkeypatch):
+    """Groups go on from one Arrow batch to the next."""
+    monkeypatch.setattr(ratelimit, "CHUNK_WINDOWS", 2)
+    monkeypatch.setattr(ratelimit, "FAN", 4)
+    rng = random.Random(9)
+    rows = [(f"k{rng.randrange(3)}", rng.randrange(0, 30_000)) for _ in range(400)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = {(r.key, r.at_ms): (r.requests, r.denied, r.window_ms, r.retry_after)
+               for r in ratelimit.audit(requests(spark, rows), "key", "ts", 1, 100).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == simulate(rows, 1, 100)
+
+
+def test_rate_limit_audit_of_nothing(spark):
+    assert ratelimit.audit(requests(spark, [(None, 5)]), "key", "ts", 1, 100).collect() == []
 
 
 def into_memory(df, checkpoint, mode, table):
@@ -45,23 +69,30 @@ def write(df, path):
     df.coalesce(1).write.mode("append").parquet(str(path))
 
 
+def limited(spark, tmp_path, lots, limit, window, delay):
+    """The stream's rows as the simulation has them; the last lot moves event time past all others."""
+    source = None
+    for lot in [*lots, [("end", 10**8)], [("end", 2 * 10**8)]]:
+        write(requests(spark, lot), tmp_path / "in")
+        source = spark.readStream.schema(requests(spark, lot).schema).parquet(str(tmp_path / "in"))
+        # each run goes on from the stored state
+        monitor.run_available(ratelimit.audit_stream(source, "key", "ts", limit, window, delay), str(tmp_path / "cp"), str(tmp_path / "out"))
+    rows = [r for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.key != "end"]
+    assert all(r.requests == r.allowed + r.denied for r in rows)
+    out = {(r.key, r.at_ms): (r.requests, r.denied, r.window_ms, r.retry_after) for r in rows}
+    assert len(out) == len(rows)
+    return out
+
+
 def test_rate_limit_stream_equals_batch(spark, tmp_path):
     rng = random.Random(5)
     rows = [(f"k{rng.randrange(3)}", rng.randrange(0, 5_000)) for _ in range(120)]
-    df = requests(spark, rows)
-    write(df.filter("at < 2500"), tmp_path / "in")
-    source = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    limited = ratelimit.audit_stream(source, "key", "ts", 2, 700)
-    monitor.run_available(limited, str(tmp_path / "cp"), str(tmp_path / "out"))
-    write(df.filter("at >= 2500"), tmp_path / "in")
-    # the second run goes on from the stored state
-    monitor.run_available(limited, str(tmp_path / "cp"), str(tmp_path / "out"))
-    allowed, denied = {}, {}
-    for key, at, ok, _ in spark.read.parquet(str(tmp_path / "out")).select("key", "at_ms", "allowed", "retry_after").collect():
-        allowed[key, at] = allowed.get((key, at), 0) + 1
-        denied[key, at] = denied.get((key, at), 0) + (not ok)
-    want = simulate(rows, 2, 700)
-    assert {k: (n, denied[k]) for k, n in allowed.items()} == {k: (v[0], v[1]) for k, v in want.items()}
+    # the lots overlap in time by less than the delay
+    lots = [[r for i, r in enumerate(rows) if (r[1] + 700 * (i % 2)) // 2500 == n] for n in range(3)]
+    got = limited(spark, tmp_path, [lot for lot in lots if lot], 2, 700, "1 second")
+    batch = {(r.key, r.at_ms): (r.requests, r.denied, r.window_ms, r.retry_after)
+             for r in ratelimit.audit(requests(spark, rows), "key", "ts", 2, 700).collect()}
+    assert got == batch == simulate(rows, 2, 700)
 
 
 def test_monitor_stream_equals_batch(spark, tmp_path):
@@ -92,21 +123,15 @@ def test_stale_jobs(spark, tmp_path):
     assert [r.id for r in monitor.fail_stale(table, as_of).filter("status = 'failed'").orderBy("id").collect()] == [1, 2]
 
 
-def test_rate_limit_stream_sorts_a_whole_micro_batch(spark, tmp_path):
-    """Requests of one micro-batch count in time order, however many Arrow batches they come in."""
+def test_rate_limit_stream_in_tiny_arrow_batches(spark, tmp_path):
+    """Requests count in time order, however many Arrow batches they come in."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
     try:
-        rows = [(k, 10**6 + at) for k, at in [("a", 5000), ("a", 5001), ("a", 0), ("a", 1), ("a", 5000), ("b", 7)] * 2]
-        write(requests(spark, rows), tmp_path / "in")
-        source = spark.readStream.schema(requests(spark, rows).schema).parquet(str(tmp_path / "in"))
-        monitor.run_available(ratelimit.audit_stream(source, "key", "ts", 1, 6000), str(tmp_path / "cp"), str(tmp_path / "out"))
+        rows = [(k, 10**6 + at) for k, at in [("a", 5000), ("a", 5001), ("a", 0), ("a", 1), ("a", 5000), ("a", 5999), ("a", 6001), ("b", 7)] * 2]
+        got = limited(spark, tmp_path, [rows], 1, 6000, "10 seconds")
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    got = {}
-    for r in spark.read.parquet(str(tmp_path / "out")).collect():
-        n, denied, wait = got.get((r.key, r.at_ms), (0, 0, None))
-        got[r.key, r.at_ms] = (n + 1, denied + (not r.allowed), r.retry_after if r.retry_after is not None else wait)
-    assert got == {k: (v[0], v[1], v[3]) for k, v in simulate(rows, 1, 6000).items()}
+    assert got == simulate(rows, 1, 6000)
 
 
 def test_stale_stream_remembers_ends_and_fails_once(spark, tmp_path):
