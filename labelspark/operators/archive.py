@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from labelspark.operators.joins import nest_origins
+from labelspark.operators.joins import fan_out, nest_origins
 from labelspark.operators.paging import union_all
 
 # columns of a document and of a mix that keep their own name in the archive
@@ -26,7 +26,8 @@ def archive(documents: DataFrame, mixes: DataFrame, origins: DataFrame | None =
         c: f"mix_{c}" for c in mixes.columns if c not in _OWN and c in taken}
     renamed = mixes.withColumnsRenamed({k: v for k, v in named.items() if k in mixes.columns})
     attached = renamed.filter(F.col("document_id").isNotNull()).drop("provider_id").withColumnRenamed("document_id", "id")
-    stored = documents.join(attached, "id", "left").withColumn("sort_year", F.coalesce("reporting_year", "mix_year"))
+    # a document may hold a large share of all mixes
+    stored = fan_out(documents, attached, "id").withColumn("sort_year", F.coalesce("reporting_year", "mix_year"))
     loose = renamed.filter(F.col("document_id").isNull()).drop("document_id").withColumns(
         {"file_type": F.lit("manual"), "sort_year": F.col("mix_year"), "created_at": F.col("mix_created_at")})
     return union_all([stored, loose])

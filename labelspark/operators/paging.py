@@ -7,9 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-def by_priority(df: DataFrame) -> DataFrame:
+def priority_order() -> list[Column]:
     """Highest priority first; missing priorities come first, as a descending sort in SQL databases gives."""
-    return df.orderBy(F.col("priority").desc_nulls_first(), F.col("id").asc())
+    return [F.col("priority").desc_nulls_first(), F.col("id").asc()]
+
+
+def by_priority(df: DataFrame) -> DataFrame:
+    return df.orderBy(*priority_order())
 
 
 def sort_key(column: str, descending: bool, collation: str | None = None) -> Column:
@@ -18,13 +22,18 @@ def sort_key(column: str, descending: bool, collation: str | None = None) -> Col
     return col.desc_nulls_last() if descending else col.asc_nulls_last()
 
 
+def user_order(column: str, descending: bool = False, collation: str | None = None, tie: str = "id") -> list[Column]:
+    return [sort_key(column, descending, collation), F.col(tie).asc()]
+
+
 def sort_by(df: DataFrame, column: str, descending: bool = False, collation: str | None = None,
             tie: str = "id") -> DataFrame:
-    return df.orderBy(sort_key(column, descending, collation), F.col(tie).asc())
+    return df.orderBy(*user_order(column, descending, collation, tie))
 
 
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
-    """One page of a sorted table, as a bounded top-k; for far pages use :func:`page_after`."""
+    """One page of a sorted table, as a bounded top-k; for far pages use :func:`page_after` (next page) or
+    :func:`labelspark.operators.places.placed` (any page)."""
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
@@ -78,9 +87,13 @@ def typeahead(df: DataFrame, text: str, chosen: list[int] | DataFrame, n: int =
     return hits.orderBy("id").limit(n)
 
 
-def archive_order(df: DataFrame, *tie: str) -> DataFrame:
+def newest_first(*tie: str) -> list[Column]:
     """Newest year first, then newest entry; missing values come first."""
-    return df.orderBy(*[F.col(c).desc_nulls_first() for c in ("sort_year", "created_at", *tie)])
+    return [F.col(c).desc_nulls_first() for c in ("sort_year", "created_at", *tie)]
+
+
+def archive_order(df: DataFrame, *tie: str) -> DataFrame:
+    return df.orderBy(*newest_first(*tie))
 
 
 def notes_of(notes: DataFrame, key: str, value, ts: str = "created_at") -> DataFrame:
