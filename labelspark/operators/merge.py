@@ -11,17 +11,19 @@ from labelspark.functions.urls import domain, source_matches
 from labelspark.operators.filters import changed, garbage_name
 from labelspark.operators.joins import near_documents
 from labelspark.operators.latest import last_writer, pick
+from labelspark.stage import Stages
 
 
-def upsert(base: DataFrame, updates: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+def upsert(base: DataFrame, updates: DataFrame, keys: list[str], order: str | None = None, stages: Stages | None = None) -> DataFrame:
     """Insert new keys, replace the values of known keys.  With ``order`` the last update of a key wins.
 
-    Columns of ``base`` that the updates do not carry keep their value.  Where the updates are small enough for Spark to
-    broadcast them, the base is neither shuffled nor sorted: known keys are replaced in a left join, and which updates are
-    new is told by a semi join over the base's key columns.
+    Columns of ``base`` that the updates do not carry keep their value.  The updates are computed once, into a table of
+    ``stages``, so their size is known: where they are small enough for Spark to broadcast them, the base is neither shuffled nor
+    sorted.  Known keys are replaced in a left join, and which updates are new is told by a semi join over the base's key columns.
     """
     if order is not None:
         updates = last_writer(updates, keys, order)
+    updates = (stages or Stages(base.sparkSession)).write(updates, "updates")
     values = [c for c in updates.columns if c not in keys]
     new = updates.select(*keys, F.struct(*values).alias("_new"))
     replaced = base.join(new, keys, "left").select(*[

@@ -11,6 +11,7 @@ from labelspark.operators import links, merge, quality, text
 from labelspark.operators.joins import match_ledger
 from labelspark.operators.latest import best_candidate
 from labelspark.sources import ledger, responses
+from labelspark.stage import Results, Stages
 
 FIGURES = [
     "renewable", "fossil", "nuclear", "solar", "wind", "hydro", "biomass", "other_renewable", "coal", "natural_gas",
@@ -38,7 +39,8 @@ def _candidate(df: DataFrame, sizes: DataFrame, method: Column) -> DataFrame:
 
 def label_extraction(documents: DataFrame, raw_responses: DataFrame | None, providers: DataFrame, trusted: DataFrame,
                      default_year: int, vetoes: DataFrame | None = None, stored: DataFrame | None = None,
-                     section_length: int | None = C.SECTION_LENGTH) -> dict[str, DataFrame]:
+                     section_length: int | None = C.SECTION_LENGTH, extracted_at: Column | None = None,
+                     stages: Stages | None = None) -> Results:
     """Documents and stored model responses to mixes.
 
     ``documents``: id, provider_id, file_hash, source_url, text; where there is an ``html``, the page's visible text stands
@@ -48,9 +50,12 @@ def label_extraction(documents: DataFrame, raw_responses: DataFrame | None, prov
     the same supplier and content is not read again.
 
     Returns ``mixes`` (accepted, with issues, provenance and source status), ``origins`` (their certificates' countries),
-    ``providers`` (with company data filled in), ``reused`` (id, resolved_id), ``rejects`` (id, reason) and ``outcomes``
-    (one status per document that was read; documents of unknown suppliers have failed and are rejects).
+    ``providers`` (with company data filled in), ``documents`` (without texts; where a mix was accepted, with the prompt, response,
+    model and prompt version behind it, NULL for the patterns, and ``ai_extracted_at``, the given ``extracted_at``), ``reused``
+    (id, resolved_id), ``rejects`` (id, reason) and ``outcomes`` (one status per document that was read; documents of unknown
+    suppliers have failed and are rejects).  Texts and responses are read once: what they gave is a table of ``stages``.
     """
+    stages = stages or Stages(documents.sparkSession)
     if stored is not None:
         documents, resolved = merge.ingest_documents(stored, documents)
         reused = resolved.filter(F.col("id") != F.col("resolved_id")).select("id", "resolved_id")
@@ -71,9 +76,10 @@ def label_extraction(documents: DataFrame, raw_responses: DataFrame | None, prov
         refused = bad.select("id", F.col("reason"))
     rows = reduce(lambda a, b: a.unionByName(b), candidates)
     chosen = text.cascade(rows, "id", MINIMUM_LENGTH, vetoes).withColumnRenamed("method", "extraction_method")
-    gated = quality.ingest_gate(quality.with_issues(chosen))
+    gated = stages.write(quality.ingest_gate(quality.with_issues(chosen)), "extracted")
     names = providers.select(F.col("id").alias("provider_id"), F.col("name").alias("provider_name"), F.lit(True).alias("_known"))
     sources = quality.guard_sources(documents.drop("text", "html").join(names, "provider_id", "left"), trusted)
+    sources = stages.write(sources, "sources")
     known = sources.filter("_known")
     accepted = gated.filter("accepted").drop("accepted", "rank", "text_length")
     mixes = known.select("id", "provider_id", "source_status").join(accepted, "id")
@@ -88,10 +94,17 @@ def label_extraction(documents: DataFrame, raw_responses: DataFrame | None, prov
     # of several documents of a supplier the newest one's company data counts
     company = mixes.select("provider_id", "id", *COMPANY).filter(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in COMPANY]))
     company = company.groupBy(F.col("provider_id").alias("_provider")).agg(*[F.max_by(c, "id").alias(c) for c in COMPANY]).withColumnRenamed("_provider", "id")
-    return {
-        "mixes": mixes.drop("hkn_origins", *COMPANY), "origins": origins, "providers": merge.enrich_master_data(providers, company),
-        "reused": reused, "rejects": rejects, "outcomes": outcomes,
-    }
+    stamp = (F.lit(None) if extracted_at is None else extracted_at).cast("timestamp")
+    behind = mixes.select("id", F.struct(*PROVENANCE, stamp.alias("ai_extracted_at")).alias("_behind"))
+    plain = documents.drop("text", "html")
+    given = {c: F.col(c) if c in plain.columns else F.lit(None).cast(t) for c, t in (*((c, "string") for c in PROVENANCE), ("ai_extracted_at", "timestamp"))}
+    read = plain.join(behind, "id", "left").withColumns(
+        {c: F.when(F.col("_behind").isNotNull(), F.col(f"_behind.{c}")).otherwise(own) for c, own in given.items()}).drop("_behind")
+    return Results({
+        "mixes": lambda: mixes.drop("hkn_origins", *COMPANY), "origins": lambda: origins,
+        "providers": lambda: merge.enrich_master_data(providers, company), "documents": lambda: read,
+        "reused": lambda: reused, "rejects": lambda: rejects, "outcomes": lambda: outcomes,
+    })
 
 
 def link_selection(pages: DataFrame) -> DataFrame:
