@@ -7,54 +7,26 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from labelspark import constants as C
-from labelspark.functions.markup import (
-    EDGES, INSIDE, absolute, attribute, attributes, decode_attribute, decode_references, percent_encode, strip_tags, without_dots,
-)
+from labelspark.functions.markup import EDGES, absolute, parts_of_pages, percent_encode, web_address, without_dots
 from labelspark.functions.names import brand_words, contains_any
 from labelspark.functions.plan import settle
 from labelspark.functions.urls import decode_redirect, hostname, path_and_query
 from labelspark.operators.latest import best_candidate, best_per_key
 
-_NOT_LINKS = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b" + INSIDE + r">.*?(?:</\1\s*>|\z)"
-
 
 def page_links(pages: DataFrame, key: str = "page_id", url: str = "url", markup: str = "html") -> DataFrame:
     """Anchors, then images, of every page with absolute addresses; only web addresses are kept.
 
     Addresses are resolved against the first base of the page that has one, else against the page itself.
     """
-    body = F.regexp_replace(F.col(markup), _NOT_LINKS, "")
-    # a piece starts at every anchor, so an unclosed anchor ends where the next one begins
-    pieces = F.filter(F.split(body, r"(?i)(?=<a[\s>])"), lambda p: F.lower(F.substring(p, 1, 2)) == "<a")
-    images = F.regexp_extract_all(body, F.lit(r"(?is)(<img\b" + INSIDE + ">)"), F.lit(1))
-    stated = F.regexp_extract(body, r"""(?is)(<base\b(?=[^>]*\bhref\b)""" + INSIDE + ">)", 1)
-    found = settle(pages, {"_stated": decode_attribute(F.trim(attribute(*attributes(stated), "href")))}).select(
-        key, F.coalesce(without_dots(absolute(F.col(url), F.col("_stated"))), F.col(url)).alias("_base"),
-        F.posexplode(F.concat(pieces, images)).alias("position", "_piece"))
-    found = settle(found, {"_tag": F.regexp_extract("_piece", r"(?s)^(<[A-Za-z]" + INSIDE + ">)", 1)})
-    names, values = attributes(F.col("_tag"))
-    found = settle(found, {"_names": names, "_values": values})
-    is_anchor = F.lower(F.substring("_piece", 1, 3)) != "<im"
-    label = F.regexp_extract("_piece", r"(?is)^<a" + INSIDE + r">(.*?)(?:</a\b|\z)", 1)
-
-    def given(name: str) -> Column:
-        return attribute(F.col("_names"), F.col("_values"), name)
-
-    raw = found.select(
-        key, "position", "_base",
-        F.when(is_anchor, "a").otherwise("img").alias("kind"),
-        F.trim(F.when(is_anchor, given("href")).otherwise(F.nullif(given("src"), F.lit("")))).alias("_href"),
-        F.when(is_anchor, strip_tags(label)).otherwise("").alias("_text"),
-        *[F.coalesce(given(a), F.lit("")).alias(n) for a, n in
-          (("title", "_title"), ("aria-label", "_aria"))],
-        F.when(is_anchor, "").otherwise(F.coalesce(given("alt"), F.lit(""))).alias("_alt"),
-    ).filter(F.col("_href").isNotNull())
-    links = raw.select(
-        key, "position", "kind", "_base", decode_attribute("_href").alias("_href"),
-        F.regexp_replace(F.lower(decode_references("_text")), EDGES, "").alias("text"),
-        F.lower(decode_attribute("_title")).alias("title"),
-        F.lower(decode_attribute("_aria")).alias("aria_label"),
-        F.lower(decode_attribute("_alt")).alias("alt"),
+    found = settle(pages.select(key, F.col(url).alias("_page"), F.col(markup).alias("_html")), {"_found": parts_of_pages("_html")})
+    found = settle(found, {"_stated": web_address(F.col("_found.base"))}).select(
+        key, F.coalesce(without_dots(absolute(F.col("_page"), F.col("_stated"))), F.col("_page")).alias("_base"),
+        F.posexplode("_found.parts").alias("position", "_part"))
+    links = found.filter(F.col("_part.href").isNotNull()).select(
+        key, "position", F.col("_part.kind").alias("kind"), "_base", web_address(F.col("_part.href")).alias("_href"),
+        F.regexp_replace(F.lower("_part.text"), EDGES, "").alias("text"),
+        F.lower("_part.title").alias("title"), F.lower("_part.aria").alias("aria_label"), F.lower("_part.alt").alias("alt"),
     )
     links = settle(links, {"href": absolute(F.col("_base"), F.col("_href"))}).filter(F.col("href").startswith("http"))
     links = settle(links, {"href": without_dots(F.col("href"))})

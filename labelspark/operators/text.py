@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from labelspark import constants as C
 from labelspark.functions.label_values import label_values
-from labelspark.functions.markup import collapse, decode_references, strip_tags, visible_markup
+from labelspark.functions.markup import collapse, visible_texts
 from labelspark.functions.names import contains_any
 from labelspark.functions.plan import settle
 from labelspark.operators.latest import pick
@@ -14,10 +14,8 @@ from labelspark.operators.latest import pick
 
 def page_text(pages: DataFrame, markup: str = "html") -> DataFrame:
     """Visible text of whole pages, white space collapsed."""
-    rows = settle(pages, {"_raw": strip_tags(visible_markup(F.col(markup)))})
-    # only texts that hold a reference go through Arrow
-    decoded = decode_references(F.when(F.col("_raw").contains("&"), F.col("_raw")))
-    return rows.withColumn("text", F.trim(collapse(F.coalesce(decoded, "_raw")))).drop(markup, "_raw")
+    rows = settle(pages, {"_raw": visible_texts(F.col(markup))})
+    return rows.withColumn("text", F.trim(collapse(F.col("_raw")))).drop(markup, "_raw")
 
 
 def label_sections(rows: DataFrame, text: str, length: int | None = C.SECTION_LENGTH) -> DataFrame:

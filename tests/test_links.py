@@ -132,3 +132,59 @@ def test_odd_markup(spark):
     text = {r.page_id: r.text for r in page_text(df).collect()}
     assert [text[i] for i in (1, 2, 5, 9, 10, 11, 13)] == ["Strommix 50 %", "L", "a b c d", "a < b & c", None, "", ""]
     assert len(text[12]) == 100_000
+
+
+TEXTS = [
+    # comments end where a browser ends them
+    ("a<!-->b", "ab"), ("a<!--->b", "ab"), ("a<!--x--!>b", "ab"), ("a<!-- > <b> -->b", "ab"), ("a<!-- offen", "a"), ("a<!doctype x>b<?php >c</>d", "abcd"),
+    # raw text
+    ("<head><script>var a = '</head>xy';</script></head>t", "t"), ("<style>a > b {}</style>t", "t"), ("<script>x</scripty></script >t", "t"),
+    ("<noscript><p>x</noscript>t", "t"), ("<p><textarea><b>&amp;</textarea>c", "<b>&c"), ("<p><iframe><b></iframe>c", "<b>c"), ("x<plaintext><b>", "x<b>"),
+    # a head that is not written
+    ("<title>T</title><p>no head", "no head"), ("<meta x><link y> <title>T</title>\n<style>s</style>t", "t"), ("<p>a<title>T</title>", "aT"),
+    ("<head><title>T</title><p>b", "b"), ("<template><p>no</template><p>b", "b"), ("<html><head></head><title>T</title><body>b", "b"),
+    # attributes
+    ("<p title='a > b'>t", "t"), ("<p a=b=\"c>t", "t"), ("<a ='x>y", "y"), ("<p title = \"a>b\"c='>'>t", "t"), ("<p class=\"offen>t</p> mehr", ""),
+    ("a <b", "a"), ("a < b & c", "a < b & c"), ("&am<b></b>p;", "&amp;"), ("</p x='>'>t", "t"), ("<br/>t<x-y z>u", "tu"), ("a<", "a<"), ("a</", "a</"), ("</\u00e9>z", "z"),
+]
+
+
+def test_visible_text_of_odd_pages(spark):
+    from labelspark.operators.text import page_text
+
+    df = spark.createDataFrame(list(enumerate(t for t, _ in TEXTS)), "page_id int, html string")
+    got = {r.page_id: r.text for r in page_text(df).collect()}
+    assert [(TEXTS[i][0], got[i]) for i in range(len(TEXTS))] == TEXTS
+
+
+LINKS = [
+    ('<a href=" /c.pdf\n">x', "https://h.de/c.pdf"), ('<a href="\x01/a\tb\r\nc.pdf\x1f ">x', "https://h.de/abc.pdf"),
+    ("<a title='x>y' href=/a.pdf>x", "https://h.de/a.pdf"), ("<a href=/a.pdf href=/b.pdf>x", "https://h.de/a.pdf"),
+    ("<a HREF = '/a.pdf?x&amp;y&copy=1&reg'>x", "https://h.de/a.pdf?x&y&copy=1%C2%AE"), ("<!--><a href=/a.pdf>x", "https://h.de/a.pdf"),
+    ("<script>'<a href=/no>'</script><a href=/a.pdf>x", "https://h.de/a.pdf"), ("<textarea><a href=/no></textarea><a href=/a.pdf>x", "https://h.de/a.pdf"),
+    ("<base target=x><base href=' /sub/ '><a href=y.pdf>x", "https://h.de/sub/y.pdf"), ("<abbr href=/no><a href=/a.pdf/>x", "https://h.de/a.pdf/"),
+    ('<a href="/a b.pdf">x', "https://h.de/a%20b.pdf"),
+]
+
+
+def test_addresses_of_odd_links(spark):
+    df = spark.createDataFrame([(i, "https://h.de/p/q.html", m) for i, (m, _) in enumerate(LINKS)], "page_id int, url string, html string")
+    got = {}
+    for r in links.page_links(df).collect():
+        got.setdefault(r.page_id, []).append(r.href)
+        assert r.text == "x"
+    assert [got.get(i) for i in range(len(LINKS))] == [[want] for _, want in LINKS]
+
+
+def test_tokenizer_reads_once():
+    """Pages made to be read again and again are read in linear time."""
+    import time
+
+    from labelspark.functions.markup import page_parts, visible_text
+
+    start = time.time()
+    for page in ("<" * 200_000, "<p x='" * 50_000, "<!--" * 100_000, "<a<" * 100_000, "<p a=" * 100_000, "<p" + " a=b" * 100_000, "<a href=x>" * 50_000,
+                 "&" * 300_000, "<script>" * 50_000, "</" * 100_000, "<title>" * 50_000):
+        visible_text(page)
+        page_parts(page)
+    assert time.time() - start < 20
