@@ -18,6 +18,28 @@ def round_half_away(value: Column, digits: int = 2) -> Column:
     return F.when(value < 0, -magnitude).otherwise(magnitude)
 
 
+def fixed(value: Column, precision: int, scale: int) -> Column:
+    """An exact decimal, zero where there is no value."""
+    kind = f"decimal({precision},{scale})"
+    return F.coalesce(value.cast(kind), F.lit(0).cast(kind))
+
+
+def ratio_half_up(numerator: Column, denominator: Column, digits: int) -> Column:
+    """``numerator / denominator`` to ``digits`` digits, halves away from zero, exactly; NULL for a denominator of zero.
+
+    Both are decimals of the same scale.  The quotient is never rounded twice: whole hundredths (say) are cut off by remainder, and
+    half a denominator has been added before.
+    """
+    whole = "decimal(38,0)"
+    top, bottom = F.abs(numerator).cast("decimal(38,6)"), F.nullif(F.abs(denominator).cast("decimal(38,6)"), F.lit(0).cast("decimal(38,6)"))
+    million = F.lit(10**6).cast("decimal(7,0)")
+    x = (2 * 10**digits * (top * million).cast(whole) + (bottom * million).cast(whole)).cast(whole)
+    y = (2 * (bottom * million).cast(whole)).cast(whole)
+    steps = ((x - x % y) / y).cast(whole)
+    sign = F.when((numerator < 0) != (denominator < 0), -1).otherwise(1)
+    return (sign * steps * F.lit(f"1e-{digits}").cast(f"decimal({digits + 1},{digits})")).cast(f"decimal({34},{digits})")
+
+
 def zero_if_null(value: Column) -> Column:
     return F.coalesce(value.cast("double"), F.lit(0.0))
 

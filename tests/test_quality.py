@@ -1,3 +1,6 @@
+from decimal import Decimal
+from fractions import Fraction
+
 from pyspark.sql import functions as F
 
 from labelspark.operators import compliance, joins, quality
@@ -104,3 +107,26 @@ def test_reconciliation_fans_out_and_dedupes(spark):
     latest = compliance.reconciliation(*args, latest_only=True)
     assert sorted((r.provider_id, r.mix_id) for r in latest.fillna(-1, ["mix_id"]).collect()) == [(1, 101), (2, -1)]
     assert [r.d for r in latest.select(compliance.direction(F.col("difference_mwh")).alias("d")).orderBy("d").collect()] == ["balanced", "under"]
+
+
+def test_deviations_are_exact(values):
+    """Halves of a hundredth go away from zero, on both sides, and are not rounded twice."""
+    rows = [("800", "800.04"), ("800", "799.96"), ("800", "800.039999"), ("800", "800.12"), ("0.000001", "9999999999999.99"), ("0", "5"), (None, "5"), ("3", None),
+            ("99999999999.99", "0.01"), ("300", "300.015"), ("7", "7.00035"), ("7", "7.000349"), ("-800", "-800.04"), ("-800", "800")]
+    got = values(lambda s, i: compliance.deviation_percent(s.cast("decimal(25,6)"), i.cast("decimal(25,6)")), rows, "s string, i string")
+    want = []
+    for soll, ist in rows:
+        s, i = (Decimal(x or "0") for x in (soll, ist))
+        exact = Fraction(i - s) / Fraction(s) * 10_000 if s else Fraction(0)
+        want.append(Decimal(int(abs(exact) + Fraction(1, 2)) * (1 if exact >= 0 else -1)) / 100)
+    assert got == want
+
+
+def test_country_comparison(spark):
+    declared = spark.createDataFrame([(1, 2021, "Norwegen", 60.0), (1, 2021, " norwegen", 20.0), (1, 2021, "Island", 20.0), (1, 2021, "", 9.0), (2, 2021, "Island", 5.0)],
+                                     "provider_id long, year int, country string, percentage double")
+    cancelled = spark.createDataFrame([(1, 2021, "Norwegen", 1.0), (1, 2021, "Schweden", 2.0), (3, 2020, "Island", 0.0)],
+                                      "provider_id long, year int, country string, amount_mwh double")
+    got = {(r[0], r[1], r[2]): tuple(None if x is None else float(x) for x in r[3:]) for r in compliance.country_comparison(declared, cancelled).collect()}
+    assert got == {(1, 2021, "Norwegen"): (80.0, 33.33, -46.67), (1, 2021, "Island"): (20.0, None, -20.0), (1, 2021, "Schweden"): (None, 66.67, 66.67),
+                   (2, 2021, "Island"): (100.0, None, -100.0), (3, 2020, "Island"): (None, None, 0.0)}
