@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from labelspark import constants as C
 from labelspark.functions.names import match_key
 from labelspark.functions.urls import domain
+from labelspark.stage import Stages
 
 
 def fan_out(left: DataFrame, right: DataFrame, key: str, keys: DataFrame | None = None,
@@ -148,6 +149,47 @@ def apply_brand_tiers(providers: DataFrame, tiers: dict[int, list[str]] = C.BRAN
     return providers.withColumn("priority", F.coalesce(new, F.col("priority")))
 
 
+def _grams(text: Column, size: int) -> Column:
+    """The distinct runs of ``size`` characters of a text, none of a shorter one."""
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))))
+
+
+def brand_matches(names: DataFrame, brands: DataFrame, gram: int = 3, stages: Stages | None = None) -> DataFrame:
+    """(id, brand, priority): the brands of a table that occur in a name (case matters).
+
+    ``names``: id, name.  ``brands``: brand, priority; of a repeated brand the highest priority counts, null and empty ones
+    are no brands.  Every brand is filed under one run of ``gram`` characters, the one that occurs in the fewest names, and
+    every name asks with all of its runs: an equi join gives the candidates, ``contains`` decides.  Brands shorter than ``gram``
+    are filed whole and asked for with shorter runs.  A name is compared with as many brands as share its rare runs, not with all.
+    """
+    stages = stages or Stages(names.sparkSession)
+    known = brands.filter(F.coalesce(F.length("brand"), F.lit(0)) > 0).groupBy("brand").agg(F.max("priority").alias("priority"))
+    known = stages.write(known.withColumn("_size", F.least(F.length("brand"), F.lit(gram))), "brands")
+    sizes = [r[0] for r in known.select("_size").distinct().collect()]  # gram at most
+    if not sizes:
+        return names.select("id", F.lit(None).cast("string").alias("brand"), F.lit(None).cast("int").alias("priority")).limit(0)
+    asked = names.filter(F.col("name").isNotNull()).select(
+        "id", "name", F.explode(F.concat(*[F.coalesce(_grams(F.col("name"), n), F.array().cast("array<string>")) for n in sizes])).alias("_gram"))
+    filed = known.select("*", F.explode(reduce(lambda a, n: F.when(F.col("_size") == n, _grams(F.col("brand"), n)).otherwise(a), sizes,
+                                               F.array().cast("array<string>"))).alias("_gram"))
+    # how many names hold a run; only runs of brands are counted
+    wanted = asked.join(filed.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_names"))
+    wanted = stages.write(wanted, "runs")
+    rank = F.struct(F.coalesce("_names", F.lit(0)), "_gram")
+    index = filed.join(wanted, "_gram", "left").groupBy("brand", "priority").agg(F.min(rank).alias("_rarest"))
+    index = stages.write(index.select("brand", "priority", F.col("_rarest._gram").alias("_gram")), "index")
+    return asked.join(index, "_gram").filter(F.col("name").contains(F.col("brand"))).select("id", "brand", "priority")
+
+
+def apply_brand_table(providers: DataFrame, brands: DataFrame, stages: Stages | None = None) -> DataFrame:
+    """Active suppliers get the highest priority of the table's brands in their name; all others keep theirs."""
+    stages = stages or Stages(providers.sparkSession)
+    found = brand_matches(providers.filter("active").select("id", "name"), brands, stages=stages)
+    best = stages.write(found.groupBy("id").agg(F.max("priority").cast("int").alias("_best")), "tiers")
+    return providers.join(best, "id", "left").withColumn("priority", F.coalesce("_best", "priority")).drop("_best")
+
+
 def match_ledger(lines: DataFrame, providers: DataFrame) -> DataFrame:
     """Ledger lines with the supplier whose normalised name is equal, NULL when there is none.
 
@@ -186,7 +228,7 @@ def with_constants(rows: DataFrame, constants: DataFrame, fallback: int, year: s
     """Constants of the year from a table keyed by year, else those of the fallback year.
 
     The key is settled first (known year or fallback), then one equi join adds the constants.  Of a
-    repeated year the smallest row counts.  Whether a side is broadcast is left to Spark's size check.
+    repeated year an arbitrary row counts: the smallest by value, so that runs agree.  Whether a side is broadcast is left to Spark's size check.
     """
     values = [c for c in constants.columns if c != "year"]
     unique = constants.filter(F.col("year").isNotNull()).groupBy("year").agg(F.min(F.struct(*values)).alias("_row"))

@@ -52,6 +52,26 @@ def read_jdbc(spark: SparkSession, url: str, table: str, bounds: tuple[int, int]
                            numPartitions=partitions, properties=properties or {})
 
 
+# How the tables are stored for joins without a shuffle: by the key that their rows are asked for.
+STORED_BY = {
+    "provider": "id", "job": "provider_id", "mix": "provider_id", "document": "provider_id", "delivery": "provider_id",
+    "cancellation": "provider_id", "audit_verdict": "provider_id", "mix_by_document": "document_id", "document_by_id": "id",
+}
+
+
+def store(df: DataFrame, table: str, folder: str, buckets: int, key: str | None = None) -> DataFrame:
+    """Store a table in ``buckets`` files by its key (see ``STORED_BY``), each sorted, and read it back.
+
+    Tables stored by the same key with the same number of buckets are joined and grouped by it where they lie.  All rows of a
+    key are in one bucket: choose buckets so that one fits a task, and keep a table with a key of a large share of all rows (or of nulls) in
+    plain files, where adaptive execution can split it.  ``table`` is a name of the session's catalog; an existing one is replaced.
+    """
+    key = key or STORED_BY[table]
+    rows = df.repartition(buckets, key)  # the buckets' own hash, so that every task writes one file
+    rows.write.format("parquet").mode("overwrite").option("path", f"{folder}/{table}").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def adhoc(spark: SparkSession, tables: dict[str, DataFrame], statement: str) -> DataFrame:
     """Run a statement over the given tables; each is written ``{name}`` in the text."""
     return spark.sql(statement, **tables)

@@ -32,6 +32,72 @@ def test_ledger_import_from_file(spark, tmp_path):
     assert tuple(out["tally"].first()) == (3, 3)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ledger_files_larger_than_a_split(spark, tmp_path):
+    """Headers go where files start, whatever tasks read the rest; blank lines may stand before them."""
+    rows = [f"A{i},{2000 + i % 20},{i},Norwegen,{i}.5" for i in range(3000)]
+    header = "anbieter_name,berichtsjahr,strommenge_mwh,hkn_land,hkn_menge_mwh"
+    (tmp_path / "one.csv").write_text("\n  \r\n\t\n" + "\r\n".join([header, *rows]), encoding="utf-8")
+    (tmp_path / "two.csv").write_text("\ufeff" + header + "\n\n" + "\n \n".join(rows[:10]) + "\n", encoding="utf-8")
+    (tmp_path / "three.csv").write_text(header, encoding="utf-8")
+    (tmp_path / "four.csv").write_text("\n\n", encoding="utf-8")
+    (tmp_path / "five.csv").write_text(header + "\n" + header + '\n"quoted, 1",2,3,4,5\n' + "x" * 200_000 + ",2000,1,b,1\n\\,2000,1,\",1", encoding="utf-8")
+    for name, value in (("spark.sql.files.maxPartitionBytes", "8k"), ("spark.sql.files.openCostInBytes", "1")):
+        spark.conf.set(name, value)
+    try:
+        lines = ledger.read_lines(spark, str(tmp_path))
+        got = [(r.ledger_id.rsplit("/", 1)[1], r.line) for r in lines.orderBy("ledger_id", "line_no").collect()]
+        assert lines.rdd.getNumPartitions() > 10 and "Exchange" not in plan_of(lines) and "Exchange" not in plan_of(ledger.parse(lines)[0])
+    finally:
+        for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            spark.conf.unset(name)
+    assert got == ([("five.csv", line) for line in (header, '"quoted, 1",2,3,4,5', "x" * 200_000 + ",2000,1,b,1", '\\,2000,1,",1')]
+                   + [("one.csv", r) for r in rows] + [("two.csv", r) for r in rows[:10]])
+
+
+def test_ledger_lines_in_a_table(spark):
+    rows = [(1, 5, "kopf"), (1, 6, " a "), (1, 4, "  "), (2, 1, "kopf"), (2, 2, "kopf"), (3, 1, "kopf")]
+    lines = spark.createDataFrame(rows, "ledger_id long, line_no long, line string")
+    assert sorted(map(tuple, ledger.data_lines(lines).collect())) == [(1, 6, "a"), (2, 2, "kopf")]
+    # the headers' size is known, so the lines are not shuffled
+    assert "BroadcastHashJoin" in plan_of(ledger.data_lines(lines)) and "hashpartitioning" not in plan_of(ledger.data_lines(lines))
+
+
+def test_tables_stored_by_key(spark, tmp_path):
+    from labelspark.operators import latest, merge
+
+    providers = spark.range(40).select("id", F.concat(F.lit("n"), "id").alias("name"))
+    jobs = spark.range(400).select("id", (F.col("id") * 7 % 45).alias("provider_id"), F.lit("success").alias("status"), F.lit("x").alias("log_message"))
+    mixes = spark.range(300).select(
+        "id", (F.col("id") * 3 % 45).alias("provider_id"), (F.col("id") * 11 % 90).alias("document_id"), F.lit(2020).alias("year"), F.lit("unbestaetigt").alias("source_status"),
+        *[F.lit(1.0).alias(c) for c in latest.MIX_COLUMNS if c != "year"])
+    documents = spark.range(90).select("id", (F.col("id") % 40).alias("provider_id"), F.lit(None).cast("int").alias("reporting_year"))
+    tables_ = {"provider": providers, "job": jobs, "mix": mixes, "document_by_id": documents, "mix_by_document": mixes}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored = {n: tables.store(df, n, str(tmp_path), 4) for n, df in tables_.items()}
+
+        def overview(t):
+            parts = [latest.latest_jobs(t["job"]), latest.latest_mixes(t["mix"])]
+            out = t["provider"]
+            for part in parts:
+                out = out.join(part.withColumnRenamed("provider_id", "id"), "id", "left")
+            return out
+
+        for plan in (lambda t: latest.latest_jobs(t["job"]), overview, lambda t: merge.backfill_year(t["document_by_id"], t["mix_by_document"])):
+            got = plan(stored)
+            assert "Exchange" not in plan_of(got) and "Exchange" in plan_of(plan(tables_))
+            assert sorted(map(str, got.collect())) == sorted(map(str, plan(tables_).select(got.columns).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        for name in tables_:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def test_manifest_of_files(spark, tmp_path):
     (tmp_path / "a").write_bytes(b"%PDF-1.7 x")
     (tmp_path / "b").write_bytes(b"\x89PNG....")

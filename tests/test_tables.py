@@ -205,3 +205,45 @@ def test_foreign_jobs_keep_the_whole_address(spark):
     assert got == {1: ("failed", long), 2: ("running", None), 3: ("partial", None)}
     assert {r.id: r.foreign_url for r in merge.apply_foreign_plan(once, plan).collect()} == {1: long, 2: None, 3: None}
     assert once.where("id = 1").first().log_message.endswith(long[:150] + ")")
+
+
+def test_brand_table(spark):
+    import random
+
+    from labelspark.operators import joins
+
+    rng = random.Random(4)
+    letters = "abAB ä#1"
+    names = [(i, "".join(rng.choice(letters) for _ in range(rng.randrange(0, 12)))) for i in range(300)] + [(900, None), (901, ""), (902, "xyzxyz")]
+    brands = [("".join(rng.choice(letters) for _ in range(rng.randrange(1, 6))), rng.randrange(100)) for _ in range(400)]
+    brands += [("", 999), (None, 999), ("xyzx", 5), ("xyz", 7), ("zx", 9), ("nirgends", 999), ("xyz", 3)]
+    df = spark.createDataFrame([(i, n, i % 5 != 0, i % 7) for i, n in names], "id long, name string, active boolean, priority int")
+    table = spark.createDataFrame(brands, "brand string, priority int")
+    got = {r.id: r.priority for r in joins.apply_brand_table(df, table).collect()}
+    hits = {i: [p for b, p in brands if b and n and b in n] for i, n in names}
+    assert got == {i: max(hits[i]) if i % 5 and hits[i] else i % 7 for i, _ in names}
+    found = {(r.id, r.brand): r.priority for r in joins.brand_matches(df, table).collect()}
+    assert found == {(i, b): max(p for x, p in brands if x == b) for i, n in names for b, _ in brands if b and n and b in n}
+    plan = joins.brand_matches(df, table)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    none = table.limit(0)
+    assert joins.brand_matches(df, none).collect() == [] and joins.apply_brand_table(df, none).count() == len(names)
+
+
+def test_upsert_computes_its_updates_once(spark):
+    from labelspark.operators import merge
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    base = spark.range(50).select("id", F.lit("old").alias("v"))
+    updates = spark.range(40, 60).mapInPandas(count, "id long").select("id", F.lit("new").alias("v"))
+    got = merge.upsert(base, updates, ["id"])
+    assert sorted((r.id, r.v) for r in got.collect()) == [(i, "new" if i >= 40 else "old") for i in range(60)]
+    assert seen.value == 20
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [id" in plan and "SortMergeJoin" not in plan  # the base stays where it lies
