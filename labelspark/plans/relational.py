@@ -7,10 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from labelspark import constants as C
 from labelspark.functions import labels
 from labelspark.functions.names import match_key
-from labelspark.operators import aggregates, archive, filters, joins, latest, paging, text
+from labelspark.operators import aggregates, archive, filters, joins, latest, paging, places, text
 from labelspark.plans.registry import query
 from labelspark.plans.views import Views
-from labelspark.sources.tables import adhoc
+from labelspark.sources.tables import STORED_BY, adhoc, store
+from labelspark.stage import Stages
 
 
 def num(name: str) -> Column:
@@ -262,6 +263,21 @@ def _(v: Views) -> DataFrame:
     return joins.apply_brand_tiers(v.provider, tiers).select("id", "priority")
 
 
+# As many brands as orders: numbers with what follows them in a name, some that no name holds, and a few short ones.
+@query("j10_brand_table", """WITH brand AS (SELECT CASE o_orderkey % 4 WHEN 0 THEN '#' || lpad(n, 9, '0') WHEN 1 THEN lpad(n, 6, '0') || ' GmbH' WHEN 2 THEN lpad(n, 7, '0') || ' AG' ELSE '9' || n || ' KG' END AS brand,
+    CAST(50 + o_orderkey % 51 AS INT) AS priority FROM (SELECT o_orderkey, CAST(o_orderkey // 4 AS VARCHAR) AS n FROM orders)
+  UNION ALL SELECT CAST(n_nationkey + 90 AS VARCHAR), CAST(60 + n_nationkey AS INT) FROM nation)
+SELECT p.id, coalesce(m.priority, p.priority) AS priority FROM v_provider p LEFT JOIN (
+  SELECT p.id, max(b.priority) AS priority FROM v_provider p JOIN brand b ON contains(p.name, b.brand) WHERE p.active GROUP BY p.id) m ON m.id = p.id""")
+def _(v: Views) -> DataFrame:
+    key, n = F.col("o_orderkey"), F.expr("cast(o_orderkey div 4 as string)")
+    brand = (F.when(key % 4 == 0, F.concat(F.lit("#"), F.lpad(n, 9, "0"))).when(key % 4 == 1, F.concat(F.lpad(n, 6, "0"), F.lit(" GmbH")))
+             .when(key % 4 == 2, F.concat(F.lpad(n, 7, "0"), F.lit(" AG"))).otherwise(F.concat(F.lit("9"), n, F.lit(" KG"))))
+    brands = v.table("orders").select(brand.alias("brand"), (50 + key % 51).cast("int").alias("priority"))
+    short = v.table("nation").select((F.col("n_nationkey") + 90).cast("string").alias("brand"), (60 + F.col("n_nationkey")).cast("int").alias("priority"))
+    return joins.apply_brand_table(v.provider, brands.unionByName(short)).select("id", "priority")
+
+
 @query("j12_trusted", """SELECT d.id, d.provider_id, t.domain IS NOT NULL AS trusted FROM v_doc d
 LEFT JOIN v_trusted t ON t.provider_id = d.provider_id
   AND t.domain = regexp_replace(lower(regexp_extract(d.source_url, '^https?://([^/]+)', 1)), '^www\\.', '')""")
@@ -431,28 +447,42 @@ def _(v: Views) -> DataFrame:
     return snapshot_columns(snapshot(v)).orderBy(F.desc("id"))
 
 
+@query("s1_stored_snapshot", f"SELECT {SNAPSHOT_SQL} FROM v_snapshot")
+def _(v: Views) -> DataFrame:
+    # the same overview over tables stored by supplier
+    folder = Stages(v.spark).folder("stored")
+    t = {n: store(df, f"{n}_{folder.rsplit('-', 1)[-1]}", folder, 8, STORED_BY[n])
+         for n, df in (("provider", v.provider), ("job", v.job), ("mix", v.mix), ("document", v.doc.drop("text")))}
+    return snapshot_columns(latest.snapshot(t["provider"], t["job"], t["mix"], t["document"]))
+
+
 # --- sorting, top-k, paging -------------------------------------------------------------------------
 
 
 @query("t1_priority_order", """SELECT id, name, CASE WHEN id % 7 = 0 THEN NULL ELSE priority END AS priority,
-  row_number() OVER (ORDER BY CASE WHEN id % 7 = 0 THEN NULL ELSE priority END DESC NULLS FIRST, id) AS place
-FROM v_provider ORDER BY place LIMIT 100""")
+  row_number() OVER (ORDER BY CASE WHEN id % 7 = 0 THEN NULL ELSE priority END DESC NULLS FIRST, id) AS place FROM v_provider""")
 def _(v: Views) -> DataFrame:
     rows = v.provider.withColumn("priority", F.when(F.col("id") % 7 != 0, F.col("priority")))
-    top = paging.by_priority(rows.select("id", "name", "priority")).limit(100)
-    # 100 rows are left, so numbering them in one task is cheap
-    from pyspark.sql import Window as W
-    return top.withColumn("place", F.row_number().over(
-        W.orderBy(F.col("priority").desc_nulls_first(), F.col("id"))).cast("long"))
+    return places.placed(rows.select("id", "name", "priority"), paging.priority_order()).rows()
 
 
-@query("t2_user_sort", """(SELECT 'asc' AS direction, id, last_confidence FROM v_snapshot ORDER BY last_confidence ASC NULLS LAST, id LIMIT 40)
-UNION ALL (SELECT 'desc', id, last_confidence FROM v_snapshot ORDER BY last_confidence DESC NULLS LAST, id LIMIT 40)""")
+@query("t2_user_sort", """SELECT 'asc' AS direction, id, last_confidence, row_number() OVER (ORDER BY last_confidence ASC NULLS LAST, id) AS place FROM v_snapshot
+UNION ALL SELECT 'desc', id, last_confidence, row_number() OVER (ORDER BY last_confidence DESC NULLS LAST, id) FROM v_snapshot""")
 def _(v: Views) -> DataFrame:
-    snap = snapshot(v).select("id", "last_confidence")
-    up = paging.sort_by(snap, "last_confidence").limit(40).withColumn("direction", F.lit("asc"))
-    down = paging.sort_by(snap, "last_confidence", descending=True).limit(40).withColumn("direction", F.lit("desc"))
-    return up.unionByName(down)
+    stages = Stages(v.spark)
+    snap = stages.write(snapshot(v).select("id", "last_confidence"), "snapshot")  # read by two sorts
+    sorts = [places.placed(snap, paging.user_order("last_confidence", descending), stages).rows().withColumn("direction", F.lit(name))
+             for name, descending in (("asc", False), ("desc", True))]
+    return paging.union_all(sorts)
+
+
+@query("t3_far_page", """SELECT id, name, last_renewable_percentage::DOUBLE AS last_renewable_percentage, place FROM (
+  SELECT *, row_number() OVER (ORDER BY last_renewable_percentage DESC NULLS LAST, id) AS place, count(*) OVER () AS rows FROM v_snapshot)
+WHERE (place - 1) // 25 = greatest(1, CAST(ceil(rows / 25.0) AS BIGINT)) * 9 // 10""")
+def _(v: Views) -> DataFrame:
+    rows = snapshot(v).select("id", "name", num("last_renewable_percentage"))
+    found = places.placed(rows, paging.user_order("last_renewable_percentage", descending=True))
+    return found.page(found.pages(25) * 9 // 10 + 1, 25)
 
 
 @query("t3_page", """SELECT id, name, last_renewable_percentage::DOUBLE AS last_renewable_percentage FROM v_snapshot
@@ -518,14 +548,14 @@ def archived(v: Views) -> DataFrame:
     return archive.archive(docs, v.mix, origins)
 
 
-def archive_columns(df: DataFrame) -> DataFrame:
-    return df.select("id", "provider_id", "file_type", "file_hash", "source_url", "sort_year", "mix_id", num("renewable_percentage"), "extraction_method",
+def archive_columns(df: DataFrame, *more: str) -> DataFrame:
+    return df.select(*more, "id", "provider_id", "file_type", "file_hash", "source_url", "sort_year", "mix_id", num("renewable_percentage"), "extraction_method",
                      F.when(F.col("hkn_origins").isNotNull(), F.size("hkn_origins")).alias("origins"), stamp("created_at"))
 
 
-@query("t9_archive_order", f"""{ORIGINS_SQL}SELECT * FROM ({ARCHIVE_SQL}) ORDER BY sort_year DESC NULLS FIRST, created_at DESC NULLS FIRST, mix_id DESC NULLS FIRST LIMIT 200""")
+@query("t9_archive_order", f"""{ORIGINS_SQL}SELECT *, row_number() OVER (ORDER BY sort_year DESC NULLS FIRST, created_at DESC NULLS FIRST, mix_id DESC NULLS FIRST, id DESC NULLS FIRST) AS place FROM ({ARCHIVE_SQL})""")
 def _(v: Views) -> DataFrame:
-    return archive_columns(paging.archive_order(archived(v), "mix_id").limit(200))
+    return archive_columns(places.placed(archived(v), paging.newest_first("mix_id", "id")).rows(), "place")
 
 
 @query("u1_archive_union", ORIGINS_SQL + ARCHIVE_SQL)
@@ -533,12 +563,16 @@ def _(v: Views) -> DataFrame:
     return archive_columns(archived(v))
 
 
-@query("t2_sort_by_collation", """SELECT id, name FROM (SELECT id, ['Äpfel', 'Apfel', 'zebra', 'Ähre', 'Zobel'][id % 5 + 1] AS name, [3, 2, 4, 1, 5][id % 5 + 1] AS place FROM v_provider)
-ORDER BY place, id LIMIT 100""")
+# Names in the order of a German dictionary, as the collation must give it
+COLLATED = ["Ähre", "Apfel", "Äpfel", "zebra", "Zobel"]
+
+
+@query("t2_sort_by_collation", f"""SELECT id, name, row_number() OVER (ORDER BY list_position({COLLATED}, name), id) AS place
+FROM (SELECT id, ['Äpfel', 'Apfel', 'zebra', 'Ähre', 'Zobel'][id % 5 + 1] AS name FROM v_provider)""")
 def _(v: Views) -> DataFrame:
     words = F.array(*[F.lit(w) for w in ("Äpfel", "Apfel", "zebra", "Ähre", "Zobel")])
     rows = v.provider.select("id", F.element_at(words, (F.col("id") % 5 + 1).cast("int")).alias("name"))
-    return paging.sort_by(rows, "name", collation="de").limit(100)
+    return places.placed(rows, paging.user_order("name", collation="de")).rows()
 
 
 @query("f13_triage", """SELECT id, name FROM v_snapshot WHERE latest_job_status = 'failed' AND contains(lower(latest_job_log), 'keine ergebnisse')""")

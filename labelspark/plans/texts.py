@@ -9,7 +9,7 @@ from labelspark.operators import latest, links, text
 from labelspark.operators.aggregates import table_metrics
 from labelspark.plans import jobs
 from labelspark.plans.registry import query
-from labelspark.plans.relational import snapshot
+from labelspark.plans.relational import snapshot, stamp
 from labelspark.plans.views import Views
 from labelspark.sources import manifest, responses, sinks, tokens
 from labelspark.streaming import monitor, ratelimit
@@ -238,7 +238,7 @@ def _(v: Views) -> DataFrame:
 SELECT 'matched' AS metric, count(*) AS rows FROM v_ledger_match WHERE provider_id IS NOT NULL UNION ALL SELECT 'unmatched', count(*) FROM v_ledger_match WHERE provider_id IS NULL
 UNION ALL SELECT 'rejected', (SELECT count(*) FROM v_ledger_row) - (SELECT count(*) FROM v_ledger_match) UNION ALL SELECT 'foreign', count(*) FROM w WHERE strange""")
 def _(v: Views) -> DataFrame:
-    return table_metrics(jobs.supplier_matching(v.ledger, v.doc.drop("text"), v.provider, v.mix))
+    return table_metrics(jobs.supplier_matching(v.ledger_data, v.doc.drop("text"), v.provider, v.mix))
 
 
 # Documents with labels, every third with a stored response; every fifth of those says that it is no label.
@@ -265,7 +265,7 @@ def label_job(v: Views) -> dict[str, DataFrame]:
     answers = v.doc.select("id", F.when(key % 3 == 0, answer).otherwise("none").alias("raw_response"),
                            F.when(key % 6 == 0, "gemini_vision").alias("method"), F.concat(F.lit("v"), (key % 2).cast("string")).alias("prompt_version"))
     vetoes = v.doc.select("id", (key % 37 != 5).alias("is_label"), F.lit(90).alias("confidence"))
-    return jobs.label_extraction(docs, answers, v.provider, v.trusted, 2023, vetoes)
+    return jobs.label_extraction(docs, answers, v.provider, v.trusted, 2023, vetoes, extracted_at=F.lit("2024-06-01 12:00:00").cast("timestamp"))
 
 
 @query("job_label_extraction", JOB_SQL + "SELECT doc_id AS id, provider_id, year, renewable, fossil, nuclear, confidence, method AS extraction_method, tariff_name, prompt_version FROM m")
@@ -291,6 +291,13 @@ def _(v: Views) -> DataFrame:
     return label_job(v)["rejects"]
 
 
+@query("job_label_documents", JOB_SQL + """SELECT d.id, d.provider_id, d.file_hash, m.prompt_version, m.method IS NOT NULL AND m.method <> 'regex' AS has_response,
+  CASE WHEN m.doc_id IS NOT NULL THEN '2024-06-01 12:00:00' END AS ai_extracted_at FROM v_doc d LEFT JOIN m ON m.doc_id = d.id""")
+def _(v: Views) -> DataFrame:
+    return label_job(v)["documents"].select("id", "provider_id", "file_hash", "prompt_version", F.col("raw_response").isNotNull().alias("has_response"),
+                                            stamp("ai_extracted_at"))
+
+
 @query("job_label_outcomes", JOB_SQL + """SELECT d.id, d.provider_id, m.year, CASE WHEN p.id IS NULL THEN 'failed' WHEN m.year IS NULL THEN 'partial'
   WHEN len(w.words) > 0 AND len(list_filter(w.words, lambda x: contains(lower(d.source_url), x))) = 0 AND t.provider_id IS NULL THEN 'partial' ELSE 'success' END AS status
 FROM v_doc d LEFT JOIN v_provider p ON p.id = d.provider_id LEFT JOIN v_words w ON w.id = d.provider_id LEFT JOIN m ON m.doc_id = d.id

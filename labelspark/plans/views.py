@@ -11,6 +11,9 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from labelspark.sources.ledger import data_lines
+from labelspark.stage import Stages
+
 
 def _text(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
@@ -188,6 +191,12 @@ class Views:
             F.lit("anbieter_name,berichtsjahr,strommenge_mwh,hkn_land,hkn_menge_mwh").alias("line"))
         return lines.unionByName(header)
 
+    @cached_property
+    def ledger_data(self) -> DataFrame:
+        """The ledger's data lines; all lines are written once, since their header is looked for first."""
+        stages = Stages(self.spark)
+        return data_lines(stages.write(self.ledger, "lines"), stages)
+
     @cached_property
     def response(self) -> DataFrame:
         key = F.col("id")
@@ -282,7 +291,7 @@ class Views:
         key = F.col("doc_id")
         written = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
         title = F.lit("<title>Titel</title>")
-        link = F.concat(F.lit(" href="), F.when(key % 2 == 0, F.concat(F.lit('"/d/'), _text(key), F.lit('.pdf?a=1&amp;b=2"')))
+        link = F.concat(F.lit(" href="), F.when(key % 2 == 0, F.concat(F.lit('" \n/d/'), _text(key), F.lit('.pdf?a=1&amp;b\t=2\x0b "')))
                         .otherwise(F.concat(F.lit("'../d/"), _text(key), F.lit(".pdf'"))))
         anchor = (
             F.when(key % 5 == 0, F.concat(F.lit('<a title="a > b"'), link, F.lit(">Strommix</a>")))
@@ -298,8 +307,12 @@ class Views:
             .when(key % 6 == 3, F.concat(F.lit("<head>"), title, F.lit('<link rel="x"><base href="https://base.example/b/c?x"><p>'), anchor, F.lit("\t"), written))
             .when(key % 6 == 4, F.concat(F.lit("<noscript>nein</noscript><div><svg><title>Bild</title></svg> "), anchor, F.lit(" "), written))
             .otherwise(F.concat(F.lit("<style>p > b {}</style>&nbsp;&#228;&#xE4;&szlig; "), anchor, F.lit(" "), written, F.lit("&#160;"))))
+        # what stands before the page: empty comments, a comment with another end, a title and a script without a head
+        before = (F.when(key % 4 == 0, "<!-->").when(key % 4 == 1, "<!---><title>Ohne Kopf</title>\n").when(key % 4 == 2, "<!-- > --!> ")
+                  .otherwise("<!doctype html><script>var a = '</head>xy';</script>"))
         return self.table("documents").select(
-            key.alias("page_id"), F.concat(F.lit("https://www.host"), _text(key % 13), F.lit(".de/a/b/c.html")).alias("url"), html.alias("html"))
+            key.alias("page_id"), F.concat(F.lit("https://www.host"), _text(key % 13), F.lit(".de/a/b/c.html")).alias("url"),
+            F.concat(before, html).alias("html"))
 
     @cached_property
     def event(self) -> DataFrame:
@@ -462,19 +475,17 @@ LEFT JOIN v_doc d ON p.id = d.provider_id AND d.reporting_year = 2021 AND d.file
 LEFT JOIN v_mix m ON d.id = m.document_id
 LEFT JOIN v_audit a ON p.id = a.provider_id AND a.year = 2021
 WHERE p.active""",
-    "v_recon": """SELECT *, ist_mwh - soll_mwh AS difference_mwh,
-       CASE WHEN soll_mwh = 0 THEN 0.0 ELSE sign(x) * floor(abs(x) * 100 + 0.5) / 100 END AS deviation_percent,
-       sign(z) * floor(abs(z) * 100 + 0.5) / 100 AS mix_point_diff
-FROM (SELECT *, (ist_mwh - soll_mwh) / nullif(soll_mwh, 0) * 100 AS x,
-             CASE WHEN volume > 0 THEN ist_mwh / nullif(volume, 0) * 100 ELSE 0 END - hkn AS z
-      FROM (SELECT *, hkn / 100 * volume AS soll_mwh
-            FROM (SELECT s.provider_id, provider_name, file_number, document_id, mix_id,
-                         CAST(coalesce(hkn_percentage, 0) AS DOUBLE) AS hkn,
-                         CAST(coalesce(delivered_volume_mwh, 0) AS DOUBLE) AS volume,
-                         CAST(coalesce(t.total, 0) AS DOUBLE) AS ist_mwh,
-                         coalesce(audit_status, 'offen') AS audit_status
-                  FROM v_star s LEFT JOIN (SELECT provider_id, sum(amount_mwh) AS total FROM v_cancellation
-                                           WHERE year = 2021 GROUP BY 1) t ON t.provider_id = s.provider_id)))""",
+    # whole numbers: shares and volumes in hundredths (h, v, i), products in millionths
+    "v_recon": """SELECT provider_id, provider_name, file_number, document_id, mix_id, audit_status, h / 100.0 AS hkn, v / 100.0 AS volume, i / 100.0 AS ist_mwh,
+       CAST(s AS DOUBLE) / 1000000 AS soll_mwh, CAST(i * 10000 - s AS DOUBLE) / 1000000 AS difference_mwh,
+       CASE WHEN s = 0 THEN 0.0 ELSE CAST(sign(i * 10000 - s) * ((2 * abs(i * 10000 - s) * 10000 + s) // (2 * s)) AS DOUBLE) / 100 END AS deviation_percent,
+       CASE WHEN v > 0 THEN CAST(sign(i * 10000 - h * v) * ((2 * abs(i * 10000 - h * v) * 100 + v * 100) // (2 * v * 100)) AS DOUBLE) ELSE CAST(-h AS DOUBLE) END / 100 AS mix_point_diff
+FROM (SELECT *, h * v AS s FROM (
+  SELECT st.provider_id, provider_name, file_number, document_id, mix_id, coalesce(audit_status, 'offen') AS audit_status,
+         CAST(coalesce(hkn_percentage, 0) * 100 AS HUGEINT) AS h, CAST(coalesce(delivered_volume_mwh, 0) * 100 AS HUGEINT) AS v,
+         CAST(coalesce(t.total, 0) * 100 AS HUGEINT) AS i
+  FROM v_star st LEFT JOIN (SELECT provider_id, sum(amount_mwh) AS total FROM v_cancellation
+                            WHERE year = 2021 GROUP BY 1) t ON t.provider_id = st.provider_id))""",
 }
 
 _NAME = re.compile(r"\bv_[a-z_]+\b")
