@@ -25,6 +25,7 @@ from labelspark.llm.wordhash import slices
 SCALE = 1_000_000_000  # shares are counted in billionths
 LEAST_DOCUMENTS = 3
 TOP_TERMS = 200
+COUNTED_BYTES = 16 << 20  # text counted at once
 SHARD_ROWS = 200_000  # counts of a shard, about
 SOURCE_BLOCK = 128  # sources on one side of a shard's matrix
 CELLS = 1 << 19  # cells of a matrix of terms and sources
@@ -56,7 +57,7 @@ def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         columns = [batch.column(c).cast(pa.large_string()) for c in range(3)]
         offsets = np.frombuffer(columns[2].buffers()[1], np.int64)[columns[2].offset:columns[2].offset + len(batch) + 1]
-        for low, high in slices(offsets):  # of bounded length; a longer text by itself
+        for low, high in slices(offsets, COUNTED_BYTES):  # a longer text by itself
             counts = count_terms(*[c.slice(low, high - low) for c in columns])
             for name in ("lang", "source", "term"):
                 at = counts.column_names.index(name)

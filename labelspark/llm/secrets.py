@@ -1,9 +1,10 @@
 """Secret scans with two character Markov models.
 
 Fixed patterns find the plain cases (assignments, access keys, long hexadecimal runs).  Their values are the labelled samples
-of random strings, all other runs of letters and digits those of ordinary identifiers.  Character-pair counts of both are
-taken over the whole corpus, each task reducing its texts to one small table.  A run of any length is reported if its
-log-likelihood ratio exceeds the log odds against a run being a secret.
+of random strings, all other runs of letters and digits those of ordinary identifiers: words, names, numbers.  Every distinct run of
+the whole corpus counts once on its side, however often it occurs; otherwise the ordinary side would be prose, in which digits
+are rare and every number looks random.  A run of any length is reported if its log-likelihood ratio exceeds the log odds
+against a run being a secret.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ from labelspark.llm import wordhash
 
 LOG_ODDS = float(np.log(1e6))  # one run in a million is taken to be a secret
 SMOOTH = 0.5  # added to every character count
-BACK_OFF = 1_000  # pairs' worth of weight of single characters, so that a rare pair says little
+BACK_OFF = (20, 1_000)  # pairs' worth of weight of single characters: ordinary runs, random strings (nearly without memory)
+OFTEN = 8  # occurrences from which a run is evidence for itself
+COUNTED_BYTES = 8 << 20  # text whose runs are reduced to distinct ones at once; a longer text is taken by itself
 
 # The kinds, in their order, and the base patterns.
 KINDS = ("assign", "access", "hex", "markov")
@@ -99,56 +102,82 @@ def _suspects(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.nd
     return np.flatnonzero(found)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pair counts of one task: all runs, and those of random strings."""
+def _distinct_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(run, random): the runs of texts, and those of labelled random strings, each once for every slice of texts."""
     table = symbols()
-    every, random = np.zeros(SIZE * SIZE, np.int64), np.zeros(SIZE * SIZE, np.int64)
     for batch in batches:
         data, offsets = wordhash.utf8(batch.column(0))
-        for low, high in wordhash.slices(offsets):
+        for low, high in wordhash.slices(offsets, COUNTED_BYTES):
             own = offsets[low:high + 1]
-            first, _ = _runs(data, own, table, 1)
-            coded = table[data[own[0]:own[-1]]]
-            before = np.empty_like(coded)
-            before[1:] = coded[:-1]
-            before[first - own[0]] = SIZE - 1
-            inside = coded >= 0
-            every += np.bincount(before[inside] * SIZE + coded[inside], minlength=SIZE * SIZE)
-            for i in _suspects(data, own, table):
-                for value in _values(data[own[i]:own[i + 1]].tobytes().decode()):
-                    for run in RUN.findall(value):
-                        c = table[np.frombuffer(run.encode(), np.uint8)]
-                        random += np.bincount(np.append(SIZE - 1, c[:-1]) * SIZE + c, minlength=SIZE * SIZE)
-    pairs = np.flatnonzero(every + random)
-    yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(every[pairs]), pa.array(random[pairs])],
-                                     names=["pair", "every", "random"])
+            first, last = _runs(data, own, table, 1)
+            text = data[own[0]:own[-1]]
+            kept = np.ascontiguousarray(text[table[text] >= 0])  # the runs one after the other
+            bounds = np.concatenate([[0], np.cumsum(last - first)])
+            runs = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(kept)]).value_counts()
+            random = {run for i in _suspects(data, own, table) for value in _values(data[own[i]:own[i + 1]].tobytes().decode()) for run in RUN.findall(value)}
+            labelled, n = pa.array(sorted(random), pa.large_string()), len(runs)
+            yield pa.RecordBatch.from_arrays([
+                pa.concat_arrays([runs.field("values"), labelled]).cast(pa.string()), pa.array([False] * n + [True] * len(labelled)),
+                pa.concat_arrays([runs.field("counts"), pa.array([0] * len(labelled), pa.int64())])], names=["run", "random", "n"])
 
 
-def train(docs: DataFrame, text_column: str = "text") -> np.ndarray:
-    """Log-likelihood ratios (random to ordinary) of all character pairs; zeros without a labelled random string."""
-    counts = docs.select(text_column).mapInArrow(_count, "pair long, every long, random long")
-    rows = counts.groupBy("pair").agg(F.sum("every").alias("every"), F.sum("random").alias("random")).collect()  # SIZE^2 at most
-    every, random = np.zeros(SIZE * SIZE), np.zeros(SIZE * SIZE)
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pair counts of one task's distinct runs: ordinary ones, those of them that occur often, and random strings."""
+    table = symbols()
+    counts = np.zeros((3, SIZE * SIZE), np.int64)
+    for batch in batches:
+        data, offsets = wordhash.utf8(batch.column(0))
+        random, often = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
+        coded = table[data[offsets[0]:offsets[-1]]]
+        before = np.empty_like(coded)
+        before[1:] = coded[:-1]
+        before[offsets[:-1] - offsets[0]] = SIZE - 1
+        pairs = before * SIZE + coded
+        for side, of in enumerate((~random, ~random & (often >= OFTEN), random)):
+            counts[side] += np.bincount(pairs[np.repeat(of, np.diff(offsets))], minlength=SIZE * SIZE)
+    pairs = np.flatnonzero(counts.sum(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(pairs), *[pa.array(c[pairs]) for c in counts]], names=["pair", "ordinary", "often", "random"])
+
+
+def pair_counts(docs: DataFrame, text_column: str = "text") -> np.ndarray:
+    """How often each character follows another (``SIZE`` - 1: the start): in distinct ordinary runs, in those of them that occur
+    ``OFTEN``, and in distinct random strings.  A run that occurs as a random string anywhere is one everywhere.
+    """
+    runs = docs.select(text_column).mapInArrow(_distinct_runs, "run string, random boolean, n long")
+    runs = runs.groupBy("run").agg(F.max("random").alias("random"), F.sum("n").alias("n"))
+    sides = ("ordinary", "often", "random")
+    counts = runs.mapInArrow(_count, ", ".join(f"{c} long" for c in ("pair", *sides)))
+    rows = counts.groupBy("pair").agg(*[F.sum(c).alias(c) for c in sides]).collect()  # SIZE^2 at most
+    out = np.zeros((3, SIZE * SIZE))
     for r in rows:
-        every[r["pair"]], random[r["pair"]] = r["every"], r["random"]
+        out[:, r["pair"]] = [r[c] for c in sides]
+    return out.reshape(3, SIZE, SIZE)
+
+
+def train(docs: DataFrame, text_column: str = "text") -> np.ndarray:
+    """Log-likelihood ratios (random to ordinary) of all character pairs; zeros without a labelled random string.
+
+    Every ordinary count is less by one, so that a run is no evidence for itself: a secret that nobody has labelled is one of
+    the ordinary runs, and often the only one with its pairs.  Runs that occur ``OFTEN`` keep their count.
+    """
+    ordinary, often, random = pair_counts(docs, text_column)
     if not random.sum():
         return np.zeros((SIZE, SIZE))
-    ordinary = np.maximum(every - random, 0)
 
-    def log_rates(counts: np.ndarray) -> np.ndarray:
+    def log_rates(table: np.ndarray, back_off: int) -> np.ndarray:
         """Pair rates that fall back on single characters where a pair is rare."""
-        table = counts.reshape(SIZE, SIZE)
         single = (table.sum(axis=0) + SMOOTH) / (table.sum() + SMOOTH * SIZE)
-        return np.log((table + BACK_OFF * single) / (table.sum(axis=1, keepdims=True) + BACK_OFF))
+        return np.log((table + back_off * single) / (table.sum(axis=1, keepdims=True) + back_off))
 
-    return log_rates(random) - log_rates(ordinary)
+    return log_rates(random, BACK_OFF[1]) - log_rates(np.maximum(ordinary - 1, often), BACK_OFF[0])
 
 
 def scan(docs: DataFrame, ratios: np.ndarray, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document row: doc_id, spans (array of start, end, kind, score), in order.
 
     Positions count code points, ends are exclusive.  Kind ``markov`` marks runs found by the models alone; they never
-    overlap a base span.  A null text is empty.  Repeated rows each get their own result.
+    overlap a base span.  A null or empty text has no spans; null ids stay.  Repeated rows each get their own result, long texts
+    are read whole, in one piece each; further columns are ignored, and an empty table gives no rows.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = symbols()

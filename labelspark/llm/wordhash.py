@@ -44,11 +44,11 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of values of about ``PIECE_BYTES`` together; at least one value each."""
+def slices(offsets: np.ndarray, size: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
+    """Runs of values of about ``size`` bytes together; at least one value each."""
     low, n = 0, len(offsets) - 1
     while low < n:
-        high = int(np.searchsorted(offsets, offsets[low] + PIECE_BYTES, side="right")) - 1
+        high = int(np.searchsorted(offsets, offsets[low] + size, side="right")) - 1
         high = min(max(high, low + 1), n)
         yield low, high
         low = high

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -60,6 +61,39 @@ def test_empty_table_and_no_samples(frame):
     assert [r.spans for r in scanned(frame([(1, "only_ordinary_identifiers here"), (2, None)]))] == [[], []]
 
 
+def test_counts_equal_plain_ones(frame):
+    """Every distinct run once, on one side."""
+    rows = [(i, fuzz(i, 1 + i % 40)) for i in range(200)] + [(300, None), (301, ""), (302, "abc abc é abc-1"), (302, "abc abc é abc-1"), (303, "f" * 100_000)]
+    random_runs = {r for _, t in rows for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t or "", re.I | re.A)
+                   if len(m[2]) >= 6 for r in re.findall(r"[A-Za-z0-9+/_=-]+", m[2])}
+    for pattern, least in (("AKIA[A-Z0-9]+", 20), ("[0-9a-f]+", 24)):
+        random_runs |= {m[0] for _, t in rows for m in re.finditer(pattern, t or "") if len(m[0]) >= least}
+    every = {r for _, t in rows for r in re.findall(r"[A-Za-z0-9+/_=-]+", t or "")}
+    times = Counter(r for _, t in rows for r in re.findall(r"[A-Za-z0-9+/_=-]+", t or ""))
+    want = np.zeros((3, secrets.SIZE, secrets.SIZE))
+    for run in every | random_runs:
+        codes = [secrets.SIZE - 1, *[secrets.ALPHABET.index(c) for c in run]]
+        for a, b in zip(codes, codes[1:]):
+            want[2 if run in random_runs else 0, a, b] += 1
+            want[1, a, b] += run not in random_runs and times[run] >= secrets.OFTEN
+    assert (secrets.pair_counts(frame(rows)) == want).all() and want.sum(axis=(1, 2)).all()
+
+
+def test_given_table(spark):
+    """Precision and recall where the truth is known: no number, card or phone of the table is a secret; planted strings are."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    ratios = secrets.train(docs)
+    added = [r.text[s.start:s.end] for r in secrets.scan(docs, ratios).join(docs, "doc_id").collect() for s in r.spans if s.kind == "markov"]
+    assert not [a for a in added if re.fullmatch("[0-9/+=_-]+", a)] and len(added) < 10
+    rng, caught = random.Random(7), {}
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for alphabet in (letters, "0123456789abcdef"):
+        for length in (16, 32):
+            texts = [(i, f"und the {''.join(rng.choice(alphabet) for _ in range(length))} wo.") for i in range(200)]
+            caught[len(alphabet), length] = sum(len(r.spans) for r in secrets.scan(spark.createDataFrame(texts, "doc_id long, text string"), ratios).collect()) / 200
+    assert caught[16, 16] > 0.95 and caught[16, 32] > 0.95 and caught[62, 16] > 0.6 and caught[62, 32] > 0.9, caught
+
+
 def test_query(spark):
     folder = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
