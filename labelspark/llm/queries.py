@@ -97,7 +97,9 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in all documents."""
     found = pii.find_personal_data(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [_count("found", k, base_only=True).alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(_joined("found", lambda s: s["base"]), 256).alias("base_sha256"), _joined("found").alias("spans"))
+    n_base = F.size(F.filter("found", lambda s: s["base"])).cast("long")
+    return found.select("doc_id", *counts, F.sha2(_joined("found", lambda s: s["base"]), 256).alias("base_sha256"), _joined("found").alias("spans"),
+                        n_base.alias("n_base"), (F.size("found") - n_base).alias("n_added"))
 
 
 @_query
@@ -107,7 +109,9 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(docs, secrets.train(docs))
     counts = [_count("spans", k).alias(f"n_{k}") for k in secrets.KINDS]
     base = F.sha2(_joined("spans", lambda s: s["kind"] != "markov"), 256)
-    return found.select("doc_id", *counts, base.alias("base_sha256"), _joined("spans").alias("spans"))
+    n_base = F.size(F.filter("spans", lambda s: s["kind"] != "markov")).cast("long")
+    return found.select("doc_id", *counts, base.alias("base_sha256"), _joined("spans").alias("spans"), n_base.alias("n_base"),
+                        (F.size("spans") - n_base).alias("n_added"))
 
 
 @_query
