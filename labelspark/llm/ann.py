@@ -1,9 +1,10 @@
 """Approximate nearest neighbours: one navigable small-world graph with layers per shard, shard results merged.
 
 Equal vectors are one node with its smallest ids (as many as a query can ask for), so a vector that a third of the rows share
-costs one node.  Nodes are dealt to shards of bounded size by a hash of the vector.  A shard's graph is a row of flat arrays:
-for every layer the members and a table of neighbour numbers, -1 where there are fewer.  Building and searching go through the
-graph for many points at once: numpy moves a whole block of beams by one step.
+costs one node.  Nodes are dealt to shards by a hash of the vector; a shard is as large as a task's memory and patience allow, since
+a search visits a share of it that falls as it grows.  A shard's graph is a row of flat arrays: for every layer the members and
+a table of neighbour numbers, -1 where there are fewer.  Building and searching go through the graph for many points at once: numpy
+moves a whole block of beams by one step.  Vectors of different length are in different shards and never meet.
 """
 
 from __future__ import annotations
@@ -16,20 +17,21 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from labelspark.llm.storage import write_table
 
-SHARD_ROWS = 4_000  # nodes of a shard, about
-LINKS = 16  # of a node in upper layers; twice as many in the lowest
-BUILD_BEAM, SEARCH_BEAM = 64, 96
+SHARD_ROWS = 100_000  # nodes of a shard, about: some 60 MB at 64 components, three minutes of building
+LINKS = 24  # of a node in upper layers; twice as many in the lowest
+BUILD_BEAM, SEARCH_BEAM = 96, 160
 STEPS = 4  # nodes expanded in one move
 SEARCH_BLOCK = 256  # beams moved together
-QUERY_BLOCK = 2_048  # queries of a task
+QUERY_BLOCK = 16_384  # queries of a task, which has its own copy of a shard
 
 
-def beam_search(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes and similarities of the best found, best first (-1 where fewer): ``beam`` for each query.
+def beam_search(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes and similarities of the best found, best first (-1 where fewer), ``beam`` for each query; and how many nodes it compared.
 
     ``links``: neighbour numbers by node.  ``entry``: start nodes by query.
     """
     ids = np.full((len(queries), beam), -1, np.int64)
+    visited = np.zeros(len(queries), np.int64)
     near = np.full((len(queries), beam), -np.inf, np.float32)
     for low in range(0, len(queries), SEARCH_BLOCK):
         part = slice(low, low + SEARCH_BLOCK)
@@ -70,7 +72,8 @@ def beam_search(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entr
             order = np.argsort(-all_sim, axis=1, kind="stable")[:, :beam]
             own[active], sim[active], opened[active] = all_ids[a, order], all_sim[a, order], all_open[a, order]
         ids[part, :own.shape[1]], near[part, :own.shape[1]] = own, sim
-    return ids, near
+        visited[part] = seen[:, :-1].sum(axis=1)
+    return ids, near, visited
 
 
 def diverse(points: np.ndarray, base: np.ndarray, candidates: np.ndarray, near: np.ndarray, most: int) -> np.ndarray:
@@ -95,7 +98,7 @@ def diverse(points: np.ndarray, base: np.ndarray, candidates: np.ndarray, near:
 def build_layer(points: np.ndarray, most: int) -> np.ndarray:
     """Neighbour numbers of one layer; points are added in growing blocks, each linked both ways to what is there."""
     n = len(points)
-    links = np.full((n, most), -1, np.int64)
+    links = np.full((n, most), -1, np.int32)
     done = min(n, max(64, 2 * most))
     first = points[:done] @ points[:done].T
     np.fill_diagonal(first, -np.inf)
@@ -105,7 +108,7 @@ def build_layer(points: np.ndarray, most: int) -> np.ndarray:
     while done < n:
         block = np.arange(done, min(n, done + max(64, done // 2)))
         starts = np.broadcast_to(np.linspace(0, done - 1, 8).astype(np.int64), (len(block), 8))
-        ids, near = beam_search(points, links, points[block], starts, BUILD_BEAM)
+        ids, near, _ = beam_search(points, links, points[block], starts, BUILD_BEAM)
         links[block] = diverse(points, block, ids, near, most)
         # the way back: old neighbours and the new points that chose the node, thinned out again
         source, target = np.repeat(block, most), links[block].ravel()
@@ -131,57 +134,66 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _rows(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """A column of lists of one length as a matrix."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    """One list for each array, from its buffer."""
+    bounds = np.concatenate([[0], np.cumsum([v.size for v in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([v.ravel() for v in values])).cast(kind))
+
+
+GRAPH = "width int, shard int, nodes array<long>, vectors array<float>, members array<array<int>>, links array<array<int>>"
+
+
 def _build(table: pa.Table) -> pa.Table:
-    """The graph of one shard as a row of flat arrays: nodes, vectors, and for each layer its members and neighbours."""
-    vectors = np.array(table.column("vector").to_pylist(), np.float64)
-    nodes = table.column("node").to_numpy()
+    """The graph of one shard as a row of flat arrays: nodes, unit vectors, and for each layer its members and neighbours."""
+    width, shard = (table.column(c)[0].as_py() for c in ("width", "shard"))
+    vectors, nodes = _rows(table.column("vector"), width), table.column("node").to_numpy()
     order = np.argsort(nodes, kind="stable")
-    vectors, nodes = vectors[order], nodes[order]
-    points = unit(vectors)
-    members, links = [], []
-    level = np.arange(len(nodes))
+    points, nodes = unit(vectors[order]), nodes[order]
+    members, links, level = [], [], np.arange(len(nodes), dtype=np.int32)
     while True:
-        graph = build_layer(points[level], 2 * LINKS if not members else LINKS)
-        members.append(level.tolist())
-        links.append(graph.ravel().tolist())
+        links.append(build_layer(points[level], 2 * LINKS if not members else LINKS))
+        members.append(level)
         if len(level) <= 2 * LINKS:
             break
         level = np.sort(np.random.default_rng(len(members)).permutation(level)[:max(1, len(level) // LINKS)])
-    return pa.table({"shard": [table.column("shard")[0].as_py()], "nodes": [nodes.tolist()], "width": [vectors.shape[1]],
-                     "vectors": [vectors.ravel().tolist()], "members": [members], "links": [links]},
-                    schema=pa.schema([("shard", pa.int32()), ("nodes", pa.list_(pa.int64())), ("width", pa.int32()),
-                                      ("vectors", pa.list_(pa.float64())), ("members", pa.list_(pa.list_(pa.int64()))),
-                                      ("links", pa.list_(pa.list_(pa.int64())))]))
+    one = lambda lists: pa.ListArray.from_arrays(pa.array([0, len(lists)], pa.int32()), lists)
+    return pa.table({"width": pa.array([width], pa.int32()), "shard": pa.array([shard], pa.int32()), "nodes": _lists([nodes], pa.int64()),
+                     "vectors": _lists([points], pa.float32()), "members": one(_lists(members, pa.int32())), "links": one(_lists(links, pa.int32()))})
 
 
-def search_shard(shard: dict, queries: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and similarities of the best nodes of a shard for unit vectors ``queries``, from the top layer down."""
-    points = unit(np.array(shard["vectors"], np.float64).reshape(-1, shard["width"]))
+def search_shard(points: np.ndarray, members: list[np.ndarray], links: list[np.ndarray], queries: np.ndarray,
+                 most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and similarities of the best nodes of a shard for unit vectors ``queries``, from the top layer down; and how many
+    nodes of the lowest layer each query was compared with."""
     entry = None
-    for layer in reversed(range(len(shard["members"]))):
-        members = np.array(shard["members"][layer], np.int64)
-        links = np.array(shard["links"][layer], np.int64).reshape(len(members), -1)
-        own = np.zeros((len(queries), 1), np.int64) if entry is None else np.searchsorted(members, entry)
+    for layer in reversed(range(len(members))):
+        own = np.zeros((len(queries), 1), np.int64) if entry is None else np.searchsorted(members[layer], entry)
         beam = SEARCH_BEAM if layer == 0 else 8
-        ids, near = beam_search(points[members], links, queries, own, max(beam, most))
+        near_points = points[members[layer]] if layer else points
+        ids, near, visited = beam_search(near_points, links[layer].reshape(len(members[layer]), -1), queries, own, max(beam, most))
         if layer:
             kept = ids[:, :4]
-            entry = members[np.where(kept >= 0, kept, kept[:, :1])]
-    return ids[:, :most], near[:, :most]
+            entry = members[layer][np.where(kept >= 0, kept, kept[:, :1])]
+    return ids[:, :most], near[:, :most], visited
 
 
 def _searcher(most: int) -> Callable:
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = {"query_id": [], "node": [], "shard": []}
+        found = {"query_id": [], "node": []}
         if left.num_rows and right.num_rows:
-            shard = left.to_pylist()[0]
-            vectors = np.array(right.column("vector").to_pylist(), np.float64)
-            ids, _ = search_shard(shard, unit(vectors), most)
-            query = np.repeat(right.column("query_id").to_numpy(), ids.shape[1])
-            found = ids.ravel() >= 0
-            nodes = np.array(shard["nodes"], np.int64)[ids.ravel()[found]]
-            empty = {"query_id": query[found], "node": nodes, "shard": np.full(len(nodes), shard["shard"])}
-        return pa.table(empty, schema=pa.schema([("query_id", pa.int64()), ("node", pa.int64()), ("shard", pa.int32())]))
+            width = left.column("width")[0].as_py()
+            members, links = ([layer.values.to_numpy() for layer in left.column(c)[0].values] for c in ("members", "links"))
+            points = _rows(left.column("vectors"), width)
+            ids, _, _ = search_shard(points, members, links, unit(_rows(right.column("vector"), width)), most)
+            held = ids.ravel() >= 0
+            nodes = left.column("nodes")[0].values.to_numpy()
+            found = {"query_id": np.repeat(right.column("query_id").to_numpy(), ids.shape[1])[held], "node": nodes[ids.ravel()[held]]}
+        return pa.table(found, schema=pa.schema([("query_id", pa.int64()), ("node", pa.int64())]))
     return run
 
 
@@ -192,42 +204,44 @@ def usable(vector: str) -> Column:
     return v.isNotNull() & F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def index_vectors(vectors: DataFrame, id_column: str, vector_column: str, most: int) -> tuple[DataFrame, DataFrame, int]:
-    """(nodes, graphs, shards): nodes have node, vector, ids (the smallest ``most`` + 1); graphs a row per shard.
+def _vectors(rows: DataFrame, id_column: str, vector_column: str, name: str) -> DataFrame:
+    """Distinct (id, vector) of the rows that take part."""
+    kept = rows.where(usable(vector_column)).where(F.col(id_column).isNotNull())
+    return kept.select(F.col(id_column).cast("long").alias(name), F.transform(vector_column, lambda x: x.cast("double") + 0.0).alias("vector")).distinct()
+
+
+def index_vectors(vectors: DataFrame, id_column: str, vector_column: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes, graphs): nodes have node, vector, ids (the smallest ``most`` + 1); graphs a row per length of vectors and shard.
 
     More ids of one vector cannot appear in a result: ties go to smaller ids, and only the query's own id is left out.
     """
-    rows = vectors.where(usable(vector_column)).where(F.col(id_column).isNotNull()).select(
-        F.col(id_column).cast("long").alias("id"), F.transform(vector_column, lambda x: x.cast("double") + 0.0).alias("vector")).distinct()
     by_id = Window.partitionBy("vector").orderBy("id")
-    few = rows.withColumn("turn", F.row_number().over(by_id)).where(F.col("turn") <= most + 1)
+    few = _vectors(vectors, id_column, vector_column, "id").withColumn("turn", F.row_number().over(by_id)).where(F.col("turn") <= most + 1)
     nodes = few.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     # an id may repeat with other vectors, so nodes are named by the vector's hash; two vectors of one hash are both scored
-    nodes = write_table(nodes.withColumn("node", F.xxhash64("vector")), "ann_nodes")
-    shards = max(1, round(nodes.count() / SHARD_ROWS))
-    nodes = nodes.withColumn("shard", F.pmod("node", F.lit(shards)).cast("int"))
-    shape = "shard int, nodes array<long>, width int, vectors array<double>, members array<array<long>>, links array<array<long>>"
-    graphs = write_table(nodes.select("shard", "node", "vector").groupBy("shard").applyInArrow(_build, shape), "ann_graphs")
-    return nodes.select("node", "vector", "ids", "shard"), graphs, shards
+    nodes = write_table(nodes.withColumn("node", F.xxhash64("vector")).withColumn("width", F.size("vector")), "ann_nodes")
+    shards = nodes.groupBy("width").agg(F.greatest(F.lit(1), F.round(F.count("*") / SHARD_ROWS)).cast("int").alias("shards"))
+    dealt = nodes.join(write_table(shards, "ann_shards"), "width").withColumn("shard", F.expr("cast(pmod(node, shards) as int)"))
+    graphs = dealt.select("width", "shard", "node", "vector").groupBy("width", "shard").applyInArrow(_build, GRAPH)
+    return nodes.select("node", "vector", "ids"), write_table(graphs, "ann_graphs")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, most: int = 5, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the nearest found by cosine, in double precision, ties to smaller ids.
 
-    ``queries``: rows of the same columns; a query's own id is no candidate.  Vectors that are null, zero or hold null or
-    non-finite components take no part, nor do null ids; all vectors must have one length.  Repeated rows count once.
+    ``queries``: rows of the same columns; a query's own id is no candidate.  Vectors that are null, empty, zero or hold null or
+    non-finite components take no part, nor do null ids.  A query's candidates are the vectors of its own length.  Repeated rows
+    count once; further columns are ignored; empty tables give no rows.
     """
-    nodes, graphs, shards = index_vectors(vectors, id_column, vector_column, most)
-    asked = queries.where(usable(vector_column)).where(F.col(id_column).isNotNull()).select(
-        F.col(id_column).cast("long").alias("query_id"), F.transform(vector_column, lambda x: x.cast("double") + 0.0).alias("vector")).distinct()
-    asked = write_table(asked, "ann_queries")
+    nodes, graphs = index_vectors(vectors, id_column, vector_column, most)
+    asked = write_table(_vectors(queries, id_column, vector_column, "query_id").withColumn("width", F.size("vector")), "ann_queries")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
     spread = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    dealt = asked.withColumn("block", block).withColumn("shard", every)
-    found = spread.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInArrow(
-        _searcher(most + 1), "query_id long, node long, shard int")
+    dealt = asked.withColumn("block", block).join(graphs.select("width", "shard"), "width")
+    by = ["width", "shard", "block"]
+    found = spread.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInArrow(_searcher(most + 1), "query_id long, node long")
+    asked = asked.drop("width")
     pairs = found.join(asked, "query_id").join(nodes.select("node", "ids", F.col("vector").alias("other")), "node")
     dot = F.aggregate(F.zip_with("vector", "other", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))

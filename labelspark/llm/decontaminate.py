@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from labelspark.llm import wordhash
+from labelspark.llm.order import packed, unpacked
 from labelspark.llm.storage import write_table
 
 WINDOW = 13
@@ -167,10 +168,13 @@ def contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
 def decontaminate(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not contaminated.
 
-    The contaminated ones are anti-joined by id and text; Spark's own size check decides whether they are broadcast.
+    The contaminated ones are anti-joined by id and text; Spark's own size check decides whether they are broadcast.  Null ids and
+    texts stay unless they match; repeated rows stay or go together; long texts are read whole; columns may have any name; an empty table
+    gives no rows.
     """
     marks = contamination(docs, items, id_column, text_column)
     gone = write_table(marks.where("contaminated").select("doc_id", "text_key").distinct(), "contaminated")
-    marked = docs.withColumn("_text_key", F.xxhash64(text_column))
-    match = marked[id_column].cast("long").eqNullSafe(gone["doc_id"]) & (marked["_text_key"] == gone["text_key"])
-    return marked.join(gone, match, "left_anti").drop("_text_key")
+    row = F.col("row")
+    marked = packed(docs).select("row", row.getField(id_column).cast("long").alias("m_id"), F.xxhash64(row.getField(text_column)).alias("m_key"))
+    match = marked["m_id"].eqNullSafe(gone["doc_id"]) & (marked["m_key"] == gone["text_key"])
+    return unpacked(marked.join(gone, match, "left_anti"), docs.columns)

@@ -5,8 +5,8 @@ time is the number of tokens of its queue up to its end, divided by the weight o
 are range-sorted by that time, and the mix ends where the total budget is used up.  A queue that runs dry leaves its share
 to the others in proportion to their weights, so the targets need no special treatment in the sort.
 
-Running totals within a source are prefix sums in two levels (slices of the shuffled order, then rows of a slice), and those
-over the sorted copies likewise (sorted partitions, then rows): no source and no order is ever in one task.
+Running totals within a source are prefix sums in two levels (sorted partitions of the shuffled order, then rows of one), and those
+over the sorted copies likewise: no source, no id and no order is ever in one task.
 """
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ from math import lcm
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from labelspark.llm.order import packed, unpacked
 from labelspark.llm.storage import write_table
 
 WEIGHTS = (5, 2, 1)  # by source in code-point order, repeating
 MOST_COPIES = 3
-SLICE_ROWS = 5_000  # rows of a slice of the shuffled order, about
 SEED = "mix"
 
 
@@ -67,19 +67,20 @@ def fair_mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(source_column).alias("source"), size.alias("size"),
                        key.alias("key"), F.xxhash64(text_column).alias("text_key"))
     rows = write_table(rows, "mix_rows")
-    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     budget = total if budget is None else budget
-    slices = 1 + n // SLICE_ROWS
-    rows = rows.withColumn("slice", F.floor(F.conv(F.substring("key", 1, 7), 16, 10).cast("long") * slices / (1 << 28)))
-    by_slice = write_table(rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size")), "mix_slices")
+    # The shuffled order of each source, range-sorted; rows of one id or with equal texts do not gather either.
+    order = ["key", "doc_id", "text_key", "size", "tie"]
+    rows = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange("source", *order)
+    rows = write_table(rows.withColumn("slice", F.spark_partition_id()), "mix_slices")  # written once, so the numbers hold
+    by_slice = write_table(rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size")), "mix_sizes")
     sources = source_targets(by_slice.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights, most)
     sources = write_table(sources, "mix_sources")
 
     bases = _prefix(by_slice, ["source"], ["slice"], "slice_size").select(
         F.col("source").alias("s"), F.col("slice").alias("l"), "base")
     placed = rows.join(bases, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("l")))
-    within = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size", "text_key").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("source", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("reached", F.col("base") + F.sum("size").over(within))
     named = sources.select(F.col("source").alias("s2"), "source_size", "weight", "place", "target")
     placed = placed.join(named, F.col("source").eqNullSafe(F.col("s2")))
@@ -106,15 +107,19 @@ def fair_mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
 
 def mix_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """The documents of the mix, each row as often as it is taken, with all columns of ``docs``."""
-    plan = fair_mix(docs, id_column, text_column, source_column).where("copies > 0").select(
-        F.col("doc_id").alias("_id"), "text_key", F.col("source").alias("_source"), "copies")
-    order = Window.partitionBy("_id", "text_key", "_source").orderBy(F.desc("copies"))
-    plan = plan.withColumn("turn", F.row_number().over(order))
-    marked = docs.withColumn("_text_key", F.xxhash64(text_column)).withColumn("_key", F.col(id_column).cast("long"))
-    own = Window.partitionBy("_key", "_text_key", source_column).orderBy(F.lit(1))
-    marked = marked.withColumn("_turn", F.row_number().over(own))
-    match = (F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("text_key"))
-             & F.col(source_column).eqNullSafe(F.col("_source")) & (F.col("_turn") == F.col("turn")))
-    repeated = marked.join(plan, match).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return repeated.select(*docs.columns)
+    """The documents of the mix, each row as often as it is taken, with all columns of ``docs``, whatever their names.
+
+    Null ids, texts and sources take part; of repeated rows (one id, text and source) as many stay as the mix takes.  An empty table
+    gives no rows; texts are read whole.
+    """
+    plan = fair_mix(docs, id_column, text_column, source_column).where("copies > 0")
+    order = Window.partitionBy("doc_id", "text_key", "source").orderBy(F.desc("copies"))
+    plan = plan.select("doc_id", "text_key", "source", "copies", F.row_number().over(order).alias("turn"))
+    row = F.col("row")
+    marked = packed(docs).select("row", row.getField(id_column).cast("long").alias("m_id"), F.xxhash64(row.getField(text_column)).alias("m_key"),
+                                 row.getField(source_column).alias("m_source"))
+    marked = marked.withColumn("m_turn", F.row_number().over(Window.partitionBy("m_id", "m_key", "m_source").orderBy(F.lit(1))))
+    match = (F.col("m_id").eqNullSafe(F.col("doc_id")) & (F.col("m_key") == F.col("text_key"))
+             & F.col("m_source").eqNullSafe(F.col("source")) & (F.col("m_turn") == F.col("turn")))
+    repeated = marked.join(plan, match).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return unpacked(repeated, docs.columns)

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from labelspark.llm import wordhash
 from labelspark.llm.graph import components
+from labelspark.llm.order import packed, unpacked
 from labelspark.llm.storage import write_table
 
 SHINGLE = 5
@@ -269,8 +270,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one of each near-duplicate group, and every row without words.
 
-    Of a group the row with the smallest id stays (null ids last).  Fewer rows go than stay, so the rows that go are
-    anti-joined; Spark's own size check decides whether they are broadcast.
+    Of a group the row with the smallest id stays (null ids last), of repeated rows one.  Fewer rows go than stay, so the rows that
+    go are anti-joined; Spark's own size check decides whether they are broadcast.  Columns of ``docs`` may have any name; an empty
+    table gives no rows.
     """
     groups = write_table(near_duplicates(docs, id_column, text_column).where("n_shingles > 0"), "groups")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_key")).alias("best")
@@ -281,16 +283,17 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     repeated = members.where(is_best).groupBy("doc_id", "text_key").count().where("count > 1")
     repeated = write_table(repeated.select("doc_id", "text_key"), "repeated")
 
-    marked = docs.withColumn("_text_key", F.xxhash64(text_column))
+    row = F.col("row")
+    marked = packed(docs).select("row", row.getField(id_column).cast("long").alias("m_id"), F.xxhash64(row.getField(text_column)).alias("m_key"))
 
     def match(side: DataFrame):
-        return marked[id_column].cast("long").eqNullSafe(side["doc_id"]) & (marked["_text_key"] == side["text_key"])
+        return marked["m_id"].eqNullSafe(side["doc_id"]) & (marked["m_key"] == side["text_key"])
 
     stay = marked.join(gone, match(gone), "left_anti")
     if not repeated.isEmpty():  # rows given several times
-        once = stay.join(repeated, match(repeated), "left_semi").dropDuplicates([id_column, "_text_key"])
+        once = stay.join(repeated, match(repeated), "left_semi").dropDuplicates(["m_id", "m_key"])
         stay = stay.join(repeated, match(repeated), "left_anti").unionByName(once)
-    return stay.drop("_text_key")
+    return unpacked(stay, docs.columns)
 
 
 def _open_sets(source: DataFrame, sketch: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:

@@ -9,6 +9,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 from labelspark.llm.storage import write_table
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """``df`` as one struct column ``row``, so that no name of its columns meets a name of an operator."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def unpacked(df: DataFrame, columns: list[str], *more: str) -> DataFrame:
+    """The named columns of ``row``, and more."""
+    return df.select(*[F.col("row").getField(c).alias(c) for c in columns], *more)
+
+
 def numbered(df: DataFrame, groups: list[str], order: list[str], name: str, start: int = 0) -> DataFrame:
     """``df`` with a column ``name``: gapless numbers from ``start`` within each group, in the given order.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from labelspark.llm.order import numbered
+from labelspark.llm.order import numbered, packed, unpacked
 
 SHARDS = 24
 # Fixed values of the published generator: multiplier (increment 1) and the scale of a jump.
@@ -75,13 +75,16 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, id_column: str = "doc_id",
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with shard and slot, in the order of shards and slots."""
-    plan = shard_rows(docs, shards, id_column, text_column).select(
-        F.col("doc_id").alias("_id"), "text_key", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    plan = plan.withColumn("turn", F.row_number().over(Window.partitionBy("_id", "text_key").orderBy("_slot")))
-    marked = docs.withColumn("_text_key", F.xxhash64(text_column)).withColumn("_key", F.col(id_column).cast("long"))
-    marked = marked.withColumn("_turn", F.row_number().over(Window.partitionBy("_key", "_text_key").orderBy(F.lit(1))))
-    match = (F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("text_key")) & (F.col("_turn") == F.col("turn")))
-    joined = marked.join(plan, match).select(*[F.col(c) for c in docs.columns if c not in ("shard", "slot")],
-                                             F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
+    """``docs`` with shard and slot (in place of columns of these names), in the order of shards and slots.
+
+    Other columns may have any name.  Null ids share a shard, null texts are empty; repeated rows take a slot each, in any order.
+    An empty table gives no rows.
+    """
+    plan = shard_rows(docs, shards, id_column, text_column).select("doc_id", "text_key", "shard", "slot")
+    plan = plan.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("slot")))
+    row = F.col("row")
+    marked = packed(docs).select("row", row.getField(id_column).cast("long").alias("m_id"), F.xxhash64(row.getField(text_column)).alias("m_key"))
+    marked = marked.withColumn("m_turn", F.row_number().over(Window.partitionBy("m_id", "m_key").orderBy(F.lit(1))))
+    match = (F.col("m_id").eqNullSafe(F.col("doc_id")) & (F.col("m_key") == F.col("text_key")) & (F.col("m_turn") == F.col("turn")))
+    joined = unpacked(marked.join(plan, match), [c for c in docs.columns if c not in ("shard", "slot")], "shard", "slot")
     return joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")

@@ -2,29 +2,41 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from labelspark import stage
+
+_scopes: list[list[str]] = []  # the tables written in each open ``scratch``
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``.
+    """A fresh folder below ``spark.checkpoint.dir`` (see ``stage.shared_folder``)."""
+    return f"{stage.shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
-    Where that setting is missing, a local session (tests) gets a temporary folder of its own; on a cluster such a
-    folder would be invisible to other machines, so there it is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="labelspark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
+def write_table(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors.
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    The table goes with the ``scratch`` that is open (not with ``keep``), else when the driver ends.
+    """
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
+    stage.delete_at_exit(df.sparkSession, path)
+    if _scopes and not keep:
+        _scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables written inside as soon as it is left; results that read them must be written before."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            stage.delete(spark, path)

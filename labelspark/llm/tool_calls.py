@@ -1,8 +1,9 @@
 """Tool calls and their results: linked, ordered, validated, and written as canonical JSON.
 
 Everything is column expressions and joins: calls and results meet in a hash join on conversation, identifier and occurrence;
-levels of the order come from joins along references, chains first by doubling; arguments are parsed once into a variant, whose fields are kept in the
-order of their names, so writing it gives canonical JSON.
+levels of the order come from joins along references, chains first by doubling; arguments are parsed into a variant, whose fields are
+kept in the order of their names, so writing it gives canonical JSON.  Numbers pass through the variant as marked strings, so
+that none loses a digit, and are written in one form.
 """
 
 from __future__ import annotations
@@ -15,21 +16,71 @@ from labelspark.llm.storage import write_table
 # Tool -> parameter -> (type, required).  Types are those of JSON.
 Schemas = dict[str, dict[str, tuple[str, bool]]]
 
-# What a variant calls the types of JSON.
-TYPES = {
-    "string": "STRING", "boolean": "BOOLEAN", "integer": "BIGINT", "number": "BIGINT|DOUBLE|DECIMAL[(].*[)]",
-    "object": "OBJECT<.*>", "array": "ARRAY<.*>",
-}
+# What a variant calls the types of JSON that have one name there.
+TYPES = {"boolean": "BOOLEAN", "object": "OBJECT<.*>", "array": "ARRAY<.*>"}
+# Fixed value: strings, numbers, and what stands between them in a JSON text.
+TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|[^"0-9-]+|-'
+# Numbers go through the variant as strings that begin with this mark; given strings that begin so get one more control character.
+MARK = r"\u0001"
+PLAIN_DIGITS = 40  # numbers of up to so many places before or after the point are written out
+
+
+def number_form(text: Column) -> Column:
+    """The one form of a JSON number, by its exact value: no leading or trailing zeros, no sign of zero, written out up to
+    ``PLAIN_DIGITS`` places, beyond that as d.ddde[-]x.  An exponent that is no 64-bit number stays as it is."""
+    unsigned = F.regexp_replace(text, "^-", "")
+    part = lambda i: F.regexp_extract(unsigned, r"^([0-9]+)(?:\.([0-9]+))?(?:[eE]\+?(-?[0-9]+))?$", i)
+    every = F.concat(part(1), part(2))
+    lead = F.length(every) - F.length(F.regexp_replace(every, "^0+", ""))
+    digits = F.regexp_replace(F.regexp_replace(every, "^0+", ""), "0+$", "")
+    exponent = F.when(part(3) == "", F.lit("0")).otherwise(part(3)).try_cast("bigint")
+    point = exponent + F.length(part(1)) - lead  # places before the point
+    n, within = F.length(digits), point.between(-PLAIN_DIGITS, PLAIN_DIGITS)
+    places = F.when(within, point.cast("int")).otherwise(0)
+    written = (
+        F.when(~within, F.concat(F.left(digits, F.lit(1)), F.when(n > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(""),
+                                 F.lit("e"), (point - 1).cast("string")))
+        .when(places <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -places), digits))
+        .when(n <= places, F.concat(digits, F.repeat(F.lit("0"), places - n)))
+        .otherwise(F.concat(F.left(digits, places), F.lit("."), F.substr(digits, places + 1))))
+    return F.when(exponent.isNull(), text).when(digits == "", "0").otherwise(F.concat(F.when(text.startswith("-"), "-").otherwise(""), written))
+
+
+def marked(text: Column) -> Column:
+    """A JSON text whose numbers are marked strings in their one form; null where a number stands for a key."""
+    simple = lambda t: t.rlike("^(?:0|-?[1-9][0-9]{0,39})$")
+    number = lambda t: F.concat(F.lit(f'"{MARK}#'), F.when(simple(t), t).otherwise(number_form(t)), F.lit('"'))
+    out = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: (
+        F.when(t.startswith(f'"{MARK}'), F.concat(F.lit(f'"{MARK}'), F.substr(t, F.lit(2))))
+        .when(t.rlike("^-?(?:0|[1-9][0-9]*)(?:[.eE]|$)"), number(t)).otherwise(t))), "")
+    has_number = text.rlike("[0-9]")
+    key = out.rlike(rf'(?<!\\)"\{MARK}#[^"]*"\s*:')
+    return F.when(~has_number, text).when(~key, out)
 
 
 def canonical(text: Column) -> Column:
-    """The JSON text with sorted keys and without white space; null if it is no JSON or repeats a key."""
-    return F.to_json(F.try_parse_json(text))
+    """The JSON text with sorted keys, without white space, numbers in one form; null if it is no JSON or repeats a key."""
+    return _written(F.try_parse_json(marked(text)))
+
+
+def _written(parsed: Column) -> Column:
+    """A variant of marked numbers as text."""
+    numbers = F.regexp_replace(F.to_json(parsed), rf'(?<!\\)"\{MARK}#([^"]*)"', "$1")
+    return F.regexp_replace(numbers, rf'(?<!\\)"\{MARK}\{MARK}', rf'"\{MARK}')
+
+
+def references(text: Column) -> Column:
+    """The identifiers in ``{"$ref": "id"}`` of a canonical JSON text, decoded."""
+    found = F.regexp_extract_all(text, F.lit(r'\{"\$ref":("[^"\\]*+(?:\\.[^"\\]*+)*+")\}'), F.lit(1))
+    return F.from_json(F.concat(F.lit("["), F.array_join(found, ","), F.lit("]")), "array<string>")
 
 
 def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column:
-    """What is wrong with a call, as an array of messages in the order of tools and parameters."""
-    parsed = F.try_parse_json(arguments)
+    """What is wrong with a call, as an array of messages in the order of tools and parameters.
+
+    An integer is a number without a fractional part, however it is written and however many digits it has.
+    """
+    parsed = F.try_parse_json(marked(arguments))
     keys = F.json_object_keys(arguments)
     found = [F.when(parsed.isNull() | keys.isNull(), F.lit("arguments are no object")),
              F.when(name.isNull() | ~name.isin(list(schemas)), F.lit("unknown tool"))]
@@ -38,7 +89,15 @@ def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column
         here = readable & (name == tool)
         for parameter, (kind, required) in parameters.items():
             value = F.try_variant_get(parsed, f"$.{parameter}", "variant")
-            fits = F.schema_of_variant(value).rlike(f"^({TYPES[kind]})$")
+            sort, text = F.schema_of_variant(value), F.try_variant_get(parsed, f"$.{parameter}", "string")
+            number = (sort == "STRING") & text.startswith("\x01#")
+            form = F.substr(text, F.lit(3))
+            places = F.regexp_extract(form, r"^-?[0-9](?:\.([0-9]+))?e[0-9]+$", 1)
+            whole = form.rlike("^-?[0-9]+$") | (form.rlike("^-?[0-9](?:[.][0-9]+)?e[0-9]+$") & (
+                F.length(places) <= F.regexp_extract(form, "e([0-9]+)$", 1).try_cast("bigint")))
+            fits = {"string": (sort == "STRING") & ~number, "number": number, "integer": number & whole}.get(kind)
+            if fits is None:
+                fits = sort.rlike(f"^({TYPES[kind]})$")
             if required:
                 found.append(F.when(here & ~F.array_contains(keys, parameter), F.lit(f"{parameter} is missing")))
             found.append(F.when(here & F.array_contains(keys, parameter) & ~F.coalesce(fits, F.lit(False)),
@@ -106,15 +165,16 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
     The n-th call of an identifier in a conversation belongs to its n-th result.  A string argument ``{"$ref": "id"}`` refers
     to an earlier result; ``position`` numbers a conversation's rows from 0 by level (what a call refers to comes first; calls
     whose references are missing or circular, with an error, and orphans, come last), then turn, then identifier.  ``record``
-    is canonical JSON; arguments that are no JSON are null there.  Null identifiers link with nothing; null conversations
-    count as one.  Other columns are ignored; empty tables give no rows.
+    is canonical JSON with numbers in one form (see ``number_form``); arguments that are no JSON are null there.  Null identifiers
+    link with nothing; null conversations count as one.  Repeated rows are further occurrences, in any order; long texts are read
+    whole.  Other columns are ignored; empty tables give no rows.  Levels of calls with several references take a round of joins each.
     """
     c = calls.select("conv_id", "turn", "call_id", "name", "arguments")
     r = results.select("conv_id", "turn", "call_id", "content")
     c = numbered(c, ["conv_id", "call_id"], ["turn"], "occurrence")
-    refs = F.regexp_extract_all(F.to_json(F.try_parse_json("arguments")), F.lit(r'\{"\$ref":"([^"]+)"\}'), F.lit(1))
-    c = c.withColumn("refs", F.coalesce(refs, F.array().cast("array<string>"))).withColumn("row", F.monotonically_increasing_id())
-    c = write_table(c, "calls")
+    c = c.withColumn("args", canonical(F.col("arguments"))).withColumn("wrong", argument_errors(F.col("name"), F.col("arguments"), schemas))
+    c = c.withColumn("refs", F.coalesce(references(F.col("args")), F.array().cast("array<string>"))).drop("arguments")
+    c = write_table(c.withColumn("row", F.monotonically_increasing_id()), "calls")
     r = numbered(r, ["conv_id", "call_id"], ["turn"], "occurrence").select(
         F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_id"), F.col("occurrence").alias("r_occurrence"),
         F.col("turn").alias("result_turn"), "content")
@@ -122,11 +182,9 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
     match = (F.col("conv_id").eqNullSafe(F.col("r_conv")) & (F.col("call_id") == F.col("r_id")) & (F.col("occurrence") == F.col("r_occurrence")))
     linked = leveled.join(r, match, "full_outer")
     is_call, has_result = F.col("row").isNotNull(), F.col("r_occurrence").isNotNull()
-    errors = F.when(is_call, F.array_compact(F.concat(
-        argument_errors(F.col("name"), F.col("arguments"), schemas),
-        F.array(F.when(F.col("level").isNull(), F.lit("reference is missing or circular"))))))
-    record = F.to_json(F.struct(F.try_parse_json("arguments").alias("arguments"), F.col("call_id").alias("id"), "name",
-                                F.col("content").alias("result")), {"ignoreNullFields": "false"})
+    errors = F.when(is_call, F.concat("wrong", F.array_compact(F.array(F.when(F.col("level").isNull(), F.lit("reference is missing or circular"))))))
+    rest = F.to_json(F.struct(F.col("call_id").alias("id"), "name", F.col("content").alias("result")), {"ignoreNullFields": "false"})
+    record = F.concat(F.lit('{"arguments":'), F.coalesce("args", F.lit("null")), F.lit(","), F.substr(rest, F.lit(2)))
     out = linked.select(
         F.when(is_call, F.col("conv_id")).otherwise(F.col("r_conv")).alias("conv_id"), F.coalesce("call_id", "r_id").alias("call_id"),
         F.coalesce("occurrence", "r_occurrence").alias("occurrence"), "name", F.col("turn").alias("call_turn"), "result_turn",

@@ -183,6 +183,12 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that score below 0.5."""
-    model = train(docs, labels)
-    return model.score(docs, name="_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+    """The documents that score below 0.5.
+
+    Null and empty texts are scored like any other (by the prior alone), null ids stay, repeated rows get the same score each, long
+    texts are read whole.  Columns may have any name; an empty table gives no rows.
+    """
+    name = "_toxicity"
+    while name in docs.columns:
+        name += "_"
+    return train(docs, labels).score(docs, name=name).where(F.col(name) < 0.5).drop(name)

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from labelspark.llm import ann
@@ -14,7 +15,7 @@ def brute(rows, queries, most):
         if q in queries:
             best = {}
             for (k, _), b in usable.items():
-                if k != q:
+                if k != q and len(a) == len(b):
                     s = float(sum(x * y for x, y in zip(a, b)) / (np.sqrt(sum(x * x for x in a)) * np.sqrt(sum(y * y for y in b))))
                     best[k] = max(s, best.get(k, -2))
             out[q] = sorted(best.items(), key=lambda kv: (-kv[1], kv[0]))[:most]
@@ -45,6 +46,32 @@ def test_small_table_is_exact(spark):
     assert all(abs(s - t) < 1e-12 for q in want for (_, s), (_, t) in zip(got[q], want[q]))
 
 
+def test_vectors_of_different_length_never_meet(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD_ROWS", 20)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=3 + i % 3).astype(np.float32).tolist()) for i in range(150)] + [(200, []), (201, [1.0]), (202, [-2.0]), (203, [5.0] * 90)]
+    got, want = found(spark, rows, "vec_id % 4 = 0 or vec_id > 199"), brute(rows, {i for i in range(300) if i % 4 == 0 or i > 199}, 5)
+    assert {q: [k for k, _ in v] for q, v in got.items()} == {q: [k for k, _ in v] for q, v in want.items() if v}
+
+
+def test_a_search_visits_part_of_a_shard():
+    """The hardest vectors, without any structure, and clustered ones; the share falls as a shard grows (figures in the README)."""
+    rng = np.random.default_rng(3)
+    gaussian = rng.standard_normal((10_000, 32))
+    clustered = rng.standard_normal((60, 32))[rng.integers(0, 60, 10_000)] + 0.5 * rng.standard_normal((10_000, 32))
+    for vectors, most_visited in ((gaussian, 0.35), (clustered, 0.2)):
+        table = pa.table({"width": pa.array([32] * 10_000), "shard": pa.array([0] * 10_000), "node": pa.array(np.arange(10_000)), "vector": pa.array(vectors.tolist())})
+        graph = ann._build(table)
+        members, links = ([layer.values.to_numpy() for layer in graph.column(c)[0].values] for c in ("members", "links"))
+        points = ann._rows(graph.column("vectors"), 32)
+        asked = np.arange(0, 10_000, 100)
+        ids, _, visited = ann.search_shard(points, members, links, points[asked], 6)
+        near = points[asked] @ points.T
+        want = np.argsort(-near, axis=1)[:, :6]
+        assert np.mean([len(set(a) & set(b)) / 6 for a, b in zip(ids.tolist(), want.tolist())]) >= 0.95
+        assert visited.mean() < most_visited * 10_000, visited.mean()
+
+
 def test_fewer_candidates_than_asked(spark):
     assert found(spark, [(1, [1.0, 0.0]), (2, [1.0, 1.0])], "vec_id = 1") == {1: [(2, pytest.approx(2 ** -0.5))]}
     assert found(spark, [(1, [1.0, 0.0])], "true") == {} and found(spark, [], "true") == {}

@@ -61,7 +61,6 @@ def rows(words):
 def test_equals_the_plain_queue(frame, rows, monkeypatch):
     want, size, target = plain(rows)
     assert result(frame(rows, SCHEMA)) == want
-    monkeypatch.setattr(mixing, "SLICE_ROWS", 10)  # many slices
     assert result(frame(rows, SCHEMA)) == want
     for s in size:  # a source misses its target by its longest document at most
         taken = sum(w[4] for w, r in zip(want, sorted([(k, len(WORD.findall(t or "")), x) for k, t, x in rows], key=repr)) if r[2] == s)

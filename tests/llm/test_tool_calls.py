@@ -1,8 +1,6 @@
 import json
 import random
 
-import pytest
-
 from labelspark.llm import tool_calls
 from labelspark.llm.queries import QUERIES
 
@@ -36,7 +34,7 @@ def test_links_levels_and_positions(spark):
         assert sorted(r.position for r in rows if r.conv_id == conv) == list(range(sum(r.conv_id == conv for r in rows)))
 
 
-@pytest.mark.parametrize("name, arguments, errors", [
+ERRORS = [
     ("f", '{"s":"x","n":1.5,"i":3,"o":{},"l":[],"b":true}', []),
     ("f", '{}', ["s is missing"]),
     ("f", '{"s":null}', ["s is no string"]),
@@ -46,10 +44,59 @@ def test_links_levels_and_positions(spark):
     ("h", '{}', ["unknown tool"]), (None, '{}', ["unknown tool"]),
     ("g", 'no json', ["arguments are no object"]), ("g", None, ["arguments are no object"]), ("g", '[1]', ["arguments are no object"]),
     ("g", '{"a":1,"a":2}', ["arguments are no object", "unknown parameter"]),
-])
-def test_errors(spark, name, arguments, errors):
-    (row,) = linked(spark, [(1, 1, "a", name, arguments)], [])
-    assert row.errors == errors or (arguments == '{"a":1,"a":2}' and row.errors[0] == errors[0])
+]
+
+
+def test_errors(spark):
+    rows = linked(spark, [(i, 1, "a", name, arguments) for i, (name, arguments, _) in enumerate(ERRORS)], [])
+    got = {r.conv_id: r.errors for r in rows}
+    for i, (_, arguments, errors) in enumerate(ERRORS):
+        assert got[i] == errors or (arguments == '{"a":1,"a":2}' and got[i][0] == errors[0])
+
+
+FORMS = [
+    ("1000", "1000"), ("1e3", "1000"), ("1.0E+3", "1000"), ("1.0", "1"), ("-0", "0"), ("-0.0e5", "0"), ("0.1e-7", "0.00000001"), ("1.50", "1.5"),
+    ("123456789012345678901234567890", "123456789012345678901234567890"), ("-12.5e1", "-125"), ("0.10", "0.1"), ("1e39", "1" + "0" * 39), ("1e40", "1e40"),
+    ("1e41", "1e41"), ("12e400", "1.2e401"), ("1.25e-60", "1.25e-60"), ("1" * 60, "1." + "1" * 59 + "e59"), ("100e-2", "1"), ("5E-1", "0.5"),
+    ("1e99999999999999999999", "1e99999999999999999999"),
+]
+
+
+def test_one_form_for_numbers(spark):
+    rows = linked(spark, [(i, 1, "a", "g", f'{{"x": {w}, "y": [{w}], "z": "{w}"}}') for i, (w, _) in enumerate(FORMS)], [])
+    got = {r.conv_id: r.record for r in rows}
+    for i, (written, form) in enumerate(FORMS):
+        assert got[i] == f'{{"arguments":{{"x":{form},"y":[{form}],"z":"{written}"}},"id":"a","name":"g","result":null}}'
+
+
+def test_integers(spark):
+    values = [("3", True), ("1.0", True), ("1e3", True), ("9" * 30, True), ("9" * 60, True), ("1e500", True), ("1.5", False), ("1e-1", False),
+              ('"3"', False), ('"\\u0001#3"', False), ("true", False), ("null", False)]
+    rows = linked(spark, [(i, 1, "a", "f", f'{{"s": "x", "i": {v}}}') for i, (v, _) in enumerate(values)], [])
+    assert {r.conv_id: r.errors for r in rows} == {i: [] if whole else ["i is no integer"] for i, (_, whole) in enumerate(values)}
+
+
+def test_no_object(spark):
+    texts = ['{1: 2}', '{"a": 01}', '{"a": 1.}', '{"a": -}', '{"a": +1}', '{"a": 1 2}', '{"a": .5}', '{"a": 1e}', "1", '"x"', "[1]", "{", '{"a": "\n"}']
+    rows = linked(spark, [(i, 1, "a", "g", t) for i, t in enumerate(texts)], [])
+    assert all(r.errors[0] == "arguments are no object" for r in rows) and len(rows) == len(texts)
+
+
+def test_strings_that_look_like_marks(spark):
+    arguments = {"\x01#5": "\x01#5", "a": '"\x01#7"', "b": "\x01", "c": '\\"\x01#8" 12', "d": 12, "e\x01#": ["\x01\x01#9", 3.5]}
+    (row,) = linked(spark, [(1, 1, "a", "g", json.dumps(arguments))], [(1, 2, "a", "\x01#6")])
+    got = json.loads(row.record)
+    assert got["arguments"] == arguments and got["result"] == "\x01#6"
+
+
+def test_identifiers_of_any_characters(spark):
+    names = ['c\\d', 'a"b', "tab\t", "line\n", "\x01#1", "\x1f", "ü😀", "{x}", '","$ref":"', "a/b", " ", "\u2028"]
+    calls = [(1, i, n, "g", "{}") for i, n in enumerate(names)]
+    calls += [(1, 100 + i, f"r{i}", "g", json.dumps({"x": {"$ref": n}, "note": json.dumps({"$ref": "none"})}, ensure_ascii=i % 2 == 0)) for i, n in enumerate(names)]
+    calls += [(1, 200, "n", "g", '{"x": {"$ref": 5}, "y": {"$ref": "a", "z": 1}}')]
+    rows = {r.call_turn: r for r in linked(spark, calls, [])}
+    assert all(rows[100 + i].level == 1 and "reference is missing or circular" not in rows[100 + i].errors for i in range(len(names)))
+    assert rows[200].level == 0
 
 
 def test_canonical_record(spark):
@@ -77,7 +124,7 @@ def test_query_equals_a_plain_reading(spark):
     assert len(rows) == len(calls.keys() | answers.keys())
 
     def level(c, t):
-        if t % 8 <= 1:
+        if t <= 1:
             return 0
         below = level(c, t - 2) if (c, t - 2) in calls else None
         return None if below is None else below + 1
@@ -89,7 +136,7 @@ def test_query_equals_a_plain_reading(spark):
             text = calls[c, t]
             tool = ["search", "fetch", "note"][len(text) % 3]
             want = {"query": text, "limit": str(len(text)) if len(text) % 11 == 0 else len(text)}
-            if t % 8 > 1:
+            if t > 1:
                 want["after"] = {"$ref": f"c{c}-{t - 2}"}
             whole = {"arguments": want, "id": r.call_id, "name": tool, "result": answers.get((c, t))}
             assert r.record == json.dumps(whole, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
