@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from labelspark.llm import decontaminate, mixing, near_dup, sharding, toxicity
-from labelspark.llm.storage import write_table
+from labelspark.llm.storage import scratch, write_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written as Parquet to the shared folder and read again."""
+    """All stages over ``documents``; each is written as Parquet to the shared folder and read again.
+
+    What a stage writes besides is deleted as soon as the stage is.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = write_table(stage(spark, docs, sf_dir), f"stage_{name}")
+        with scratch(spark):
+            docs = write_table(stage(spark, docs, sf_dir), f"stage_{name}", keep=True)
     return docs

@@ -21,8 +21,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="labelspark-")
-        place, files = _file_system(spark, base)
-        files.deleteOnExit(place)
+        delete_at_exit(spark, base)
     return base.rstrip("/")
 
 
@@ -31,6 +30,12 @@ def _file_system(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete an existing folder when the driver ends, if nothing has deleted it before."""
+    place, files = _file_system(spark, path)
+    files.deleteOnExit(place)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     place, files = _file_system(spark, path)
     files.delete(place, True)
@@ -51,7 +56,7 @@ class Stages:
         path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex[:12]}"
         place, files = _file_system(self.spark, path)
         files.mkdirs(place)
-        files.deleteOnExit(place)
+        delete_at_exit(self.spark, path)
         self.paths.append(path)
         return path
 
