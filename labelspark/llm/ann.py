@@ -238,9 +238,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, most: int = 5, id_column: st
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
     spread = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = asked.withColumn("block", block).join(graphs.select("width", "shard"), "width")
-    by = ["width", "shard", "block"]
-    found = spread.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInArrow(_searcher(most + 1), "query_id long, node long")
+    shards = graphs.select(F.col("width").alias("of_width"), F.col("shard").alias("of_shard"))
+    dealt = asked.withColumn("block", block).join(shards, F.col("width") == F.col("of_width"))
+    found = spread.groupBy("width", "shard", "block").cogroup(dealt.groupBy("of_width", "of_shard", "block")).applyInArrow(
+        _searcher(most + 1), "query_id long, node long")
     asked = asked.drop("width")
     pairs = found.join(asked, "query_id").join(nodes.select("node", "ids", F.col("vector").alias("other")), "node")
     dot = F.aggregate(F.zip_with("vector", "other", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
