@@ -228,7 +228,8 @@ def with_constants(rows: DataFrame, constants: DataFrame, fallback: int, year: s
     """Constants of the year from a table keyed by year, else those of the fallback year.
 
     The key is settled first (known year or fallback), then one equi join adds the constants.  Of a
-    repeated year an arbitrary row counts: the smallest by value, so that runs agree.  Whether a side is broadcast is left to Spark's size check.
+    repeated year an arbitrary row counts (the smallest by value, so that runs agree).  Whether a side is broadcast is left to
+    Spark's size check.
     """
     values = [c for c in constants.columns if c != "year"]
     unique = constants.filter(F.col("year").isNotNull()).groupBy("year").agg(F.min(F.struct(*values)).alias("_row"))

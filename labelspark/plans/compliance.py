@@ -179,6 +179,7 @@ def _(v: Views) -> DataFrame:
     return paging.union_all([recon_columns(df).withColumn("filter", F.lit(n)) for n, df in found.items()])
 
 
+# Patterns, words, labels and messages inside the oracle statements below.
 # --- plausibility -----------------------------------------------------------------------------------
 
 EXPECTED_SQL = """SELECT id, year, ee, fo, nu, co2, wind, coal, floor((

@@ -35,10 +35,10 @@ def _(v: Views) -> DataFrame:
 
 
 @query("m2_insert_if_absent", """SELECT * FROM v_trusted UNION
-SELECT provider_id, regexp_replace(lower(regexp_extract(source_url, '^https?://([^/]+)', 1)), '^www\\.', '') FROM v_doc WHERE file_type = 'pdf'""")
+SELECT provider_id, regexp_replace(lower(regexp_extract(source_url, '^https?://([^/]+)', 1)), '^www\\.', '') FROM v_doc""")
 def _(v: Views) -> DataFrame:
     from labelspark.functions.urls import domain
-    new = v.doc.filter(F.col("file_type") == "pdf").select("provider_id", domain(F.col("source_url")).alias("domain"))
+    new = v.doc.select("provider_id", domain(F.col("source_url")).alias("domain"))
     return merge.insert_if_absent(v.trusted, new, ["provider_id", "domain"])
 
 

@@ -42,6 +42,7 @@ def snapshot_columns(df: DataFrame) -> DataFrame:
         num("co2_emission_g_kwh"), "last_confidence", "last_extraction_method")
 
 
+# Patterns, words, labels and messages inside the oracle statements below.
 # --- scans ------------------------------------------------------------------------------------------
 
 
@@ -190,11 +191,11 @@ def _(v: Views) -> DataFrame:
 
 
 @query("j2_job_log", """SELECT j.id, j.provider_id, j.status, p.name AS provider_name
-FROM v_job j LEFT JOIN (SELECT * FROM v_provider WHERE active) p ON j.provider_id = p.id""")
+FROM (SELECT id, CASE WHEN id % 50 = 0 THEN provider_id + 1000000000 ELSE provider_id END AS provider_id, status FROM v_job) j LEFT JOIN v_provider p ON j.provider_id = p.id""")
 def _(v: Views) -> DataFrame:
-    # inactive suppliers are left out on the right, so their jobs are orphans
-    return joins.jobs_with_provider(v.job, v.provider.filter("active"), keep_orphans=True).select(
-        "id", "provider_id", "status", "provider_name")
+    # some jobs lost their supplier
+    jobs = v.job.withColumn("provider_id", F.when(F.col("id") % 50 == 0, F.col("provider_id") + 10**9).otherwise(F.col("provider_id")))
+    return joins.jobs_with_provider(jobs, v.provider, keep_orphans=True).select("id", "provider_id", "status", "provider_name")
 
 
 @query("j3_year_volume", """SELECT p.id, p.name, CAST(s.delivered_volume_mwh AS DOUBLE) AS delivered_volume_mwh

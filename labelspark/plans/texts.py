@@ -14,6 +14,7 @@ from labelspark.plans.views import Views
 from labelspark.sources import manifest, responses, sinks, tokens
 from labelspark.streaming import monitor, ratelimit
 
+# Patterns, words, labels and messages inside the oracle statements below.
 # --- names and addresses ----------------------------------------------------------------------------
 
 

@@ -323,7 +323,7 @@ class Views:
         return self.table("pages").select("page_id", "url", "html")
 
 
-# The oracle's wording of the same views.
+# The oracle's wording of the same views.  Fixed values: patterns, word lists and messages in it.
 SQL: dict[str, str] = {
     "v_provider": """SELECT c_custkey AS id,
        CONCAT(c_name, CASE c_custkey % 4 WHEN 0 THEN ' GmbH' WHEN 1 THEN ' AG' WHEN 2 THEN ' GmbH & Co. KG' ELSE '' END) AS name,

@@ -5,6 +5,7 @@ from labelspark.operators import text
 from labelspark.plans import jobs
 from labelspark.sources import responses
 
+# Golden text of a printed label
 LABEL = """Stromkennzeichnung der Stadtwerke Heidelberg GmbH für das Berichtsjahr 2022 (§ 42 EnWG)
 
 Gesamtenergieträgermix des Unternehmens:
