@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -6,6 +7,7 @@ import pytest
 from labelspark.llm import toxicity
 from labelspark.llm.queries import QUERIES
 
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOCUMENTS = 2_400
 BAD = ["slurone", "slurtwo", "stemmy"]
 
@@ -95,3 +97,78 @@ def test_query_on_the_small_tables(spark):
     rows = QUERIES["op2_toxicity"](spark, "/root/testdata/sf0.001").collect()
     assert rows and all(r.predicted == int(r.score >= 0.5) for r in rows)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+
+
+def plain_fit(x, positive, prior):
+    """The same classifier on a dense matrix: non-negative risk, logistic loss, adaptive steps, shrunken weights."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    w, first, second = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    w[-1] = np.log(prior / (1 - prior))
+    for step in range(1, toxicity.ROUNDS + 1):
+        z = x @ w
+        toxic, harmless = np.log1p(np.exp(-z)), np.log1p(np.exp(z))  # loss of calling it so
+        rest = harmless[~positive].mean() - prior * harmless[positive].mean()
+        p = 1 / (1 + np.exp(-z))
+        of_rest = x[~positive].T @ p[~positive] / (~positive).sum() - prior * x[positive].T @ p[positive] / positive.sum()
+        of_toxic = prior * x[positive].T @ (p[positive] - 1) / positive.sum()
+        assert np.isfinite(toxic).all()
+        grad = of_toxic + of_rest if rest >= 0 else -of_rest
+        first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad ** 2
+        scale = np.sqrt(second / (1 - 0.999 ** step)) + 1e-8
+        w = w - toxicity.RATE * (first / (1 - 0.9 ** step)) / scale
+        shrunk = np.maximum(np.abs(w) - toxicity.RATE * toxicity.SPARSE / scale, 0) * np.sign(w)
+        w = np.append(shrunk[:-1], w[-1])
+    return w
+
+
+@pytest.mark.parametrize("prior", [0.05, 0.4])
+def test_fit_equals_a_dense_computation(prior):
+    rng = np.random.default_rng(8)
+    positive = rng.random(120) < 0.3
+    x = rng.random((120, 15)) < np.where(positive[:, None], 0.4, 0.15)
+    rows, columns = np.nonzero(x)
+    assert np.allclose(toxicity.fit(rows, columns, positive, 15, prior), plain_fit(x.astype(float), positive, prior), atol=1e-8)
+
+
+def test_the_slope_is_that_of_the_risk():
+    """One step of the dense computation against differences of the risk itself."""
+    rng = np.random.default_rng(9)
+    positive = np.arange(60) < 20
+    x, w, prior = np.hstack([(rng.random((60, 6)) < 0.3).astype(float), np.ones((60, 1))]), rng.normal(size=7), 0.2
+
+    def risk(w):
+        z = x @ w
+        toxic, harmless = np.log1p(np.exp(-z)), np.log1p(np.exp(z))
+        return prior * toxic[positive].mean() + harmless[~positive].mean() - prior * harmless[positive].mean()
+
+    p = 1 / (1 + np.exp(-(x @ w)))
+    slope = (prior * x[positive].T @ (p[positive] - 1) / 20 + x[~positive].T @ p[~positive] / 40 - prior * x[positive].T @ p[positive] / 20)
+    step = 1e-6 * np.eye(7)
+    assert np.allclose(slope, [(risk(w + s) - risk(w - s)) / 2e-6 for s in step], atol=1e-6)
+
+
+def test_scores_equal_a_plain_sum(spark, frame, words):
+    """The weights of the words and stems that a text holds, each once, through the logistic function."""
+    from labelspark.llm import wordhash
+
+    hasher = wordhash.WordHasher(wordhash.word_bytes(toxicity.SEPARATORS))
+
+    def features(text):
+        found = set()
+        for word in re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(LOWER)):
+            raw = word.encode()
+            found.add(int(hasher(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].view(np.int64)[0]))
+            if len(raw) >= toxicity.STEM_BYTES:
+                stem = np.array([int.from_bytes(raw[:toxicity.STEM_BYTES], "big")], np.uint64) + np.uint64(1 << 40)
+                found.add(int(wordhash.mix(stem).view(np.int64)[0]))
+        return found
+
+    rows = [(i, words(i, 1 + i % 50, 200)) for i in range(80)] + [(100, None), (101, ""), (102, "ÄÖ W1x w1X 12 w1x, ab abc abcd ABCDE é-é ééé"), (103, words(1, 5_000, 200))]
+    rng = np.random.default_rng(2)
+    known = np.array(sorted(set().union(*[features(t) for _, t in rows[::2]])), np.int64)
+    weights = rng.normal(size=len(known) + 1)
+    got = {r.doc_id: r.toxicity_score for r in toxicity.ToxicityModel(known, weights).score(frame(rows)).collect()}
+    weight = dict(zip(known.tolist(), weights[:-1].tolist()))
+    for key, text in rows:
+        total = weights[-1] + sum(weight.get(f, 0) for f in features(text))
+        assert abs(got[key] - 1 / (1 + np.exp(-min(max(total, -30), 30)))) < 1e-9, key
