@@ -22,6 +22,7 @@ LINKS = 24  # of a node in upper layers; twice as many in the lowest
 BUILD_BEAM, SEARCH_BEAM = 96, 160
 STEPS = 4  # nodes expanded in one move
 SEARCH_BLOCK = 256  # beams moved together
+LINK_BLOCK = 512  # nodes whose links are chosen together
 QUERY_BLOCK = 16_384  # queries of a task, which has its own copy of a shard
 
 
@@ -78,7 +79,10 @@ def beam_search(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entr
 
 def diverse(points: np.ndarray, base: np.ndarray, candidates: np.ndarray, near: np.ndarray, most: int) -> np.ndarray:
     """Up to ``most`` of each row's candidates (best first): those nearer to the base point than to any chosen one, then
-    the nearest of the rest."""
+    the nearest of the rest.  ``LINK_BLOCK`` rows at a time, since each needs all similarities between its candidates."""
+    if len(candidates) > LINK_BLOCK:
+        parts = [slice(low, low + LINK_BLOCK) for low in range(0, len(candidates), LINK_BLOCK)]
+        return np.concatenate([diverse(points, base[p], candidates[p], near[p], most) for p in parts])
     n, width = candidates.shape
     cross = np.einsum("ncd,ned->nce", points[candidates], points[candidates])
     taken, count = np.zeros((n, width), bool), np.zeros(n, np.int64)
@@ -113,7 +117,8 @@ def build_layer(points: np.ndarray, most: int) -> np.ndarray:
         # the way back: old neighbours and the new points that chose the node, thinned out again
         source, target = np.repeat(block, most), links[block].ravel()
         source, target = source[target >= 0], target[target >= 0]
-        value = np.einsum("nd,nd->n", points[source], points[target])
+        value = np.concatenate([np.einsum("nd,nd->n", points[source[low:low + (1 << 16)]], points[target[low:low + (1 << 16)]])
+                                for low in range(0, len(source), 1 << 16)] or [np.zeros(0, np.float32)])
         order = np.lexsort((-value, target))
         source, target = source[order], target[order]
         touched, begin, count = np.unique(target, return_index=True, return_counts=True)
@@ -121,11 +126,13 @@ def build_layer(points: np.ndarray, most: int) -> np.ndarray:
         back = np.full((len(touched), min(int(count.max()), BUILD_BEAM)), -1, np.int64)
         fits = place < back.shape[1]
         back[np.repeat(np.arange(len(touched)), count)[fits], place[fits]] = source[fits]
-        merged = np.concatenate([links[touched], back], axis=1)
-        near = np.where(merged >= 0, np.einsum("ncd,nd->nc", points[merged], points[touched]), -np.inf)
-        order = np.argsort(-near, axis=1, kind="stable")[:, :BUILD_BEAM]
-        rows = np.arange(len(touched))[:, None]
-        links[touched] = diverse(points, touched, merged[rows, order], near[rows, order], most)
+        for low in range(0, len(touched), LINK_BLOCK):
+            some = touched[low:low + LINK_BLOCK]
+            merged = np.concatenate([links[some], back[low:low + LINK_BLOCK]], axis=1)
+            near = np.where(merged >= 0, np.einsum("ncd,nd->nc", points[merged], points[some]), -np.inf)
+            order = np.argsort(-near, axis=1, kind="stable")[:, :BUILD_BEAM]
+            rows = np.arange(len(some))[:, None]
+            links[some] = diverse(points, some, merged[rows, order], near[rows, order], most)
         done = int(block[-1]) + 1
     return links
 
