@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from labelspark.functions.plan import settle
 from labelspark.llm.order import numbered
 from labelspark.llm.storage import write_table
 
@@ -75,13 +76,12 @@ def references(text: Column) -> Column:
     return F.from_json(F.concat(F.lit("["), F.array_join(found, ","), F.lit("]")), "array<string>")
 
 
-def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column:
+def argument_errors(name: Column, parsed: Column, keys: Column, schemas: Schemas) -> Column:
     """What is wrong with a call, as an array of messages in the order of tools and parameters.
 
-    An integer is a number without a fractional part, however it is written and however many digits it has.
+    ``parsed``: the variant of its marked arguments; ``keys``: their names.  An integer is a number without a fractional part, however
+    it is written and however many digits it has.
     """
-    parsed = F.try_parse_json(marked(arguments))
-    keys = F.json_object_keys(arguments)
     found = [F.when(parsed.isNull() | keys.isNull(), F.lit("arguments are no object")),
              F.when(name.isNull() | ~name.isin(list(schemas)), F.lit("unknown tool"))]
     readable = parsed.isNotNull() & keys.isNotNull()
@@ -172,8 +172,12 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
     c = calls.select("conv_id", "turn", "call_id", "name", "arguments")
     r = results.select("conv_id", "turn", "call_id", "content")
     c = numbered(c, ["conv_id", "call_id"], ["turn"], "occurrence")
-    c = c.withColumn("args", canonical(F.col("arguments"))).withColumn("wrong", argument_errors(F.col("name"), F.col("arguments"), schemas))
-    c = c.withColumn("refs", F.coalesce(references(F.col("args")), F.array().cast("array<string>"))).drop("arguments")
+    # each step once, however often its result is asked for
+    c = settle(c, {"marked": marked(F.col("arguments")), "keys": F.json_object_keys("arguments")})
+    c = settle(c, {"parsed": F.try_parse_json("marked")})
+    c = settle(c, {"args": _written(F.col("parsed")), "wrong": argument_errors(F.col("name"), F.col("parsed"), F.col("keys"), schemas)})
+    c = c.withColumn("refs", F.coalesce(references(F.col("args")), F.array().cast("array<string>")))
+    c = c.drop("arguments", "marked", "keys", "parsed")
     c = write_table(c.withColumn("row", F.monotonically_increasing_id()), "calls")
     r = numbered(r, ["conv_id", "call_id"], ["turn"], "occurrence").select(
         F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_id"), F.col("occurrence").alias("r_occurrence"),
