@@ -160,7 +160,8 @@ class Views:
         tokens = F.array(
             token(0, 3.5, name), token(1, 6.0, F.lit("Zweitname"), key % 11 == 0),
             token(2, 24.6, F.concat(F.lit(" Weg "), _text(key)), key % 7 != 0),
-            token(3, 35.5, F.lpad(_text(key), 5, "0")), token(4, 39.4, F.col("city")))
+            # the last five digits: lpad would keep the first ones of a longer number
+            token(3, 35.5, F.right(F.concat(F.lit("00000"), _text(key)), F.lit(5))), token(4, 39.4, F.col("city")))
         return self.provider.select(F.expr("id div 40").alias("page"), F.explode(tokens).alias("t")).filter(
             F.col("t").isNotNull()).select("page", "t.*")
 

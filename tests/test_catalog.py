@@ -39,6 +39,18 @@ def test_query_equals_oracle(spark, oracle, name):
         assert got == table([d[0] for d in cursor.description], cursor.fetchall())
 
 
+def test_printed_list_with_keys_of_six_digits(spark, tmp_path):
+    """The printed zip is the last five digits of a supplier's number."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (c_custkey + 123450 AS c_custkey) FROM '{FOLDER}/customer.parquet') TO '{tmp_path}/customer.parquet'")
+    con.execute(f"COPY (SELECT * FROM '{FOLDER}/nation.parquet') TO '{tmp_path}/nation.parquet'")
+    for t in ("customer", "nation"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    df = catalog.PLANS["s4_printed_list"](Views(spark, str(tmp_path)))
+    cursor = con.execute(catalog.ORACLES["s4_printed_list"])
+    assert table(df.columns, [tuple(r) for r in df.collect()]) == table([d[0] for d in cursor.description], cursor.fetchall())
+
+
 def test_scans_are_pruned_and_filters_pushed(spark):
     v = Views(spark, FOLDER)
     text = plan_text(catalog.PLANS["a2_status_distribution"](v))
