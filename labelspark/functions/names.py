@@ -21,10 +21,16 @@ def contains_any(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
+# a test of the first letter is cheaper than the word boundary before it
+_LEGAL_FORM = f"(?=[{''.join(sorted({form[0] for form in C.LEGAL_FORMS}))}])" + any_word(C.LEGAL_FORMS)
+# Every run of other characters than a-z, 0-9, ä, ö, ü, ß.  As one class with the umlauts in it Java takes five times as long.
+_NOT_IN_KEYS = r"(?:(?![äöüß])[^a-z0-9])+"
+
+
 def match_key(name: Column) -> Column:
     """The key under which two spellings of one supplier meet."""
-    without_form = F.regexp_replace(F.lower(name), any_word(C.LEGAL_FORMS), "")
-    return F.regexp_replace(without_form, r"[^a-z0-9äöüß]", "")
+    without_form = F.regexp_replace(F.lower(name), _LEGAL_FORM, "")
+    return F.regexp_replace(without_form, _NOT_IN_KEYS, "")
 
 
 def search_name(name: Column) -> Column:
@@ -39,7 +45,7 @@ def brand_words(name: Column) -> Column:
     text = F.regexp_replace(F.lower(name), any_word(C.LABEL_KEYWORDS), "")
     text = F.regexp_replace(text, any_word(["pdf"]), "")
     text = F.regexp_replace(text, any_word(C.NAME_STOP_TERMS), "")
-    words = F.transform(F.split(text, r"[\s,.\-/&()]+"), lambda w: F.regexp_replace(w, r"[^a-z0-9äöüß]", ""))
+    words = F.transform(F.split(text, r"[\s,.\-/&()]+"), lambda w: F.regexp_replace(w, _NOT_IN_KEYS, ""))
     return F.filter(words, lambda w: F.length(w) > 2)
 
 

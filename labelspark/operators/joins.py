@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from labelspark import constants as C
 from labelspark.functions.names import match_key
+from labelspark.functions.plan import settle
 from labelspark.functions.urls import domain
 from labelspark.stage import Stages
 
@@ -196,7 +197,8 @@ def match_ledger(lines: DataFrame, providers: DataFrame) -> DataFrame:
     When several suppliers share a key the smallest id wins.
     """
     keys = providers.groupBy(match_key(F.col("name")).alias("_key")).agg(F.min("id").alias("provider_id"))
-    return lines.withColumn("_key", match_key(F.col("anbieter_name"))).join(keys, "_key", "left").drop("_key")
+    # settled, so that the join's null check does not evaluate the key a second time
+    return settle(lines, {"_key": match_key(F.col("anbieter_name"))}).join(keys, "_key", "left").drop("_key")
 
 
 def trusted_flag(rows: DataFrame, trusted: DataFrame, url: str = "source_url") -> DataFrame:

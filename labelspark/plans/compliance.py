@@ -19,6 +19,9 @@ RECON_SQL = ("provider_id, provider_name, file_number, document_id, mix_id, CAST
              "CAST(ist_mwh AS DOUBLE) AS ist_mwh, round(difference_mwh, 6) AS difference_mwh, deviation_percent, mix_point_diff, audit_status")
 
 
+LEDGER_FILES = 16  # of each ledger
+
+
 def reconciled(v: Views) -> DataFrame:
     return compliance.reconciliation(v.provider, v.delivery, v.doc, v.mix, v.audit, v.cancellation, 2021)
 
@@ -60,10 +63,12 @@ def _(v: Views) -> DataFrame:
   CAST(f[3] AS DOUBLE) AS delivered_volume_mwh, trim(f[4]) AS country, CAST(f[5] AS DOUBLE) AS amount_mwh
 FROM v_ledger_row WHERE f[1] <> '' AND f[2] <> '' AND f[3] <> '' AND f[4] <> '' AND f[5] <> '' AND f[3] NOT IN ('1e30', 'viel')""")
 def _(v: Views) -> DataFrame:
-    # one file per ledger, as ledgers come
+    # ledgers come in files, each with the header on top: no task sorts a whole ledger
     folder = Stages(v.spark).folder("ledgers")
-    lines = v.ledger.repartition("ledger_id").sortWithinPartitions("ledger_id", "line_no")
-    lines.select("ledger_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("ledger_id").text(folder)
+    part = F.when(F.col("line_no") == 1, F.sequence(F.lit(0), F.lit(LEDGER_FILES - 1))).otherwise(
+        F.array(F.pmod(F.xxhash64("line_no"), F.lit(LEDGER_FILES)).cast("int")))
+    lines = v.ledger.withColumn("part", F.explode(part)).repartition("ledger_id", "part").sortWithinPartitions("ledger_id", "part", "line_no")
+    lines.select("ledger_id", "part", F.col("line").alias("value")).write.mode("overwrite").partitionBy("ledger_id", "part").text(folder)
     good, _ = ledger.parse(ledger.read_lines(v.spark, folder))
     number = F.regexp_extract("ledger_id", r"ledger_id=([0-9]+)/", 1).cast("int").alias("ledger_id")
     return good.select(number, "anbieter_name", "year", num("delivered_volume_mwh"), "country", num("amount_mwh"))

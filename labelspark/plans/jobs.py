@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from labelspark import constants as C
 from labelspark.operators import links, merge, quality, text
-from labelspark.operators.joins import match_ledger
 from labelspark.operators.latest import best_candidate
 from labelspark.sources import ledger, responses
 from labelspark.stage import Results, Stages
@@ -123,10 +122,15 @@ def source_selection(results: DataFrame, pages: DataFrame) -> DataFrame:
     return best.join(loaded, "url", "left").join(offered, "page_id", "left")
 
 
-def supplier_matching(lines: DataFrame, documents: DataFrame, providers: DataFrame, mixes: DataFrame) -> dict[str, DataFrame]:
-    """Ledger lines and documents against the suppliers: matched, unmatched and foreign."""
-    records, rejected = ledger.parse(lines)
-    matched = match_ledger(records, providers)
+def supplier_matching(lines: DataFrame, documents: DataFrame, providers: DataFrame, mixes: DataFrame,
+                      stages: Stages | None = None) -> dict[str, DataFrame]:
+    """Ledger lines and documents against the suppliers: matched, unmatched and foreign.
+
+    The lines are read and matched once, into a table of ``stages``.
+    """
+    stages = stages or Stages(lines.sparkSession)
+    matched, rejected = ledger.read_matched(lines, providers, stages)
+    matched = matched.drop("line", "reason")
     plan = merge.foreign_document_plan(documents, providers, mixes)
     return {
         "matched": matched.filter(F.col("provider_id").isNotNull()),

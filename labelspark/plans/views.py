@@ -169,11 +169,9 @@ class Views:
     def ledger(self) -> DataFrame:
         """Ledger lines, one ledger per year, with header, blank lines, gaps and repeated lines."""
         nations = self.table("nation").select(F.col("n_name").alias("country"), "n_nationkey")
-        rows = (
-            self.cancellation.join(nations, "country")
-            .join(self.delivery, ["provider_id", "year"])
-            .join(self.provider.select(F.col("id").alias("provider_id"), "name"), "provider_id")
-        )
+        # the small sides meet first, so that the cancellations are shuffled for one join only
+        named = self.delivery.join(self.provider.select(F.col("id").alias("provider_id"), "name"), "provider_id")
+        rows = self.cancellation.join(nations, "country").join(named, ["provider_id", "year"])
         key = F.col("provider_id")
         name = F.when(key % 19 == 0, F.concat(F.lit("Unbekannt "), _text(key))).otherwise(F.upper("name"))
         country = F.when(key % 17 == 0, F.lit("")).otherwise(F.concat(F.lit(" "), "country"))
@@ -187,7 +185,8 @@ class Views:
                 F.struct(number.alias("line_no"), F.concat(F.lit("  "), line).alias("line")),
                 F.struct((number + 10**12).alias("line_no"), F.when(key % 23 == 0, again).otherwise("  ").alias("line")),
             )).alias("l")).select("ledger_id", "l.*")
-        header = self.delivery.select(F.col("year").alias("ledger_id")).distinct().select(
+        years = self.table("orders").select((F.year("o_orderdate") + 24).cast("int").alias("ledger_id")).distinct()
+        header = years.select(
             "ledger_id", F.lit(1).cast("long").alias("line_no"),
             F.lit("anbieter_name,berichtsjahr,strommenge_mwh,hkn_land,hkn_menge_mwh").alias("line"))
         return lines.unionByName(header)

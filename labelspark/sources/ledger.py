@@ -11,7 +11,7 @@ from labelspark.operators.merge import upsert
 from labelspark.stage import Results, Stages
 
 FIELDS = ["anbieter_name", "berichtsjahr", "strommenge_mwh", "hkn_land", "hkn_menge_mwh"]
-_TRIM = r"^\s+|\s+$"
+_BLANKS = " \t\n\x0b\f\r"
 _NEVER = ("\ufffe", "\uffff", "\ufdd0")  # noncharacters
 
 
@@ -35,7 +35,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _filled(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("line", F.regexp_replace("line", _TRIM, "")).filter(F.col("line") != "")
+    return lines.withColumn("line", F.btrim("line", F.lit(_BLANKS))).filter(F.col("line") != "")
 
 
 def data_lines(lines: DataFrame, stages: Stages | None = None) -> DataFrame:
@@ -80,6 +80,16 @@ def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, rows.filter(F.col("reason").isNotNull()).select("ledger_id", "line_no", "line", "reason")
 
 
+def read_matched(lines: DataFrame, providers: DataFrame, stages: Stages) -> tuple[DataFrame, DataFrame]:
+    """(records with their supplier, rejects) of data lines, which are read and matched once, into a table of ``stages``."""
+    rows = read_fields(lines)
+    named = rows.withColumn("anbieter_name", F.when(F.col("reason").isNull(), F.col("anbieter_name")))
+    kept = ["ledger_id", "line_no", "anbieter_name", "year", "delivered_volume_mwh", "country", "amount_mwh", "provider_id", "reason"]
+    line = F.when(F.col("reason").isNotNull(), F.col("line")).alias("line")
+    read = stages.write(match_ledger(named, providers).select(*kept, line), "ledger")
+    return read.filter("reason is null"), read.filter("reason is not null").select("ledger_id", "line_no", "line", "reason")
+
+
 def import_ledger(lines: DataFrame, providers: DataFrame, deliveries: DataFrame, cancellations: DataFrame,
                   stages: Stages | None = None) -> dict[str, DataFrame]:
     """Match, merge and report a set of data lines.
@@ -89,12 +99,7 @@ def import_ledger(lines: DataFrame, providers: DataFrame, deliveries: DataFrame,
     the updates, as soon as ``delivery`` or ``cancellation`` is asked for.
     """
     stages = stages or Stages(lines.sparkSession)
-    rows = read_fields(lines)
-    named = rows.withColumn("anbieter_name", F.when(F.col("reason").isNull(), F.col("anbieter_name")))
-    kept = ["ledger_id", "line_no", "anbieter_name", "year", "delivered_volume_mwh", "country", "amount_mwh", "provider_id", "reason"]
-    line = F.when(F.col("reason").isNotNull(), F.col("line")).alias("line")
-    read = stages.write(match_ledger(named, providers).select(*kept, line), "ledger")
-    matched, rejects = read.filter("reason is null"), read.filter("reason is not null").select("ledger_id", "line_no", "line", "reason")
+    matched, rejects = read_matched(lines, providers, stages)
     hits = matched.filter(F.col("provider_id").isNotNull()).withColumn("_order", F.struct("ledger_id", "line_no"))
     unmatched = matched.filter(F.col("provider_id").isNull()).groupBy("anbieter_name").agg(
         F.count(F.lit(1)).alias("lines")).withColumn(

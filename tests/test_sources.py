@@ -32,6 +32,34 @@ def test_ledger_import_from_file(spark, tmp_path):
     assert tuple(out["tally"].first()) == (3, 3)
 
 
+def test_lines_are_read_and_matched_once(spark):
+    """All results of the matching job read one table; blanks are cut off without patterns and the key is computed once."""
+    from labelspark.plans import jobs
+    lines = spark.createDataFrame([(1, 5, " \t Agger-Energie GmbH,2024,1,Norwegen,2 \x0b"), (1, 6, "Nein,2024,1,Norwegen,2"), (1, 7, "Nein,2024,,,"), (1, 8, "\f ")],
+                                  "ledger_id long, line_no long, line string")
+    filled = ledger._filled(lines)
+    assert [r.line[:5] for r in filled.orderBy("line_no").collect()] == ["Agger", "Nein,", "Nein,"] and "regexp" not in plan_of(filled)
+    providers = spark.createDataFrame([(3, "AggerEnergie AG")], "id long, name string")
+    documents = spark.createDataFrame([], "id long, provider_id long, file_type string, source_url string")
+    mixes = spark.createDataFrame([], "document_id long, extraction_method string")
+    out = jobs.supplier_matching(filled, documents, providers, mixes)
+    assert [out[n].count() for n in ("matched", "unmatched", "rejected", "foreign")] == [1, 1, 1, 0]
+    assert all("regexp" not in plan_of(out[n]) for n in ("matched", "unmatched", "rejected"))
+    from labelspark.operators.joins import match_ledger
+    hits = match_ledger(ledger.parse(filled)[0], providers).filter("provider_id is not null")
+    assert plan_of(hits).count("regexp_replace(regexp_replace(lower(anbieter_name") == 1
+
+
+def test_ledgers_are_written_as_several_files(spark):
+    """No task has to sort a whole ledger."""
+    from labelspark.plans import catalog, compliance
+    from labelspark.plans.views import Views
+    v = Views(spark, "/root/testdata/sf0.001")
+    files = catalog.PLANS["s2_ledger_files"](v).inputFiles()
+    ledgers = v.delivery.select("year").distinct().count()
+    assert len(files) == ledgers * compliance.LEDGER_FILES
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
