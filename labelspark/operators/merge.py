@@ -14,22 +14,33 @@ from labelspark.operators.latest import last_writer, pick
 from labelspark.stage import Stages
 
 
+SMALL_UPDATES = 100_000  # rows that are worth a second look at the base's keys
+
+
 def upsert(base: DataFrame, updates: DataFrame, keys: list[str], order: str | None = None, stages: Stages | None = None) -> DataFrame:
     """Insert new keys, replace the values of known keys.  With ``order`` the last update of a key wins.
 
     Columns of ``base`` that the updates do not carry keep their value.  The updates are computed once, into a table of
     ``stages``, so their size is known: where they are small enough for Spark to broadcast them, the base is neither shuffled nor
     sorted.  Known keys are replaced in a left join, and which updates are new is told by a semi join over the base's key columns.
+    More than ``SMALL_UPDATES`` rows are merged in one full join instead, for which the base is computed once and not twice.
     """
     if order is not None:
         updates = last_writer(updates, keys, order)
     updates = (stages or Stages(base.sparkSession)).write(updates, "updates")
     values = [c for c in updates.columns if c not in keys]
     new = updates.select(*keys, F.struct(*values).alias("_new"))
-    replaced = base.join(new, keys, "left").select(*[
-        F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c)
-        for c in base.columns
-    ])
+
+    def merged(how: str) -> DataFrame:
+        types = dict(base.dtypes)
+        return base.join(new, keys, how).select(*[
+            F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}").cast(types[c])).otherwise(F.col(c)).alias(c) if c in values else F.col(c)
+            for c in base.columns
+        ])
+
+    if updates.count() > SMALL_UPDATES:
+        return merged("full")
+    replaced = merged("left")
     known = base.select(*keys).join(updates.select(*keys), keys, "left_semi").distinct()
     types = dict(base.dtypes)
     fresh = updates.join(known, keys, "left_anti").select(*[

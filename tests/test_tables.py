@@ -230,6 +230,17 @@ def test_brand_table(spark):
     assert joins.brand_matches(df, none).collect() == [] and joins.apply_brand_table(df, none).count() == len(names)
 
 
+def test_large_upsert_computes_its_base_once(spark, monkeypatch):
+    from labelspark.operators import merge
+    base = spark.range(10).select(F.col("id"), F.col("id").alias("v"), F.lit("x").alias("other"))
+    updates = spark.range(5, 15).select(F.col("id"), (F.col("id") * 100).alias("v"))
+    want = rows_of(merge.upsert(base, updates, ["id"]), "id", "v", "other")
+    monkeypatch.setattr(merge, "SMALL_UPDATES", 3)
+    got = merge.upsert(base, updates, ["id"])
+    assert rows_of(got, "id", "v", "other") == want and got.dtypes == base.dtypes
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 10") == 1
+
+
 def test_upsert_computes_its_updates_once(spark):
     from labelspark.operators import merge
 
