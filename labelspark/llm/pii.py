@@ -42,8 +42,8 @@ NEEDS = {"email": "@", "ip": ".", "phone": "+"}  # texts without it cannot match
 CONTEXT = 24  # characters kept before a candidate
 CUES = {"email": "mail|contact|write", "ip": "ip|host|server|addr", "card": "card|credit|visa|pay", "phone": "tel|phone|call|mobil|fax"}
 
-SAMPLE = 4_000  # base spans learned from, at most; each gives about a dozen examples for every kind
 TREES, DEPTH = 12, 5
+BINS = 256  # split points of a feature; more than the values that features of numbers and addresses take
 PRECISION = 0.98  # on the held-out examples of a kind; below it nothing of the kind is added
 LEAST_DIGITS = 7  # of a number that is judged
 MOST_PARTS = 6  # parts between blanks that are proposed together, besides the whole run
@@ -218,32 +218,34 @@ class Judge:
     """The trees, and by kind the threshold with its precision and recall on held-out examples."""
 
     def __init__(self, base: DataFrame):
-        chosen = base.orderBy(F.xxhash64("row", "start", "kind"), "row", "start", "kind").limit(SAMPLE)
-        wide, self.names = _features(examples(chosen))
+        wide, self.names = _features(examples(base))
         label = F.coalesce(F.col("kind") == F.col("truth"), F.lit(False)).cast("double")
         wide = wide.withColumn("label", label).withColumn("held_out", F.pmod(F.xxhash64("row", F.lit(7)), F.lit(4)) == 0)
-        sample = write_table(wide.select("row", "origin", "kind", "label", "held_out", *self.names), "pii_sample")
-        counted = {r["label"]: r["count"] for r in sample.where("not held_out").groupBy("label").count().collect()}
+        # All examples, equal ones as one row with their number as weight: features are small whole numbers, so rows are few.
+        counts = wide.groupBy("kind", "label", "held_out", *self.names).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+        every = write_table(counts, "pii_examples")
+        counted = {r["label"]: r["n"] for r in every.where("not held_out").groupBy("label").agg(F.sum("weight").alias("n")).collect()}
         self.model: GBTClassificationModel | None = None
         self.thresholds: dict[str, float] = {}
         self.measured: dict[str, tuple[float, float]] = {}
         if min(counted.get(0.0, 0), counted.get(1.0, 0)) < 2:
             return
         assemble = VectorAssembler(inputCols=self.names, outputCol="features")
-        learner = GBTClassifier(labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=1, maxMemoryInMB=64)
-        self.model = learner.fit(assemble.transform(sample.where("not held_out").select("label", *self.names)))
-        scored = _score(self.model, sample.where("held_out"), self.names)
-        step = scored.groupBy("kind", F.floor(F.col("score") * 100).alias("step")).agg(F.sum("label").alias("good"), F.count("*").alias("all"))
+        learner = GBTClassifier(labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, maxBins=BINS, seed=1, maxMemoryInMB=64)
+        self.model = learner.fit(assemble.transform(every.where("not held_out").select("label", "weight", *self.names)))
+        scored = _score(self.model, every.where("held_out"), self.names)
+        step = scored.groupBy("kind", F.floor(F.col("score") * 100).alias("step")).agg(
+            F.sum(F.col("label") * F.col("weight")).alias("good"), F.sum("weight").alias("all"))
         found: dict[str, list] = {}
         for r in step.orderBy("kind", F.desc("step")).collect():  # 101 steps at most for each kind
             found.setdefault(r["kind"], []).append((r["step"], r["good"], r["all"]))
         for kind, steps in found.items():
-            good = every = 0
+            good = passed = 0
             total = sum(g for _, g, _ in steps)
             for at, g, n in steps:
-                good, every = good + g, every + n
-                if at >= 50 and total and good / every >= PRECISION:
-                    self.thresholds[kind], self.measured[kind] = at / 100, (good / every, good / total)
+                good, passed = good + g, passed + n
+                if at >= 50 and total and good / passed >= PRECISION:
+                    self.thresholds[kind], self.measured[kind] = at / 100, (good / passed, good / total)
 
     def judge(self, proposed: DataFrame) -> DataFrame | None:
         """The candidates whose best kind passes its threshold, with kind and score; None where nothing can be learned."""

@@ -103,6 +103,19 @@ def test_damaged_spans_of_a_table(frame, words):
     assert not [k for k in (*plainly, *range(500)) if got[k]]
 
 
+def test_models_and_thresholds_come_from_all_spans(frame, monkeypatch):
+    """Every base span gives its examples: weights add up to all of them, however many rows they are kept in."""
+    kept = {}
+    write = pii.write_table
+    monkeypatch.setattr(pii, "write_table", lambda df, name, **k: kept.setdefault(name, write(df, name, **k)))
+    rows = [(i, f"call +1 ({200 + i % 700}) 555-{1000 + i % 9000} now") for i in range(4500)]
+    pii.measure(frame(rows))
+    assert kept["pii_base"].count() == 4500
+    examples = kept["pii_examples"]
+    assert examples.where("label = 1 and kind = 'phone'").agg({"weight": "sum"}).first()[0] == 4 * 4500
+    assert examples.count() < 2000
+
+
 def test_a_run_of_many_parts(frame):
     """Candidates of a text that is all digits and blanks grow with its length only."""
     spans = pii._matches(frame([(1, "12 " * 20_000)]), "doc_id", "text")[1]
