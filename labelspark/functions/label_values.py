@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F, types as T
 
 from labelspark import constants as C
+from labelspark.functions.batches import in_slices
 
 FIELDS = [*C.SHARE_KEYWORDS, "co2", "waste", "eeg_percentage"]
 SCHEMA = T.StructType([T.StructField(f, T.DoubleType()) for f in FIELDS])
@@ -73,6 +74,9 @@ def _values(section: str) -> tuple:
             _first_nonzero(section, C.EEG_ATTEMPTS))
 
 
-@F.pandas_udf(SCHEMA)
-def label_values(section: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_values(s) for s in section], columns=FIELDS, dtype="float64")
+_ARROW = pa.struct([(f, pa.float64()) for f in FIELDS])
+
+
+@F.arrow_udf(SCHEMA)
+def label_values(section: pa.Array) -> pa.Array:
+    return in_slices(section, lambda s: dict(zip(FIELDS, _values(s), strict=True)), _ARROW)

@@ -11,9 +11,11 @@ import re
 from collections.abc import Iterator
 from html.entities import html5
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
+from labelspark.functions.batches import in_slices
+
 # White space as browsers and scripts understand it.  The rare characters stand behind one range test,
 # which ASCII fails at once.
 _RARE = r"[\u00a0-\uffff&&[\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]]"
@@ -164,10 +166,10 @@ def page_parts(page: str) -> tuple[str | None, list[tuple]]:
     return base, [*map(tuple, anchors), *images]
 
 
-@F.pandas_udf(T.StringType())
-def visible_texts(page: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def visible_texts(page: pa.Array) -> pa.Array:
     """:func:`visible_text` of a column."""
-    return page.map(visible_text, na_action="ignore")
+    return in_slices(page, lambda p: None if p is None else visible_text(p), pa.string())
 
 
 _FIELDS = ("kind", "href", "text", "title", "aria", "alt")
@@ -175,12 +177,18 @@ _PARTS = T.StructType([T.StructField("base", T.StringType()), T.StructField("par
     T.StructType([T.StructField(name, T.StringType()) for name in _FIELDS])))])
 
 
-@F.pandas_udf(_PARTS)
-def parts_of_pages(page: pd.Series) -> pd.DataFrame:
+_ARROW_PARTS = pa.struct([("base", pa.string()), ("parts", pa.list_(pa.struct([(name, pa.string()) for name in _FIELDS])))])
+
+
+def _parts(page: str | None) -> dict:
+    base, parts = (None, []) if page is None else page_parts(page)
+    return {"base": base, "parts": [dict(zip(_FIELDS, part, strict=True)) for part in parts]}
+
+
+@F.arrow_udf(_PARTS)
+def parts_of_pages(page: pa.Array) -> pa.Array:
     """:func:`page_parts` of a column; a null page has none."""
-    found = [(None, []) if p is None else page_parts(p) for p in page]
-    return pd.DataFrame({"base": [f[0] for f in found], "parts": [
-        [dict(zip(_FIELDS, part, strict=True)) for part in f[1]] for f in found]})
+    return in_slices(page, _parts, _ARROW_PARTS)
 
 
 def collapse(text: Column) -> Column:

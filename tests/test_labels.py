@@ -150,3 +150,24 @@ def test_task_functions_travel_with_the_plan(tmp_path):
     code = "import pickle, pandas as pd; f = pickle.load(open('f', 'rb')); print(f(pd.Series(['ökostrom 50 %']))['renewable'][0])"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True)
     assert done.stdout.strip() == "50.0"
+
+
+def test_batches_are_handled_in_slices():
+    """Only a slice of a batch is held as Python objects at a time."""
+    import pyarrow as pa
+    from labelspark.functions import batches, markup
+    taken = []
+    source = pa.array([None if i % 3 == 0 else str(i) for i in range(300)])
+
+    class Watched:
+        def __len__(self):
+            return len(source)
+
+        def slice(self, at, size):
+            taken.append(size)
+            return source.slice(at, size)
+
+    got = batches.in_slices(Watched(), lambda s: None if s is None else s + "!", pa.string())
+    assert got.to_pylist() == [None if i % 3 == 0 else f"{i}!" for i in range(300)] and max(taken) == batches.SLICE_ROWS
+    assert batches.in_slices(pa.array([], pa.string()), str, pa.string()).to_pylist() == []
+    assert not hasattr(markup, "pd")
