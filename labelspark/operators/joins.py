@@ -156,31 +156,51 @@ def _grams(text: Column, size: int) -> Column:
     return F.when(F.length(text) >= size, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))))
 
 
-def brand_matches(names: DataFrame, brands: DataFrame, gram: int = 3, stages: Stages | None = None) -> DataFrame:
+def _runs(names: DataFrame, filed: DataFrame, stages: Stages, head: int = 3) -> DataFrame:
+    """(id, name, _run): the runs of a name that start with the first characters of a run of ``filed`` and are as long as that
+    one, each once per name.  Runs shorter than ``head`` are their own first characters."""
+    heads = filed.select(F.substring("_run", 1, head).alias("_head"), F.length("_run").alias("_size"))
+    heads = stages.write(heads.groupBy("_head").agg(F.collect_set("_size").alias("_sizes")), "heads")
+    lengths = [r[0] for r in heads.select(F.length("_head")).distinct().collect()]  # head at most
+    # a table of names may be one small file: the work on it is dealt out first
+    spots = names.filter(F.length("name") > 0).select("id", "name").repartition("id").select(
+        "id", "name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("_at"))
+    starts = F.array_distinct(F.array(*[F.substring("name", F.col("_at"), F.lit(n)) for n in lengths]).cast("array<string>"))
+    sized = spots.select("*", F.explode(starts).alias("_head")).join(heads, "_head").select(
+        "id", "name", "_at", F.explode("_sizes").alias("_size")).filter(F.col("_at") + F.col("_size") - 1 <= F.length("name"))
+    # a run that a name holds twice is asked for where it occurs first
+    return sized.withColumn("_run", F.substring("name", F.col("_at"), F.col("_size"))).filter(
+        F.position("_run", "name") == F.col("_at")).select("id", "name", "_run")
+
+
+def brand_matches(names: DataFrame, brands: DataFrame, gram: int = 32, stages: Stages | None = None) -> DataFrame:
     """(id, brand, priority): the brands of a table that occur in a name (case matters).
 
     ``names``: id, name.  ``brands``: brand, priority; of a repeated brand the highest priority counts, null and empty ones
-    are no brands.  Every brand is filed under one run of ``gram`` characters, the one that occurs in the fewest names, and
-    every name asks with all of its runs: an equi join gives the candidates, ``contains`` decides.  Brands shorter than ``gram``
-    are filed whole and asked for with shorter runs.  A name is compared with as many brands as share its rare runs, not with all.
+    are no brands.  A brand of up to ``gram`` characters is filed whole, a longer one under its run of ``gram`` characters that
+    occurs in the fewest names.  Names ask with those of their runs that begin like a brand and are as long: an equi join gives the
+    matches, for long brands candidates of which ``contains`` decides.  Short runs would not do: they are few, and
+    the names and the brands that share one both grow with the tables.
     """
     stages = stages or Stages(names.sparkSession)
     known = brands.filter(F.coalesce(F.length("brand"), F.lit(0)) > 0).groupBy("brand").agg(F.max("priority").alias("priority"))
-    known = stages.write(known.withColumn("_size", F.least(F.length("brand"), F.lit(gram))), "brands")
-    sizes = [r[0] for r in known.select("_size").distinct().collect()]  # gram at most
-    if not sizes:
+    known = stages.write(known, "brands")
+    longest = known.agg(F.max(F.length("brand"))).first()[0]
+    if longest is None:
         return names.select("id", F.lit(None).cast("string").alias("brand"), F.lit(None).cast("int").alias("priority")).limit(0)
-    asked = names.filter(F.col("name").isNotNull()).select(
-        "id", "name", F.explode(F.concat(*[F.coalesce(_grams(F.col("name"), n), F.array().cast("array<string>")) for n in sizes])).alias("_gram"))
-    filed = known.select("*", F.explode(reduce(lambda a, n: F.when(F.col("_size") == n, _grams(F.col("brand"), n)).otherwise(a), sizes,
-                                               F.array().cast("array<string>"))).alias("_gram"))
+    whole = known.filter(F.length("brand") <= gram).withColumn("_run", F.col("brand"))
+    found = _runs(names, whole, stages).join(whole, "_run").select("id", "brand", "priority")
+    if longest <= gram:
+        return found
+    filed = known.filter(F.length("brand") > gram).select("*", F.explode(_grams(F.col("brand"), gram)).alias("_run"))
+    asked = _runs(names, filed, stages)
     # how many names hold a run; only runs of brands are counted
-    wanted = asked.join(filed.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_names"))
+    wanted = asked.join(filed.select("_run").distinct(), "_run", "left_semi").groupBy("_run").agg(F.count(F.lit(1)).alias("_names"))
     wanted = stages.write(wanted, "runs")
-    rank = F.struct(F.coalesce("_names", F.lit(0)), "_gram")
-    index = filed.join(wanted, "_gram", "left").groupBy("brand", "priority").agg(F.min(rank).alias("_rarest"))
-    index = stages.write(index.select("brand", "priority", F.col("_rarest._gram").alias("_gram")), "index")
-    return asked.join(index, "_gram").filter(F.col("name").contains(F.col("brand"))).select("id", "brand", "priority")
+    rank = F.struct(F.coalesce("_names", F.lit(0)), "_run")
+    index = filed.join(wanted, "_run", "left").groupBy("brand", "priority").agg(F.min(rank).alias("_rarest"))
+    index = stages.write(index.select("brand", "priority", F.col("_rarest._run").alias("_run")), "index")
+    return found.unionByName(asked.join(index, "_run").filter(F.col("name").contains(F.col("brand"))).select("id", "brand", "priority"))
 
 
 def apply_brand_table(providers: DataFrame, brands: DataFrame, stages: Stages | None = None) -> DataFrame:

@@ -230,6 +230,51 @@ def test_brand_table(spark):
     assert joins.brand_matches(df, none).collect() == [] and joins.apply_brand_table(df, none).count() == len(names)
 
 
+def test_brand_table_files_no_crowd_under_one_run(spark):
+    from collections import Counter
+
+    from labelspark.operators import joins
+    from labelspark.stage import Stages
+
+    class Kept(Stages):
+        def write(self, df, name):
+            self.tables = getattr(self, "tables", {}) | {name: super().write(df, name)}
+            return self.tables[name]
+
+    def candidates(n):
+        names = spark.range(n).select("id", F.format_string("Kunde#%09d GmbH", "id").alias("name"))
+        brands = spark.range(n).select(F.format_string("#%09d", "id").alias("brand"), F.lit(1).alias("priority"))
+        stages = Kept(spark)
+        assert joins.brand_matches(names, brands, stages=stages).count() == n
+        # brands are filed under a run of their own or, where no such table is written, whole
+        index = stages.tables.get("index", stages.tables["brands"])
+        filed = Counter(r["_gram"] if "_gram" in index.columns else r["brand"] for r in index.collect())
+        runs = [{r.name[i:i + k] for k in (3, 10) for i in range(len(r.name) - k + 1)} for r in names.collect()]
+        return sum(filed[run] for found in runs for run in found)
+
+    # the tables grow four times, and so do the brands that names are compared with
+    assert candidates(2000) == 2000 and candidates(8000) == 8000
+
+
+def test_brand_table_with_long_brands(spark):
+    import random
+
+    from labelspark.operators import joins
+
+    rng = random.Random(7)
+    text = lambda n: "".join(rng.choice("aB ä") for _ in range(n))
+    names = [(i, text(rng.randrange(0, 40))) for i in range(200)] + [(900, None), (901, ""), (902, "aa" * 30), (903, "\U0001d4d0\U0001d4d1" * 3)]
+    held = [n for _, n in names if n]
+    brands = [text(rng.randrange(1, 5)) for _ in range(50)] + [n[i:i + k] for n in held for i, k in [(rng.randrange(len(n)), rng.randrange(1, 20))]]
+    brands += [b + "x" for b in brands] + ["a" * 59, "a" * 60, "a" * 61, "\U0001d4d1\U0001d4d0\U0001d4d1", "\U0001d4d1", "", None]
+    df = spark.createDataFrame(names, "id long, name string")
+    rows = [(b, i % 100) for i, b in enumerate(brands)]
+    want = sorted((i, b, max(p for x, p in rows if x == b)) for i, n in names for b in {b for b in brands if b} if n and b in n)
+    table = spark.createDataFrame(rows, "brand string, priority int")
+    for gram in (1, 2, 4, 32):
+        assert sorted(tuple(r) for r in joins.brand_matches(df, table, gram).collect()) == want, gram
+
+
 def test_large_upsert_computes_its_base_once(spark, monkeypatch):
     from labelspark.operators import merge
     base = spark.range(10).select(F.col("id"), F.col("id").alias("v"), F.lit("x").alias("other"))
